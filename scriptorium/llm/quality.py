@@ -1,11 +1,11 @@
 """Quality rules: statistics of each document, judged by an isolation forest.
 
-One pass over the words of a text gives counts (word_chars, n_symbols, n_dup_lines, n_repeat_words and others). Documents that
+One pass over the words of a text gives counts (word_chars, n_symbols, n_dup_lines, n_repeat_words, distinct words). Documents that
 break a fixed rule fail. The others are judged by an isolation forest over ratios of these counts: random axis-parallel splits
 isolate odd documents early, and 2 to the minus (mean path length / that of a random tree) is a document's anomaly.
 
 The forest is fitted on a sample of labelled rows of at most MAX_SAMPLE documents (those with the smallest hashes of their id);
-trees draw SUBSAMPLE of its good rows each. The threshold is calibrated on the same labelled rows: the one that rejects most bad
+trees draw SUBSAMPLE of its rows each. The threshold is calibrated on the same labelled rows: the one that rejects most bad
 rows while at most MAX_LOSS of the good ones go. Without labels of both kinds only the fixed rules hold.
 
 Defined results: null text is empty; an empty text has no words and fails. Labels with null are ignored; of a document's labels
@@ -26,9 +26,8 @@ from .common import map_texts
 
 MAX_SAMPLE, TREES, SUBSAMPLE, MAX_LOSS, SEED = 6_000, 128, 256, 0.002, 11
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-COUNTS = (*BASE, "n_lines", "n_upper", "n_marks", "n_digits", "n_distinct", "n_long", "n_ends")
-_SPACE, _SYMBOLS, _MARKS, _DIGITS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b"!?;:=_/\\^~@{}[]()\"+", b"0123456789"
-_UPPER = bytes(range(65, 91))
+COUNTS = (*BASE, "n_distinct")
+_SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 
 
 def _without(b: bytes, chars: bytes) -> int:
@@ -69,32 +68,21 @@ def statistics(b: bytes) -> tuple[int, ...]:
     """COUNTS of a text."""
     words, lines = b.split(), [x for x in b.split(b"\n") if x.strip(_SPACE)]
     chars = len(b.decode()) if not b.isascii() else len(b)
-    distinct = set(words)
     return (
         len(words),
         chars - _without(b, _SPACE),
         _without(b, _SYMBOLS),
         len(lines) - len(set(lines)),
         repeated_words(words),
-        len(lines),
-        _without(b, _UPPER),
-        _without(b, _MARKS),
-        _without(b, _DIGITS),
-        len(distinct),
-        sum(len(w) > 24 for w in distinct),
-        _without(b, b".,"),
+        len(set(words)),
     )
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Ratios of COUNTS, a column each."""
+    """A column each: length of words, symbols for each word, variety of words. Repeats have a fixed rule and are no feature."""
     c = {k: counts[:, i].astype(np.float64) for i, k in enumerate(COUNTS)}
-    n, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
-    lines = np.maximum(c["n_lines"], 1)
-    return np.stack([
-        c["word_chars"] / n, np.sqrt(c["n_symbols"] / n), c["n_dup_lines"] / lines, c["n_repeat_words"] / n, np.sqrt(c["n_upper"] / chars), np.sqrt(c["n_marks"] / n),
-        np.sqrt(c["n_digits"] / n), np.log(np.maximum(c["n_distinct"], 1)) / np.log(n + 1), c["n_long"] / n, c["n_ends"] / n,
-    ], axis=1)
+    n = np.maximum(c["n_words"], 1)
+    return np.stack([c["word_chars"] / n, np.sqrt(c["n_symbols"] / n), np.log(np.maximum(c["n_distinct"], 1)) / np.log(n + 1)], axis=1)
 
 
 @dataclass
@@ -142,7 +130,6 @@ def grow(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: in
             if level == depth or len(rows) <= 1 or not len(able):
                 p[t, node] = level + _expected(len(rows))
                 continue
-            # a value outside the range that the rows of a node span also comes to a leaf, so it is isolated at once
             k = rng.choice(able)
             f[t, node], v[t, node], c[t, node] = k, rng.uniform(low[k], high[k]), used
             right = x[rows, k] >= v[t, node]
@@ -175,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good, bad = features(x[(y == 1) & ok]), features(x[(y == 0) & ok])
     if len(good) < 8 or not len(bad):
         return None
-    forest = grow(good)
+    forest = grow(features(x))
     forest.threshold = calibrate(forest.anomaly(good), forest.anomaly(bad))
     return forest
 
