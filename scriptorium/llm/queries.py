@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, pii, quality, tokens
+from . import chat, contamination, langid, lines, mixing, ngrams, pii, quality, simhash, tokens
 from .common import bucket_of
 from .sql import ORACLES
 
@@ -27,12 +27,22 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.fit(docs, _read(spark, sf_dir, "labels"))
     return quality.judge(docs, forest, keep_text=False)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of(F.col("doc_id"), 5) == 1)
+    return ngrams.score(docs, ngrams.train(docs.filter("not held_out")), keep_text=False)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -40,6 +50,16 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(turns))
 
 
+def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and test item that it holds."""
+    found = contamination.matches(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), drop_text=True)
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,4 +78,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, digest.alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op4_quality, op6_chat, op9_tokens, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op3_near_duplicates, op4_quality, op5_language_model, op6_chat, op7_contamination, op8_line_dedup, op9_tokens, op10_pii)}

@@ -5,8 +5,8 @@ round looks up the rank of all neighbouring pairs at once, takes each sequence's
 simultaneously (of overlapping ones every second, from the left). Sequences without a known pair leave. The symbols that
 survive are counted. As a merge makes only pairs of higher rank, the order of merges is that of merging one pair at a time.
 
-Memory: texts come some MB at a time; distinct pre-tokens are merged in groups of bounded symbols; counts of pre-tokens are kept
-in a cache of CACHE entries, emptied when full. A pre-token of over LONG symbols is merged with a heap, for the same result.
+Memory: texts come some MB at a time; distinct pre-tokens are merged in groups of bounded symbols; counts of words are kept in
+a cache of CACHE entries, emptied when full. A pre-token of over LONG symbols is merged with a heap, for the same result.
 
 Defined results: null text counts as empty (0 tokens); special strings inside texts are single tokens, as the library's default
 has it; other columns stay unless their names are those added; rows are independent.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-CACHE, LONG, GROUP = 400_000, 4_000, 1 << 20
+CACHE, LONG, GROUP = 600_000, 4_000, 1 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -57,7 +57,7 @@ class Merger:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         # the library's white space is the Unicode property, without U+001C to U+001F
         self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.cache: dict[str, int] = {}
+        self.cache: dict[bytes, int] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.base + right
@@ -118,45 +118,50 @@ class Merger:
                     heapq.heappush(heap, (k, a))
         return n
 
-    def learn(self, words: list[str]) -> None:
-        """Put the counts of new pre-tokens into the cache."""
-        group: list[tuple[str, bytes]] = []
-        size = 0
-        for w in [*words, None]:
-            if w is None or size > GROUP:
-                if group:
-                    self.cache.update(zip((x for x, _ in group), self.lengths([b for _, b in group]).tolist(), strict=True))
-                group, size = [], 0
-            if w is not None:
-                b = w.encode()
-                if len(b) > LONG:
-                    self.cache[w] = self.long(b)
-                else:
-                    group.append((w, b))
-                    size += len(b)
+    def learn(self, words: list[bytes]) -> None:
+        """Put the counts of new words (runs of anything but ASCII white space, which no pre-token crosses) into the cache."""
+        for start in range(0, len(words), 50_000):
+            group = words[start : start + 50_000]
+            total, pieces, at = [0] * len(group), [], []
+            for i, w in enumerate(group):
+                parts = [w.decode()]
+                if self.split_special and b"<|" in w:
+                    parts = self.split_special.split(parts[0])
+                    total[i] = len(parts) - 1
+                for p in parts:
+                    found = self.split.findall(self.normal(p))
+                    pieces += found
+                    at += [i] * len(found)
+            distinct = dict.fromkeys(pieces)
+            short: list[str] = []
+            size = 0
+            for k in [*distinct, None]:
+                if k is None or size > GROUP:
+                    distinct.update(zip(short, self.lengths([x.encode() for x in short]).tolist() if short else [], strict=True))
+                    short, size = [], 0
+                if k is not None:
+                    if len(k.encode()) > LONG:
+                        distinct[k] = self.long(k.encode())
+                    else:
+                        short.append(k)
+                        size += len(k)
+            for i, k in zip(at, pieces, strict=True):
+                total[i] += distinct[k]
+            self.cache.update(zip(group, total, strict=True))
 
     def normal(self, text: str) -> str:
         """NFC, then each code point's own lower case (a final sigma is no special case). White space only separates."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        bags, special = [], []
-        for t in texts:
-            t, n = t.decode(), 0
-            if self.split_special and any(s in t for s in self.special):
-                parts = self.split_special.split(t)
-                n = len(parts) - 1
-                bags.append(Counter(w for p in parts for w in self.split.findall(self.normal(p))))
-            else:
-                bags.append(Counter(self.split.findall(self.normal(t))))
-            special.append(n)
+        bags = [Counter(t.split()) for t in texts]
         new = set().union(*bags).difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = set().union(*bags)
         self.learn(list(new))
         get = self.cache.__getitem__
-        return [n + sum(map(int.__mul__, map(get, b), b.values())) for n, b in zip(special, bags, strict=True)]
+        return [sum(map(int.__mul__, map(get, b), b.values())) for b in bags]
 
 
 _loaded: dict[int, Merger] = {}
