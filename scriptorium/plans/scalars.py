@@ -65,7 +65,10 @@ def _tidy(x: str) -> str:
     return rf"regexp_replace(regexp_replace({x}, '_+', '_', 'g'), '\A_|_\z', '', 'g')"
 
 
-_CLEAN = rf"trim(regexp_replace(replace(replace({{x}}, '**', ''), '`', ''), '[{WS}]+', ' ', 'g'), ' ')"
+def _clean(x: str) -> str:
+    return rf"trim(regexp_replace(replace(replace({x}, '**', ''), '`', ''), '[{WS}]+', ' ', 'g'), ' ')"
+
+
 _AUTHOR = r"regexp_extract(s, '(?s)\A(.+)_([^_]+)\z', 2)"
 _TITLE = r"regexp_extract(s, '(?s)\A(.+)_([^_]+)\z', 1)"
 _FITS = f"({_TITLE} <> '' AND {_AUTHOR} <> '' AND length({_AUTHOR}) <= 4 AND NOT contains({_strip(_AUTHOR)}, ' '))"
@@ -77,14 +80,14 @@ def _tier(place: str) -> str:
 
 
 def _circled() -> str:
-    return "list_filter(list_transform(string_split(regexp_replace(x, '([①②③④⑤⑥⑦⑧⑨⑩])', chr(1) || '\\1', 'g'), chr(1)), lambda y: " + _CLEAN.format(x=r"regexp_replace(y, '\A[0-9.、)\-*\s①-⑩]+', '')") + "), lambda y: length(y) >= 8)"
+    return "list_filter(list_transform(string_split(regexp_replace(x, '([①②③④⑤⑥⑦⑧⑨⑩])', chr(1) || '\\1', 'g'), chr(1)), lambda y: " + _clean(r"regexp_replace(y, '\A[0-9.、)\-*\s①-⑩]+', '')") + "), lambda y: length(y) >= 8)"
 
 
 def _inner() -> str:
-    return "list_filter(list_transform(string_split(regexp_replace(x, '\\*{0,2}([0-9]+[.、)])', chr(1) || '\\1', 'g'), chr(1)), lambda y: " + _CLEAN.format(x=r"regexp_replace(y, '\A[0-9.、)\-*\s①-⑩]+', '')") + "), lambda y: length(y) >= 8)"
+    return "list_filter(list_transform(string_split(regexp_replace(x, '\\*{0,2}([0-9]+[.、)])', chr(1) || '\\1', 'g'), chr(1)), lambda y: " + _clean(r"regexp_replace(y, '\A[0-9.、)\-*\s①-⑩]+', '')") + "), lambda y: length(y) >= 8)"
 
 
-_BY_LINE = rf"list_transform(regexp_extract_all(x, '(?m)^[{WS}]*(?:[0-9]+[.、)]|[-*])[{WS}]*(.{{8,300}})', 1), lambda y: {_CLEAN.format(x='y')})"
+_BY_LINE = rf"list_transform(regexp_extract_all(x, '(?m)^[{WS}]*(?:[0-9]+[.、)]|[-*])[{WS}]*(.{{8,300}})', 1), lambda y: {_clean('y')})"
 
 #: name: input, function, SQL of the function over x.
 SCALARS: dict[str, tuple[str, Callable[[Column], Column], str]] = {
@@ -102,7 +105,7 @@ SCALARS: dict[str, tuple[str, Callable[[Column], Column], str]] = {
     "output_name": (TITLE, lambda c: T.output_name(c, F.substring(c, 2, 3), F.lit("B")), f"(SELECT concat(coalesce(nullif({_tidy('(' + _short('z') + ')')}, ''), '未命名'), CASE WHEN w <> '' THEN concat('_', w) ELSE '' END, '-文献综述.md') FROM (SELECT {_sane(_main('x'))} AS z, {_tidy(_sane('substr(x, 2, 3)'))} AS w))"),
     "append_note": (CARD, lambda c: T.append_note(F.substring(c, 3, 20), F.substring(c, 8, 5)), "CASE WHEN substr(x, 3, 20) = '' THEN substr(x, 8, 5) WHEN contains(substr(x, 3, 20), substr(x, 8, 5)) THEN substr(x, 3, 20) ELSE concat(substr(x, 3, 20), '；', substr(x, 8, 5)) END"),
     "norm_tier": (TIER, T.norm_tier, f"regexp_replace(x, '[{WS}]+', '', 'g')"),
-    "card_clean": (CARD, T.card_clean, _CLEAN.format(x="x")),
+    "card_clean": (CARD, T.card_clean, _clean("x")),
     "strip_markup": (MARKUP, T.strip_markup, r"regexp_replace(regexp_replace(regexp_replace(x, '(?s)```.*?```', '', 'g'), '`[^`\n]*`', '', 'g'), '(?s)<!--.*?-->', '', 'g')"),
     "page_number_value": (LINE, T.page_number_value, rf"CAST(coalesce(nullif(regexp_extract({_strip('x')}, '\A{T.DECOR}*([0-9]{{1,4}}){T.DECOR}*\z', 1), ''), nullif(regexp_extract({_strip('x')}, '\A第[{WS}]*([0-9]{{1,4}})[{WS}]*页\z', 1), '')) AS INTEGER)"),
     "numbered_level": (HEAD, T.numbered_level, rf"CASE WHEN regexp_matches(x, '\A第[一二三四五六七八九十]+[章部分]') THEN 1 WHEN regexp_matches(x, '\A[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(x, '\A（[一二三四五六七八九十]+）') THEN 3 WHEN regexp_matches(x, '\A[0-9]+(?:\.[0-9]+)*[、.．]?[{WS}]*[^{WS}]') THEN 4 ELSE 0 END"),
