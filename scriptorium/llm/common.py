@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of anything but ASCII white space; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,7 +73,7 @@ def map_texts(df: DataFrame, column: str, fields: list[tuple[str, pa.DataType, s
     gone = {n for n, _, _ in fields} | set(drop)
     keep = [c for c in df.columns if c not in gone]
     old = df.select(*dict.fromkeys([*keep, column]))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields] + [f"`{n}` {s}" for n, _, s in fields])
+    schema = T.StructType([*df.select(*keep).schema.fields, *(T.StructField(n, T.StructType.fromDDL(f"x {s}")["x"].dataType) for n, _, s in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

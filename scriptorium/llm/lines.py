@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, small, texts_of
 
@@ -117,8 +118,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
     own_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.select(*names).join(g, (own_id == F.col("_id")) & (own_key == F.col("_key")), "left").select(*names, "_gone")
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + ["n_lines int", "n_lines_removed int", "n_words_removed long"])
+    schema = T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL("n_lines int, n_lines_removed int, n_words_removed long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -140,8 +140,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     out = docs.join(small(cut(single)), docs[id_col] == F.col("_id"), "left_anti")
     if repeated.isEmpty():
         return out
-    rows = docs.join(small(repeated), docs[id_col] == F.col("_id"), "left_semi")
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp")).distinct()
-    rows = fingerprints(rows.withColumn("_text", F.col(text_col)), "_text", keep_text=False)
-    rows = rows.join(kept, (F.col(id_col) == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi").dropDuplicates([id_col])
-    return out.unionByName(rows.select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_rid"), F.col(text_col).alias("_text")).join(small(repeated), F.col("_rid") == F.col("_id"), "left_semi")
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kid"), F.col("fp").alias("_kfp")).distinct()
+    rows = fingerprints(rows, "_text", keep_text=False)
+    rows = rows.join(kept, (F.col("_rid") == F.col("_kid")) & (F.col("fp") == F.col("_kfp")), "left_semi").dropDuplicates(["_rid"])
+    return out.unionByName(rows.select("_row.*"))
