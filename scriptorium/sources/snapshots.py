@@ -34,6 +34,10 @@ class Snapshots:
         if now != base and now is not None:
             before = self.load(base) if base else self.load(now).limit(0)
             table = cut(merge3(before, table, self.load(now), cells).drop("conflict"))
+        return self.replace(table)
+
+    def replace(self, table: DataFrame) -> str:
+        """Saves a table as the new version whatever the current one is; old versions stay."""
         name = f"v-{uuid.uuid4().hex}"
         table.write.parquet(f"{self.folder}/{name}")
         aside = self._path(f".CURRENT-{uuid.uuid4().hex}")

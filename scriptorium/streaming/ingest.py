@@ -14,18 +14,18 @@ CELLS = ["file_name", "title", "first_author", "source_type", "sha1", "source_pa
 SCHEMA = ", ".join(f"{c} string" for c in ["id", *CELLS])
 
 
-def append(found: DataFrame, store: Snapshots) -> int:
+def append(found: DataFrame, store: Snapshots, record_duplicates: bool = False) -> int:
     """Appends what a scan of files (file_name, source_path, sha1) adds; returns how many rows. Scanning the same files again adds none."""
     spark = found.sparkSession
     base = store.version()
     old = store.load(base) if base else spark.createDataFrame([], SCHEMA)
     known = old.withColumn("row_no", F.lit(0))
-    rows = scan(found, known, known.select("id", "file_name", "sha1", "row_no").limit(0), record_duplicates=False).select("id", *CELLS)
+    rows = scan(found, known, known.select("id", "file_name", "sha1", "row_no").limit(0), record_duplicates).select("id", *CELLS)
     rows = rows.cache()
     try:
         n = rows.count()
         if n or base is None:
-            store.save(old.unionByName(rows), base, CELLS)
+            store.save(old.unionByName(rows, allowMissingColumns=True), base, CELLS)
         return n
     finally:
         rows.unpersist()
