@@ -7,8 +7,9 @@ passages at once (numpy); a passage that some block's bound lets through is sear
 their maxima. A retrieved item must then overlap: its question and its answer (its last sentence; a single sentence is halved)
 are cut into shingles of 5 words, and OVERLAP of all shingles and PART of each side's must stand in the passage.
 
-The index is broadcast in parts of at most PART_WORDS words of items, each part being a pass over the texts: so its size is bounded
-whatever the benchmark is. Documents are never shuffled.
+A large benchmark has several indexes, so that their tables of block maxima stay sharp and small. They are broadcast in groups of about
+PART_WORDS words of items, each group being a pass over the texts: what is broadcast is bounded whatever the benchmark is. Documents are
+never shuffled.
 
 Defined results: null texts are empty and match nothing; items that are null or have no word are not searched; items of fewer than
 5 words are one shingle; equal items are all reported; rows are independent; no items or no documents give an empty result. Ties do not arise (all
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 K1, B, THRESHOLD, OVERLAP, PART, SHINGLE = 1.2, 0.75, 0.55, 0.8, 0.5, 5
-#: Items in a block of postings; coarse blocks for the bounds of all passages; words of items in one broadcast part; words a worker keeps ids of.
-BLOCK, COARSE, PART_WORDS, MEMO = 4, 32, 1_000_000, 500_000
+#: Items in a block of postings; floats of the table of block maxima that bounds all passages; words of items in one index, and in one broadcast; words a worker keeps ids of.
+BLOCK, TABLE, INDEX_WORDS, PART_WORDS, MEMO = 4, 4_000_000, 20_000, 1_000_000, 500_000
 _EDGES = b".,;:!?\"'()[]{}<>*#|%$&"
 
 
@@ -79,8 +80,8 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     idf = {t: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
     block_max: list[dict[int, float]] = [{} for _ in terms]
-    per = max(1, math.ceil(len(docs) / COARSE))
-    coarse = np.zeros((len(terms) + 1, min(COARSE, math.ceil(len(docs) / per))), np.float32)
+    per = max(2, math.ceil(len(docs) * len(terms) / TABLE))
+    coarse = np.zeros((len(terms) + 1, math.ceil(len(docs) / per)), np.float32)
     parts = []
     for n, (_, w, text) in enumerate(docs):
         tf = Counter(w)
@@ -178,9 +179,10 @@ def search(index: Index, texts: list[bytes], threshold: float = THRESHOLD) -> li
     block, term = pairs // (none + 1), (pairs % (none + 1)).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     bound = np.zeros((blocks + 1, index.coarse.shape[1]), np.float32)
-    for a in range(0, len(starts), 20_000):
-        stop = starts[a + 20_000] if a + 20_000 < len(starts) else len(pairs)
-        bound[block[starts[a : a + 20_000]]] = np.add.reduceat(index.coarse[term[starts[a] : stop]], starts[a : a + 20_000] - starts[a], axis=0)
+    step = max(1, 200_000 // index.coarse.shape[1])
+    for a in range(0, len(starts), step):
+        stop = starts[a + step] if a + step < len(starts) else len(pairs)
+        bound[block[starts[a : a + step]]] = np.add.reduceat(index.coarse[term[starts[a] : stop]], starts[a : a + step] - starts[a], axis=0)
     own = np.array([*owner, -1])
     both = bound[:-1] + np.where((own[1:] == own[:-1])[:, None], bound[1:], 0)
     edges = np.searchsorted(block, np.arange(blocks + 1))
@@ -205,17 +207,17 @@ def search(index: Index, texts: list[bytes], threshold: float = THRESHOLD) -> li
     return out
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> list[Index]:
-    """Indexes of at most about PART_WORDS words of items each."""
+def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[Index]]:
+    """Indexes of about INDEX_WORDS words of items each, in groups of about PART_WORDS words: a group is broadcast at once."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null and i is not null")
     words = rows.agg(F.sum(F.length("t") / 5)).first()[0] or 0
-    n = max(1, math.ceil(words / PART_WORDS))
-    out = []
+    n, out = max(1, math.ceil(words / PART_WORDS)), []
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        index = build([(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()])
-        out += [index] if index else []
-    return out
+        items = [(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()]
+        each = max(1, math.ceil(len(items) / max(1, math.ceil(words / n / INDEX_WORDS))))
+        out.append([x for a in range(0, len(items), each) if (x := build(items[a : a + each]))])
+    return [group for group in out if group]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "matches", drop_text: bool = False) -> DataFrame:
@@ -224,11 +226,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     spark = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
     names = ("item_id", "score", "question_overlap", "answer_overlap")
     out, made = docs, []
-    for k, index in enumerate(_parts(benchmark, item_col, item_text)):
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
+    for k, group in enumerate(_parts(benchmark, item_col, item_text)):
+        shipped = docs.sparkSession.sparkContext.broadcast(group)
 
         def compute(texts: list[bytes], shipped=shipped) -> list:
-            return [[[dict(zip(names, x, strict=True)) for x in found] for found in search(shipped.value, texts)]]
+            each = [search(index, texts) for index in shipped.value]
+            return [[[dict(zip(names, x, strict=True)) for found in every for x in found] for every in zip(*each, strict=True)]]
 
         made.append(f"_matches_{k}")
         out = map_texts(out, text_col, [(made[-1], kind, spark)], compute)
