@@ -107,14 +107,14 @@ class Model:
     word_logs: np.ndarray
     grams: dict[str, int]
     gram_logs: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    cache: dict[str, list[int]] = field(default_factory=dict)
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> list[int]:
+        """Places of the word's longest n-grams of which any is known."""
         if (got := self.cache.get(word)) is None:
-            got = np.zeros(len(self.langs), np.float32)
+            got = []
             for n in range(min(ORDER, len(word) + 2), 0, -1):
-                if at := [i for i in map(self.grams.get, grams_of(word, n)) if i is not None]:
-                    got = self.gram_logs[at].mean(axis=0)
+                if got := [i for i in map(self.grams.get, grams_of(word, n)) if i is not None]:
                     break
             if len(self.cache) > CACHE:
                 self.cache.clear()
@@ -126,15 +126,19 @@ class Model:
         bag = words_of(text)
         if not bag or not self.langs:
             return "und", 0.0
-        total, at, n = self.prior.copy(), [], []
+        at, n, grams, shares = [], [], [], []
         for w, c in bag.items():
-            if (i := self.words.get(w)) is None:
-                total += c * self.unseen(w)
-            else:
+            if (i := self.words.get(w)) is not None:
                 at.append(i)
                 n.append(c)
+            elif found := self.unseen(w):
+                grams += found
+                shares += [c / len(found)] * len(found)
+        total = self.prior.copy()
         if at:
             total += np.asarray(n, np.float64) @ self.word_logs[at]
+        if grams:
+            total += np.asarray(shares) @ self.gram_logs[grams]
         x = (total - total.max()) / math.sqrt(sum(bag.values()))
         return self.langs[int(total.argmax())], float(1 / np.exp(x).sum())
 
@@ -151,16 +155,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     sizes = {(r["lang"], r["k"]): (r["n"], r["v"]) for r in grams.groupBy("lang", F.least(F.length("gram"), F.lit(ORDER)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
 
     def table(df: DataFrame, key: str, limit: int, norm) -> tuple[dict[str, int], np.ndarray]:
-        kept = frequent(df, key, limit).collect()  # at most limit rows
-        at, col = {}, {k: i for i, k in enumerate(langs)}
-        logs = np.zeros((len(kept), len(langs)), np.float32)
-        for i, r in enumerate(kept):
-            at[r[key]] = i
-            for x in r["by"]:
-                logs[i, col[x["lang"]]] = x["n"]
+        kept = frequent(df, key, limit).toArrow()  # at most limit rows
+        keys, by = kept[key].to_pylist(), kept["by"].combine_chunks()
+        col = {k: i for i, k in enumerate(langs)}
+        each = by.flatten()
+        row = np.repeat(np.arange(len(keys)), np.diff(by.offsets.to_numpy()))
+        logs = np.zeros((len(keys), len(langs)), np.float32)
+        logs[row, [col[k] for k in each.field("lang").to_pylist()]] = each.field("n").to_numpy()
         total = np.array([[norm(k, g) for k in langs] for g in range(ORDER + 1)], np.float64).reshape(ORDER + 1, len(langs))
-        for i, r in enumerate(kept):
-            logs[i] = np.log((logs[i] + SMOOTH) / total[min(len(r[key]), ORDER)])
+        logs = np.log((logs + SMOOTH) / total[np.minimum(list(map(len, keys)), ORDER)]).astype(np.float32) if keys else logs
+        at = {k: i for i, k in enumerate(keys)}
         return at, logs
 
     def word_norm(k: str, _: int) -> float:
