@@ -120,12 +120,14 @@ def sections(text: Column) -> Column:
 
 def gaps_without_reasons(text: Column) -> Column:
     """Titles of sections on gaps whose subtree and next section give no rationale."""
-    s = sections(text)
+    return T.bind(sections(text), _lacking)
 
+
+def _lacking(s: Column) -> Column:
     def lacking(x: Column, i: Column) -> Column:
         stop = F.array_min(F.transform(s, lambda y, j: F.when((j > i) & (y.level <= x.level), j).otherwise(F.size(s))))
         scope = F.concat(F.array_join(F.transform(F.slice(s, i + 1, F.greatest(stop - i, F.lit(1))), lambda y: y.body), "\n"), F.coalesce(F.concat(F.try_element_at(s, i + 2)["title"], F.try_element_at(s, i + 2)["body"]), F.lit("")))
-        return F.when(F.contains(x.title, F.lit("空白")) & ~scope.rlike("理论依据|因此可开展的研究是"), x.title)
+        return F.when(F.contains(x.title, F.lit("空白")), F.when(~scope.rlike("理论依据|因此可开展的研究是"), x.title))
 
     return F.array_compact(F.transform(s, lacking))
 
