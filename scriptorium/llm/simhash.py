@@ -133,7 +133,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Where an id repeats, its rows are told apart by their fingerprints, and of equal ones a single one stays.
     """
-    found = cut(classes(docs, id_col, text_col, radius))
+    return keep_first(docs, cut(classes(docs, id_col, text_col, radius)), fingerprints, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, prints, id_col: str, text_col: str) -> DataFrame:
+    """What keep_one() returns, by found, the classes (id, fp, component_id) of docs; prints adds a text's fp."""
     repeated = cut(found.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")))
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
     single = gone.join(repeated, "_id", "left_anti").unionByName(repeated)
@@ -142,6 +146,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         return out
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_rid"), F.col(text_col).alias("_text")).join(small(repeated), F.col("_rid") == F.col("_id"), "left_semi")
     kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kid"), F.col("fp").alias("_kfp")).distinct()
-    rows = fingerprints(rows, "_text", keep_text=False)
+    rows = prints(rows, "_text", keep_text=False)
     rows = rows.join(kept, (F.col("_rid") == F.col("_kid")) & (F.col("fp") == F.col("_kfp")), "left_semi").dropDuplicates(["_rid"])
     return out.unionByName(rows.select("_row.*"))
