@@ -64,8 +64,8 @@ def budget(text: Column, form: Column) -> Column:
 
 
 def _unprepared(word: str, before: tuple[str, ...]) -> str:
-    """word, unless one of the words before stands wholly inside the NEAR characters in front of it."""
-    return "".join(f"(?<!{m}[\\s\\S]{{0,{NEAR - len(m)}}})" for m in before) + word
+    """word, unless one of the words before stands wholly inside the NEAR characters in front of it. The literal leads, so that only its places look back."""
+    return word + "".join(f"(?<!{m}[\\s\\S]{{0,{NEAR - len(m)}}}{word})" for m in before)
 
 
 def hygiene(text: Column) -> Column:
