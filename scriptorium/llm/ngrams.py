@@ -29,6 +29,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,16 @@ def _columns(raw: np.ndarray, n: int, *types: type) -> list[np.ndarray]:
     return out
 
 
+def _least(*columns: np.ndarray) -> list[np.ndarray]:
+    """Counts in 4 bytes each if all fit, else in 8; a file's size tells which."""
+    wide = any(len(c) and int(c.max()) >> 32 for c in columns)
+    return [c.astype(np.uint64 if wide else np.uint32) for c in columns]
+
+
+def _width(raw: np.ndarray, n: int, fixed: int, columns: int) -> type:
+    return np.uint64 if len(raw) > n * (fixed + 4 * columns) else np.uint32
+
+
 @dataclass
 class Model:
     """What tasks need besides the files: sizes, totals and discounts."""
@@ -125,17 +136,18 @@ class Model:
         return _columns(_mapped(self.folder, f"vocab-{k}"), self.vocab_sizes[k], np.uint64, np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of words by hash, -1 for unknown ones."""
-        out = np.full(len(hashes), -1, np.int64)
-        bits = (len(self.vocab_sizes) - 1).bit_length()
-        shard = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        starts = self.starts()
-        for k in np.unique(shard).tolist():
-            rows = np.flatnonzero(shard == k)
-            keys = self.vocab(k)[0]
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes[rows]), len(keys) - 1)
-                out[rows] = np.where(keys[at] == hashes[rows], at + starts[k], -1)
+        """Ids of words by hash, -1 for unknown ones. Shards are ranges of hashes, so sorted hashes pass each once, in order."""
+        order = np.argsort(hashes)
+        wanted, found = hashes[order], np.full(len(hashes), -1, np.int64)
+        n, starts = len(self.vocab_sizes), self.starts()
+        edges = np.searchsorted(wanted, np.array([k * ((1 << 64) // n) for k in range(n)], np.uint64))
+        for k, (a, b) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(wanted)], strict=True)):
+            if b > a and self.vocab_sizes[k]:
+                keys = self.vocab(k)[0]
+                at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
+                found[a:b] = np.where(keys[at] == wanted[a:b], at + starts[k], -1)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def by_id(self, ids: np.ndarray, column: int) -> np.ndarray:
@@ -145,7 +157,8 @@ class Model:
         for k in np.unique(part).tolist():
             rows = np.flatnonzero(part == k)
             size = min(RANGE, self.size + 1 - k * RANGE)
-            out[rows] = _columns(_mapped(self.folder, f"ids-{k}"), size, np.uint32, np.uint32, np.uint32, np.uint32)[column][ids[rows] - k * RANGE]
+            raw = _mapped(self.folder, f"ids-{k}")
+            out[rows] = _columns(raw, size, *[_width(raw, size, 0, 4)] * 4)[column][ids[rows] - k * RANGE]
         return out
 
     def count_of(self, ids: np.ndarray) -> np.ndarray:
@@ -161,51 +174,66 @@ class Model:
         return ((own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % max(len(self.pair_sizes), 1)
 
     def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        key, out = (context * np.int64(self.size + 1) + word).astype(np.uint64), np.zeros(len(context), np.int64)
-        shard = self.shard_of(context, word)
-        order = np.argsort(shard, kind="stable")
+        """How often word followed context. Each pair is looked up once, the pairs of a shard in the order of its keys."""
+        keys, back = np.unique((context * np.int64(self.size + 1) + word).astype(np.uint64), return_inverse=True)
+        base, found = np.uint64(self.size + 1), np.zeros(len(keys), np.int64)
+        shard = self.shard_of((keys // base).astype(np.int64), (keys % base).astype(np.int64))
+        order = np.argsort(shard.astype(np.int16) if len(self.pair_sizes) < 1 << 15 else shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(len(self.pair_sizes) + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             rows = order[edges[k] : edges[k + 1]]
-            keys, counts = _columns(_mapped(self.folder, f"pairs-{k}"), self.pair_sizes[k], np.uint64, np.uint32)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key[rows]), len(keys) - 1)
-                out[rows] = np.where(keys[at] == key[rows], counts[at], 0)
-        return out
+            raw, n = _mapped(self.folder, f"pairs-{k}"), self.pair_sizes[k]
+            have, counts = _columns(raw, n, np.uint64, _width(raw, n, 8, 1))
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
+                found[rows] = np.where(have[at] == keys[rows], counts[at].astype(np.int64), 0)
+        return found[back]
 
 
 def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-_memo: dict[bytes, tuple[int, int]] = {}
-_memo_of: list[str] = [""]
+class _Places(dict):
+    """Words by the place at which they were first seen."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
 
-def _known(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of words; of unknown ones -1 and 0."""
-    if _memo_of[0] != model.folder:
-        _memo.clear()
-        _memo_of[0] = model.folder
-    new = list(set(words).difference(_memo))
-    if len(_memo) + len(new) > MEMO:
-        _memo.clear()
-        new = list(set(words))
-    if new:
-        ids = model.find(np.array([_hash(w) for w in new], np.uint64)) if model.size else np.full(len(new), -1)
-        counts = np.zeros(len(new), np.int64)
-        have = ids >= 0
-        counts[have] = model.count_of(ids[have])
-        _memo.update(zip(new, zip(ids.tolist(), counts.tolist(), strict=True), strict=True))
-    got = np.fromiter((x for w in words for x in _memo[w]), np.int64, 2 * len(words)).reshape(-1, 2)
-    return got[:, 0], got[:, 1]
+
+class _Memo:
+    """Ids and counts of words seen of late, as arrays by place; a dictionary gives the place. One for each worker."""
+
+    def __init__(self):
+        self.folder, self.places = "", _Places()
+        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def known(self, model: Model, each: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of the n words of all lists in order; of unknown ones -1 and 0."""
+        if self.folder != model.folder or len(self.places) > MEMO:
+            self.__init__()
+            self.folder = model.folder
+        old = len(self.places)
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(each)), np.int32, n)
+        if len(self.places) > old:
+            hashes = np.fromiter(map(_hash, islice(self.places, old, None)), np.uint64, len(self.places) - old)
+            ids = model.find(hashes) if model.size else np.full(len(hashes), -1)
+            counts, have = np.zeros(len(ids), np.int64), ids >= 0
+            counts[have] = model.count_of(ids[have])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        return self.ids[at], self.counts[at]
+
+
+_memo = _Memo()
 
 
 def _contexts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all tokens of the texts: context id (the start mark's is the vocabulary's size), id, count, and the texts' first tokens."""
     each = [tokens(t) for t in texts]
-    ids, counts = _known(model, [w for x in each for w in x])
-    first = np.cumsum([0, *map(len, each)])[:-1]
+    first = np.cumsum([0, *map(len, each)])
+    ids, counts = _memo.known(model, each, int(first[-1]))
+    first = first[:-1]
     context = np.r_[0, ids[:-1]]
     context[first] = model.size
     return context, ids, counts, first
@@ -253,16 +281,19 @@ def _count_pairs(model: Model):
             ends = [*at[1:], len(keys)]
             return pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a in at], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["shard", "keys", "counts"])
 
-        size = 0
+        size, total = 0, 0
         for batch in batches:
             for _, texts in texts_of(batch.column(0)):
                 context, ids, _, _ = _contexts(model, texts)
                 keys, counts = np.unique((context * np.int64(model.size + 1) + ids).astype(np.uint64), return_counts=True)
+                if total + len(ids) >> 32:  # a row's counts have 4 bytes
+                    yield out()
+                    size, total = 0, 0
                 held.append((keys, counts))
-                size += len(keys)
+                size, total = size + len(keys), total + len(ids)
                 if size > HELD:
                     yield out()
-                    size = 0
+                    size, total = 0, 0
         if held:
             yield out()
 
@@ -309,7 +340,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     def by_range(ids: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple]:
         part = ids // RANGE
         edges = np.searchsorted(part, np.arange(ranges + 1))
-        return [(kind, k, (ids[a:b] - k * RANGE).astype(np.uint32).tobytes(), np.stack([c[a:b] for c in columns]).astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+        return [(kind, k, (ids[a:b] - k * RANGE).astype(np.uint32).tobytes(), np.stack([c[a:b] for c in columns]).astype(np.int64).tobytes()) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
 
     made = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("columns", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
@@ -321,7 +352,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         keys, counts = keys[order], counts[order].astype(np.int64)
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         keys, counts = keys[at], np.add.reduceat(counts, at)
-        _write(folder, f"pairs-{shard}", keys, counts.astype(np.uint32))
+        _write(folder, f"pairs-{shard}", keys, *_least(counts))
         u = (keys // base).astype(np.int64)
         first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
         rows = by_range(u[first], 0, *(np.add.reduceat(x.astype(np.int64), first) for x in (counts == 1, counts == 2, counts > 2)))
@@ -342,10 +373,10 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         out = np.zeros((4, n), np.int64)
         for kind, ids, columns in zip(table["kind"].to_pylist(), table["ids"].to_pylist(), table["columns"].to_pylist(), strict=True):
             ids = np.frombuffer(ids, np.uint32)
-            values = np.frombuffer(columns, np.uint32).reshape(-1, len(ids))
+            values = np.frombuffer(columns, np.int64).reshape(-1, len(ids))
             for k, x in enumerate(values):
                 out[k + 3 * kind][ids] += x
-        _write(folder, f"ids-{part}", *out.astype(np.uint32))
+        _write(folder, f"ids-{part}", *_least(*out))
         low = out[3]
         return pa.table({"stats": pa.array([[int(low.sum()), *(int((low == k).sum()) for k in range(1, 5)), int((low > 2).sum())]], pa.list_(pa.int64()))})
 
