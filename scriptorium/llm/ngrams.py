@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint_root, cut, map_texts, texts_of
 
 #: Aimed entries of a vocabulary shard, ids of a range, tokens of a bigram shard; entries a worker adds up; words whose ids it keeps.
-VOCAB, RANGE, TOKENS, HELD, MEMO, HOT = 2_000_000, 2_000_000, 4_000_000, 3_000_000, 500_000, 8
+VOCAB, RANGE, TOKENS, HELD, MEMO, HOT = 2_000_000, 2_000_000, 4_000_000, 3_000_000, 200_000, 8
 _END = b"\n"  # no word holds a line feed
 
 
@@ -211,9 +211,14 @@ class _Memo:
 
     def known(self, model: Model, each: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of the n words of all lists in order; of unknown ones -1 and 0."""
-        if self.folder != model.folder or len(self.places) > MEMO:
+        if self.folder != model.folder:
             self.__init__()
             self.folder = model.folder
+        if len(self.places) > MEMO:  # words that are frequent in the corpus stay
+            keep = np.flatnonzero(self.counts >= max(16, np.partition(self.counts, -(MEMO // 4))[-(MEMO // 4)]))
+            words = list(self.places)
+            self.places = _Places((words[k], i) for i, k in enumerate(keep.tolist()))
+            self.ids, self.counts = self.ids[keep], self.counts[keep]
         old = len(self.places)
         at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(each)), np.int32, n)
         if len(self.places) > old:
