@@ -23,6 +23,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scriptorium-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -65,22 +67,66 @@ def texts_of(column: pa.ChunkedArray | pa.Array, max_bytes: int = 8 << 20) -> It
         start = stop
 
 
+def index_of(df: DataFrame, name: str) -> int:
+    """The place of a column: of that very name, else of that name in another case."""
+    names = df.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+class Box:
+    """The columns of a table that an operator works on, under the operator's names, and all others in one struct.
+
+    Inside there are no names but the operator's, so whatever the table's columns are called, nothing clashes.
+    """
+
+    def __init__(self, docs: DataFrame, **roles: str):
+        self.names = docs.columns
+        self.role = {index_of(docs, name): role for role, name in reversed(roles.items())}
+        flat = docs.toDF(*(f"c{i}" for i in range(len(self.names))))
+        others = (f"c{i}" for i in range(len(self.names)) if i not in self.role)
+        self.df = flat.select(F.struct(F.lit(0).cast("byte").alias("none"), *others).alias("box"), *(F.col(f"c{index_of(docs, name)}").alias(role) for role, name in roles.items()))
+
+    def open(self, df: DataFrame, *added: str, drop: tuple[str, ...] = ()) -> DataFrame:
+        """The table's own columns again, from a df that has box and the roles' columns, and added ones. An added column replaces one of its name in any case."""
+        gone = {n.lower() for n in added}
+        own = [(i, n) for i, n in enumerate(self.names) if n.lower() not in gone and self.role.get(i) not in drop]
+        out = df.select(*(F.col(self.role.get(i, f"box.c{i}")).alias(f"c{i}") for i, _ in own), *added)
+        return out.toDF(*(n for _, n in own), *added)
+
+
+def join_one(many: DataFrame, one: DataFrame, on: list[str], by: list[str] | None = None, each: int = 4096) -> DataFrame:
+    """The inner join of many with one, which has a row for each value of on. Values with over each rows of many are dealt over several tasks.
+
+    by: the columns of on that tell values apart well enough to count them (all of them). many must come from a checkpoint or a
+    file, so that a repeated task deals as the first did.
+    """
+    by = by or on
+    hot = cut(many.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > each).select(*by, F.ceil(F.col("n") / each).cast("int").alias("salts")))
+    if hot.isEmpty():
+        return many.join(one, on)
+    # at most a row of hot for each `each` rows of many
+    dealt = many.join(small(hot), by, "left").withColumn("salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    copies = one.join(small(hot), by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, [*on, "salt"]).drop("salt")
+
+
 def map_texts(df: DataFrame, column: str, fields: list[tuple[str, pa.DataType, str]], compute: Callable[[list[bytes]], list], drop: tuple[str, ...] = ()) -> DataFrame:
-    """df and new columns that compute() makes from lists of whole texts as bytes. Columns of df with the new names are replaced, those in drop go.
+    """df and new columns that compute() makes from lists of whole texts as bytes. Columns of df with the new names (in any case) are replaced, those in drop go.
 
     fields: name, Arrow type and Spark type of each; compute returns one sequence for each field.
     """
-    gone = {n for n, _, _ in fields} | set(drop)
-    keep = [c for c in df.columns if c not in gone]
-    old = df.select(*dict.fromkeys([*keep, column]))
-    schema = T.StructType([*df.select(*keep).schema.fields, *(T.StructField(n, T.StructType.fromDDL(f"x {s}")["x"].dataType) for n, _, s in fields)])
+    names, gone = df.columns, {n.lower() for n, _, _ in fields} | {n.lower() for n in drop}
+    keep, text = [i for i, n in enumerate(names) if n.lower() not in gone], f"c{index_of(df, column)}"
+    kept = [f"c{i}" for i in keep]
+    old = df.toDF(*(f"c{i}" for i in range(len(names)))).select(*dict.fromkeys([*kept, text]))
+    schema = T.StructType([*old.select(*kept).schema.fields, *(T.StructField(f"n{j}", T.StructType.fromDDL(f"x {s}")["x"].dataType) for j, (_, _, s) in enumerate(fields))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(column)
+            at = batch.schema.get_field_index(text)
             for start, texts in texts_of(batch.column(at)):
                 got = compute(texts)
-                arrays = [batch.column(batch.schema.get_field_index(c)).slice(start, len(texts)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(g, type=t) for g, (_, t, _) in zip(got, fields, strict=True))], names=[*keep, *(n for n, _, _ in fields)])
+                arrays = [batch.column(batch.schema.get_field_index(c)).slice(start, len(texts)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(g, type=t) for g, (_, t, _) in zip(got, fields, strict=True))], names=schema.names)
 
-    return old.mapInArrow(run, schema)
+    return old.mapInArrow(run, schema).toDF(*(names[i] for i in keep), *(n for n, _, _ in fields))

@@ -1,16 +1,21 @@
 """Line dedup by content-defined chunks of lines.
 
-Every line has a hash (XXH64); a rolling hash over the last WINDOW line hashes ends a chunk where it is 0 modulo DIVISOR, so that
-boundaries depend on the lines around them alone and an inserted line shifts none but its neighbours'. A line of LONG words or
-more is a chunk of its own: a passage in one line is found wherever it stands. Chunks of several lines with a word, and long
-lines, are compared over the whole corpus: first by hash, then the bytes of chunks with equal hashes. Of equal chunks the one
-with the smallest (id, text hash, position) stays; the lines of the others go.
-
-Per chunk a row of two hashes and a position is shuffled, pre-aggregated by hash; bytes are shuffled only for repeated hashes,
-once for each task. Documents meet their decisions by a broadcast of bounded, counted size or a join.
-
-Defined results: null text stays null; rows with equal id and text are one document; a null id counts as the smallest; a text
-whose lines all go becomes empty; an empty table gives an empty result. Other columns stay unless their names are those added.
+Every line with a word has a hash (XXH64); a rolling hash over the last WINDOW of them ends a segment behind a line unless it is 0
+modulo DIVISOR, so that boundaries depend on the lines around them alone and an inserted line shifts none but its neighbours'. A
+chunk begins at a boundary (or the text's start) and ends at the first one (or the text's end) with two lines or more between
+them; chunks may overlap. A line of LONG words or more is a chunk of its own besides: a passage in one line is found wherever it
+stands. Chunks are compared over the whole corpus: first by hash, then the bytes of all chunks whose hash repeats. Of equal chunks
+the one with the smallest (id, text hash, place) stays; the lines of the others go, and with them the lines before (of two
+segments) and behind (of one) that are equal to those around the chunk that stays. So a repeated run of lines goes whole, its
+ends too, if it holds a chunk. Every line that goes has an equal one earlier in that order, so no line vanishes from the corpus.
+
+Per chunk a row of two hashes and a place is shuffled, pre-aggregated by hash; bytes are shuffled only for repeated hashes, and
+chunks with very many copies are dealt over tasks. Documents meet their decisions by a broadcast of bounded, counted size or a join.
+
+Defined results: null text stays null; ids are of any type with an order; rows with equal id and text are one document; a null id
+counts as the smallest; lines without a word belong to the chunk around them; a text whose lines all go becomes empty; chunks that
+overlap copies of themselves count as copies (of a line that repeats without a break one stays); an empty table gives an empty
+result. Other columns stay, whatever their names are, unless these are those added (in any case).
 """
 
 from __future__ import annotations
@@ -21,122 +26,165 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small, texts_of
+from .common import Box, cut, join_one, small, texts_of
 
-WINDOW, DIVISOR, LONG = 2, 2, 16
-#: Removed chunks up to which documents' decisions are broadcast (some bytes each); more are joined by a shuffle.
-BROADCAST_POSITIONS = 2_000_000
+WINDOW, DIVISOR, LONG = 2, 8, 16
+#: Line ranges that go up to which documents' decisions are broadcast (some bytes each); more are joined by a shuffle.
+BROADCAST_RANGES = 2_000_000
 _K = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first line, line behind the last, signed hash) of the chunks that are compared; the others are single short lines or blank."""
-    out, start, last, total, words = [], 0, [0] * WINDOW, 0, 0
-    digest = xxhash.xxh64_intdigest
-
-    def close(stop: int) -> None:
-        nonlocal start, total, words
-        if stop > start:
-            if words > 1:
-                x = total
-                out.append((start, stop, x - (1 << 64) if x >> 63 else x))
-            start, total, words = stop, 0, 0
-
-    for i, line in enumerate(lines):
-        n, h = len(line.split()), digest(line)
-        if n >= LONG:
-            close(i)
-            total, words = h, 2
-            close(i + 1)
-            last = [0] * WINDOW
-            continue
-        last = [*last[1:], h]
-        total = (total * _K + h + 1) & _ALL
-        words += n > 0
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line)
+
+
+def filled(text: bytes) -> tuple[list[bytes], list[int]]:
+    """The text's lines, and the places of those with a word."""
+    lines = text.split(b"\n")
+    return lines, [i for i, x in enumerate(lines) if x.strip()]
+
+
+def boundaries(hashes: list[int]) -> list[int]:
+    """Places between lines where segments meet, with both ends."""
+    out = [0]
+    for i in range(len(hashes) - 1):
         rolled = 0
-        for x in last:
-            rolled = (rolled * _K + x) & _ALL
-        if (rolled >> 32) % DIVISOR == 0:
-            close(i + 1)
-    close(len(lines))
+        for x in hashes[max(0, i + 1 - WINDOW) : i + 1]:
+            rolled = (rolled * _K + x + 1) & _ALL
+        if (rolled >> 32) % DIVISOR:
+            out.append(i + 1)
+    return [*out, len(hashes)] if hashes else out
+
+
+def chunks(lines: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+    """(first line, line behind the last, signed hash, first line before, line behind the last after) of the chunks of lines that all have a word."""
+    hashes = [line_hash(x) for x in lines]
+    ends = boundaries(hashes)
+    spans, k = [], 0
+    for i, a in enumerate(ends):
+        k = max(k, i)
+        while k < len(ends) and ends[k] < a + 2:
+            k += 1
+        if k < len(ends):
+            spans.append((a, ends[k], ends[max(i - 2, 0)], ends[min(k + 1, len(ends) - 1)]))
+    at = 0
+    for i, x in enumerate(lines):
+        while ends[at + 1] <= i:
+            at += 1
+        if len(x.split()) >= LONG:
+            spans.append((i, i + 1, ends[max(at - 1, 0)], ends[min(at + 2, len(ends) - 1)]))
+    out = []
+    for a, b, before, after in spans:
+        total = b - a
+        for h in hashes[a:b]:
+            total = (total * _K + h) & _ALL
+        out.append((a, b, total - (1 << 64) if total >> 63 else total, before, after))
     return out
 
 
+def alike(mine: list[bytes], other: list[bytes]) -> int:
+    """How many lines are equal from the start on."""
+    n = 0
+    for x, y in zip(mine, other, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def _key(texts: list[bytes]) -> np.ndarray:
     """What Spark's xxhash64() gives for the texts."""
     return np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
 
 
-def _rows(with_text: bool):
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("seq", pa.int32()), ("h", pa.int64())] + ([("body", pa.binary())] if with_text else []))
+def _rows(with_text: bool, bits: int):
+    """(id, text) to a row for each chunk; with_text: with its bytes and the lines around it, each array from the chunk outwards. Of hashes so many bits count."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()] + ([pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())] if with_text else [])
+    names = ["key", "a", "b", "h", "body", "before", "after"][: len(kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             for start, texts in texts_of(batch.column(1)):
-                rows = []
-                for i, k, t in zip(ids[start : start + len(texts)], _key(texts).tolist(), texts, strict=True):
-                    lines = t.split(b"\n")
-                    rows += [(i, k, n, h, b"\n".join(lines[a:b]))[: 4 + with_text] for n, (a, b, h) in enumerate(chunks(lines))]
+                rows, of = [], []
+                for i, (k, t) in enumerate(zip(_key(texts).tolist(), texts, strict=True)):
+                    lines, at = filled(t)
+                    full = [lines[j] for j in at]
+                    for a, b, h, first, last in chunks(full):
+                        rows.append((k, a, b, h & ((1 << bits) - 1) if bits < 64 else h) + ((b"\n".join(full[a:b]), full[first:a][::-1], full[b:last]) if with_text else ()))
+                        of.append(start + i)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["id", *names])
 
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, gone): for each document with chunks that go their positions among its chunks; key is the text's hash."""
-    least = F.lit(-(1 << 63)).cast("long")
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("id"), F.col(text_col).alias("text"))
-    made = cut(slim.mapInArrow(_rows(False), "id long, key long, seq int, h long"))
-    at = F.struct("id", "key", "seq")
-    twice = cut(made.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    bodies = slim.mapInArrow(_rows(True), "id long, key long, seq int, h long, body binary").join(small(twice, 500_000), "h", "left_semi")
-    same = bodies.groupBy("h", "body").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    same = cut(same.filter("n > 1").select("h", "first", F.xxhash64("body").alias("b"), F.count("*").over(W.partitionBy("h")).alias("bodies")))
-    plain = same.filter("bodies = 1")
-    out = made.join(small(plain.select("h", "first"), 500_000), "h").filter(at != F.col("first")).select("id", "key", "seq")
-    if not same.filter("bodies > 1").isEmpty():  # hashes that several bodies share: their rows are told apart by the bytes
-        other = bodies.join(same.filter("bodies > 1").select("h", "b", "first"), (bodies.h == same.h) & (F.xxhash64("body") == F.col("b")))
-        out = out.unionByName(other.filter(at != F.col("first")).select("id", "key", "seq"))
-    return out.groupBy("id", "key").agg(F.sort_array(F.collect_set("seq")).alias("gone"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks that go, as ranges with the lines around them that go too."""
+    for batch in batches:
+        cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        before, after, other, behind = (cols[n].to_pylist() for n in ("before", "after", "first_before", "first_after"))
+        a = [x - alike(m, o) for x, m, o in zip(cols["a"].to_pylist(), before, other, strict=True)]
+        b = [x + alike(m, o) for x, m, o in zip(cols["b"].to_pylist(), after, behind, strict=True)]
+        yield pa.RecordBatch.from_arrays([cols["id"], cols["key"], pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["id", "key", "a", "b"])
+
+
+def repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(id, key, gone) of docs (id, text): for each document with lines that go their ranges among its lines with a word; key is the text's hash.
+
+    bits: of chunk hashes; fewer make more chunks meet whose bytes differ, the result is the same.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    slim = docs.select("id", "text")
+    at = F.struct("id", "key", "a", "b")
+    twice = slim.mapInArrow(_rows(False, bits), f"id {kind}, key long, a int, b int, h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    bodies = slim.mapInArrow(_rows(True, bits), f"id {kind}, key long, a int, b int, h long, body binary, before array<binary>, after array<binary>")
+    bodies = cut(bodies.join(small(cut(twice), 500_000), "h", "left_semi"))
+    # equal bytes, not equal hashes, make a copy: bodies that share a hash by chance are different groups
+    same = bodies.groupBy("h", "body").agg(F.min(at).alias("first"), F.min_by(F.struct("before", "after"), at).alias("around"), F.count("*").alias("n")).filter("n > 1")
+    same = same.select("h", F.xxhash64("body").alias("h2"), "body", "first", F.col("around.before").alias("first_before"), F.col("around.after").alias("first_after"))
+    copies = join_one(bodies.withColumn("h2", F.xxhash64("body")), cut(same), ["h", "h2", "body"], ["h", "h2"]).filter(at != F.col("first"))
+    copies = copies.select("id", "key", "a", "b", "before", "after", "first_before", "first_after")
+    return copies.mapInArrow(_extend, f"id {kind}, key long, a int, b int").groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("gone"))
+
+
+def without(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
+    """The text without the ranges of its lines with a word (and blank lines inside them); lines, lines that went and words that went."""
+    lines, at = filled(text)
+    drop = {i for a, b in ranges for i in range(at[a], at[b - 1] + 1)}
+    return b"\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop), sum(len(lines[i].split()) for i in drop)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """docs with the text without repeated chunks, n_lines, n_lines_removed and n_words_removed."""
-    gone = cut(repeats(docs, id_col, text_col))
+    box = Box(docs, id=id_col, text=text_col)
+    gone = cut(repeats(box.df, bits))
     added = ("n_lines", "n_lines_removed", "n_words_removed")
-    names = [c for c in docs.columns if c not in added]
-    g = gone.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("gone").alias("_gone"))
-    if gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0] <= BROADCAST_POSITIONS:
+    g = gone.select(F.col("id").alias("gid"), F.col("key").alias("gkey"), "gone")
+    if gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0] <= BROADCAST_RANGES:
         g = F.broadcast(g)
-    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
-    own_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.select(*names).join(g, (own_id == F.col("_id")) & (own_key == F.col("_key")), "left").select(*names, "_gone")
-    schema = T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL("n_lines int, n_lines_removed int, n_words_removed long").fields])
+    own_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    joined = box.df.join(g, F.col("id").eqNullSafe(F.col("gid")) & (own_key == F.col("gkey")), "left").select("box", "id", "text", "gone")
+    schema = T.StructType([*box.df.schema.fields, *T.StructType.fromDDL("n_lines int, n_lines_removed int, n_words_removed long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, lists = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.schema.get_field_index("_gone")).to_pylist()
+            text, lists = batch.column(2), batch.column(3).to_pylist()
             for start, texts in texts_of(text):
                 new, made = [], []
-                for t, at, null in zip(texts, lists[start : start + len(texts)], text.slice(start, len(texts)).is_null().to_pylist(), strict=True):
-                    if not at:
+                for t, ranges, null in zip(texts, lists[start : start + len(texts)], text.slice(start, len(texts)).is_null().to_pylist(), strict=True):
+                    if not ranges:
                         new.append(None if null else t)
                         made.append((t.count(b"\n") + 1, 0, 0))
                         continue
-                    lines = t.split(b"\n")
-                    spans = chunks(lines)
-                    drop = {i for k in at for i in range(spans[k][0], spans[k][1])}
-                    new.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop))
-                    made.append((len(lines), len(drop), sum(len(lines[i].split()) for i in drop)))
-                cols = [pa.array(new, pa.binary()).cast(text.type) if c == text_col else batch.column(batch.schema.get_field_index(c)).slice(start, len(texts)) for c in names]
+                    left, *counts = without(t, [(r["a"], r["b"]) for r in ranges])
+                    new.append(left)
+                    made.append(counts)
+                cols = [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(new, pa.binary()).cast(text.type)]
                 counts = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, *counts], names=[*names, *added])
+                yield pa.RecordBatch.from_arrays([*cols, *counts], names=["box", "id", "text", *added])
 
-    return joined.mapInArrow(run, schema)
+    return box.open(joined.mapInArrow(run, schema), *added)

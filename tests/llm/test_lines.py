@@ -1,5 +1,9 @@
 import random
 
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
 from scriptorium.llm import lines
 
 SCHEMA = "doc_id long, text string, n_lines string"
@@ -33,12 +37,75 @@ def test_short_repeated_lines_stay(spark):
     assert all(r["n_lines_removed"] == 0 for r in clean(spark, rows).values())
 
 
-def test_colliding_hashes_are_told_apart(spark, monkeypatch):
+def brute(rows):
+    """Every chunk of every document against all earlier ones, by bytes; texts in the order of (id, hash of the text)."""
+    key = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42)
+    docs = sorted({(-(1 << 63) if i is None else i, key(t) - (1 << 64 if key(t) >> 63 else 0), t or "") for i, t, *_ in rows})
+    first, gone = {}, {}
+    for i, k, t in docs:
+        full = [x for x in t.encode().split(b"\n") if x.strip()]
+        out = set()
+        for a, b, _, before, after in sorted(lines.chunks(full)):
+            where = first.setdefault(tuple(full[a:b]), (full[before:a], full[b:after], (i, k, a, b)))
+            if where[2] != (i, k, a, b):
+                x, y = 0, 0
+                while x < min(a - before, len(where[0])) and full[a - 1 - x] == where[0][-1 - x]:
+                    x += 1
+                while y < min(after - b, len(where[1])) and full[b + y] == where[1][y]:
+                    y += 1
+                out |= set(range(a - x, b + y))
+        gone[i, t] = b"\n".join(x for j, x in enumerate(full) if j not in out).decode()
+    return {(i, t): gone[-(1 << 63) if i is None else i, t or ""] for i, t, *_ in rows}
+
+
+def random_rows(seed, n=60):
+    rng = random.Random(seed)
+    runs = [[line(rng.randrange(1, 20), f"run{k}-{j}") for j in range(rng.randrange(1, 9))] for k in range(6)]
+    out = []
+    for i in range(n):
+        parts = [[line(rng.randrange(1, 20), f"own{seed}-{i}-{k}")] if rng.random() < 0.6 else rng.choice(runs) for k in range(rng.randrange(1, 8))]
+        out.append((rng.randrange(n), "\n".join(x for p in parts for x in p), "x"))
+    return [*out, *out[:5], (None, out[7][1], "x"), (3, "\n".join(["same line again"] * 6), "x")]
+
+
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_against_brute_force(spark, bits):
+    """Also where most chunks, or all, share their hash."""
+    rows = random_rows(bits)
+    want, full = brute(rows), lambda t: "\n".join(x for x in t.split("\n") if x.strip())
+    got = lines.dedup(spark.createDataFrame(rows, SCHEMA).withColumn("was", F.col("text")), bits=bits).collect()
+    assert len(got) == len(rows) and sum(r["n_lines_removed"] for r in got) > 50
+    for r in got:
+        assert full(r["text"]) == want[r["doc_id"], r["was"]]
+    left = {x for r in got for x in r["text"].split("\n")}
+    assert left >= {x for r in got for x in r["was"].split("\n") if x}  # no line vanishes from the corpus
+
+
+def test_colliding_hashes_are_told_apart(spark):
+    """A, A, B with one hash for all: B's only copy stays."""
     a, b = line(30, "a"), line(30, "b")
-    rows = [(1, f"{a}\n{b}\nx", "x"), (2, f"{b}\ny", "x"), (3, f"{a}\nz", "x")]
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = lines.dedup(df).orderBy("doc_id").collect()
-    assert [r["text"] for r in got] == [f"{a}\n{b}\nx", "y", "z"]
+    rows = [(1, a, "x"), (2, a, "x"), (3, b, "x")]
+    got = lines.dedup(spark.createDataFrame(rows, SCHEMA), bits=0).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [a, "", b]
+
+
+def test_short_lines_in_runs(spark):
+    """A run of short lines goes whole, its ends too, wherever it stands."""
+    rng = random.Random(5)
+    runs = [[line(9, f"r{k}-{j}") for j in range(6)] for k in range(40)]
+    rows = [(2 * k + c, "\n".join([line(9, f"a{k}{c}{j}") for j in range(rng.randrange(2, 5))] + run + [line(9, f"b{k}{c}{j}") for j in range(3)]), "x") for k, run in enumerate(runs) for c in (0, 1)]
+    got = {r["doc_id"]: r["n_lines_removed"] for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[2 * k] == 0 for k in range(40)) and sum(got[2 * k + 1] == 6 for k in range(40)) >= 39
+
+
+def test_names_and_ids(spark):
+    p = line(40, "n")
+    df = spark.createDataFrame([("d1", f"{p}\nx", "mine", 5), ("d2", f"{p}\ny", "own", 6)], "_id string, Text string, _gone string, `key` int")
+    got = lines.dedup(df, "_id", "text").orderBy("_id").collect()
+    assert [(r["_id"], r["Text"], r["_gone"], r["key"]) for r in got] == [("d1", f"{p}\nx", "mine", 5), ("d2", "y", "own", 6)]
+    df = spark.createDataFrame([(1, p, "u", "v"), (2, p, "u", "v")], "doc_id int, text string, N_Lines string, `a.b` string")
+    got = lines.dedup(df)
+    assert got.columns == ["doc_id", "text", "a.b", "n_lines", "n_lines_removed", "n_words_removed"] and sorted(r["text"] for r in got.collect()) == ["", p]
 
 
 def test_edges(spark):
