@@ -86,12 +86,16 @@ class Box:
         others = (f"c{i}" for i in range(len(self.names)) if i not in self.role)
         self.df = flat.select(F.struct(F.lit(0).cast("byte").alias("none"), *others).alias("box"), *(F.col(f"c{index_of(docs, name)}").alias(role) for role, name in roles.items()))
 
-    def open(self, df: DataFrame, *added: str, drop: tuple[str, ...] = ()) -> DataFrame:
-        """The table's own columns again, from a df that has box and the roles' columns, and added ones. An added column replaces one of its name in any case."""
-        gone = {n.lower() for n in added}
+    def open(self, df: DataFrame, *added: str, called: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
+        """The table's own columns again, from a df that has box and the roles' columns, and added ones under the names called (their own).
+
+        An added column replaces one of its name in any case. Roles in drop do not come back.
+        """
+        called = called or added
+        gone = {n.lower() for n in called}
         own = [(i, n) for i, n in enumerate(self.names) if n.lower() not in gone and self.role.get(i) not in drop]
         out = df.select(*(F.col(self.role.get(i, f"box.c{i}")).alias(f"c{i}") for i, _ in own), *added)
-        return out.toDF(*(n for _, n in own), *added)
+        return out.toDF(*(n for _, n in own), *called)
 
 
 def join_one(many: DataFrame, one: DataFrame, on: list[str], by: list[str] | None = None, each: int = 4096) -> DataFrame:

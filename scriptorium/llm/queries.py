@@ -75,7 +75,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("email", "ip", "card", "phone")
     count = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
     digest = F.sha2(pii.listed(F.filter("pii", lambda x: x.kind.isin(*base))), 256)
-    return found.select("doc_id", *count, digest.alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *count, digest.alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda x: x.score.cast("string")), ",").alias("scores"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op3_near_duplicates, op4_quality, op5_language_model, op6_chat, op7_contamination, op8_line_dedup, op9_tokens, op10_pii)}
