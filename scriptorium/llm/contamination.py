@@ -7,31 +7,36 @@ passages at once (numpy); a passage that some block's bound lets through is sear
 their maxima. A retrieved item must then overlap: its question and its answer (its last sentence; a single sentence is halved)
 are cut into shingles of 5 words, and OVERLAP of all shingles and PART of each side's must stand in the passage.
 
-A large benchmark has several indexes, so that their tables of block maxima stay sharp and small. They are broadcast in groups of about
-PART_WORDS words of items, each group being a pass over the texts: what is broadcast is bounded whatever the benchmark is. Documents are
-never shuffled.
-
-Defined results: null texts are empty and match nothing; items that are null or have no word are not searched; items of fewer than
-5 words are one shingle; equal items are all reported; rows are independent; no items or no documents give an empty result. Ties do not arise (all
-items above the threshold are taken). Other columns stay in clean().
+The numbers of BM25 (items that hold a word, mean length) and the passages' width are those of the whole benchmark. A large one is
+cut into slices of about INDEX_WORDS words, so that their tables of block maxima stay sharp and small; what is collected, broadcast
+and held by workers at once is a group of slices of about PART_WORDS words, and each group is a pass over the texts with a
+checkpoint behind it. So slices and groups change no score and no result. Documents are never shuffled.
+
+Defined results: null texts are empty and match nothing; null item texts and such without a word are not searched; items without an
+id are searched, and reported with none; ids are of any type; items of fewer than 5 words are one shingle; equal items are all
+reported, in the order of the benchmark's ids; rows are independent; no items or no documents give an empty result. Ties do not
+arise (all items above the threshold are taken). Other columns stay in clean(), whatever their names are; matches() replaces a
+column of its own name.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_texts
+from .common import Box, cut, map_texts
 
 K1, B, THRESHOLD, OVERLAP, PART, SHINGLE = 1.2, 0.75, 0.55, 0.8, 0.5, 5
-#: Items in a block of postings; floats of the table of block maxima that bounds all passages; words of items in one index, and in one broadcast; words a worker keeps ids of.
-BLOCK, TABLE, INDEX_WORDS, PART_WORDS, MEMO = 4, 4_000_000, 20_000, 1_000_000, 500_000
+#: Items in a block of postings; floats of the table of block maxima that bounds all passages; words of items in one slice, and in one broadcast; words a worker keeps ids of.
+BLOCK, TABLE, INDEX_WORDS, PART_WORDS, MEMO = 4, 4_000_000, 20_000, 300_000, 400_000
 _EDGES = b".,;:!?\"'()[]{}<>*#|%$&"
 
 
@@ -55,9 +60,26 @@ def sides(text: bytes) -> tuple[bytes, bytes]:
     return b" ".join(words[: (len(words) + 1) // 2]), b" ".join(words[(len(words) + 1) // 2 :])
 
 
+@dataclass
+class Numbers:
+    """Of the whole benchmark: items with a word, their mean length in words and the longest one's, and in how many a word stands."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
+def numbers(texts: list[bytes]) -> Numbers:
+    words, df = [w for w in map(normal, texts) if w], Counter()
+    for w in words:
+        df.update(set(w))
+    return Numbers(len(words), sum(map(len, words)) / max(len(words), 1), max(map(len, words), default=0), df)
+
+
 @dataclass
 class Index:
-    ids: list[int]
+    ids: list
     terms: dict[bytes, int]
     postings: list[list[tuple[int, float]]]  # by term: (item, share of the item's own score), items ascending
     block_max: list[dict[int, float]]
@@ -65,19 +87,20 @@ class Index:
     top: list[float]
     parts: list[tuple[set, set, set]]
     width: int
+    n_memo: int = MEMO
     memo: dict[bytes, int] = field(default_factory=dict)
 
 
-def build(items: list[tuple[int, str]]) -> Index | None:
+def build(items: list[tuple[object, str]], whole: Numbers | None = None) -> Index | None:
+    """The index of a slice of items; whole: the numbers of the benchmark that it is a slice of."""
     docs = [(i, normal(t.encode()), t.encode()) for i, t in items if t is not None]
     docs = [d for d in docs if d[1]]
     if not docs:
         return None
-    mean, df = sum(len(w) for _, w, _ in docs) / len(docs), Counter()
-    for _, w, _ in docs:
-        df.update(set(w))
+    whole = whole or numbers([t for _, _, t in docs])
+    mean, df = whole.mean, {t: whole.df[t] for _, w, _ in docs for t in w}
     terms = {t: i for i, t in enumerate(sorted(df))}
-    idf = {t: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    idf = {t: math.log(1 + (whole.items - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
     block_max: list[dict[int, float]] = [{} for _ in terms]
     per = max(2, math.ceil(len(docs) * len(terms) / TABLE))
@@ -96,7 +119,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
         parts.append((shingles(w), shingles(q), shingles(a)))
     # rounded up, so that float sums stay bounds
     coarse *= np.float32(1.0001)
-    return Index([i for i, _, _ in docs], terms, postings, block_max, coarse, [max(s for _, s in p) for p in postings], parts, max(16, max(len(w) for _, w, _ in docs)))
+    return Index([i for i, _, _ in docs], terms, postings, block_max, coarse, [max(s for _, s in p) for p in postings], parts, max(16, whole.longest))
 
 
 def wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -145,7 +168,7 @@ def _ids(index: Index, words: list[bytes]) -> np.ndarray:
     try:
         return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
     except KeyError:
-        if len(memo) > MEMO:
+        if len(memo) > index.n_memo:
             memo.clear()
         get, none = index.terms.get, len(index.terms)
         for w in set(words).difference(memo):
@@ -154,7 +177,7 @@ def _ids(index: Index, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
 
 
-def search(index: Index, texts: list[bytes], threshold: float = THRESHOLD) -> list[list[tuple[int, float, float, float]]]:
+def search(index: Index, texts: list[bytes], threshold: float = THRESHOLD) -> list[list[tuple[object, float, float, float]]]:
     """For each text its items as (item id, score, question overlap, answer overlap), the best passage of each."""
     none, width = len(index.terms), index.width
     rows, owner, first, blocks = [], [], [], 0
@@ -171,7 +194,7 @@ def search(index: Index, texts: list[bytes], threshold: float = THRESHOLD) -> li
         first.append(blocks)
         owner += [len(first) - 1] * n
         blocks += n
-    out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
+    out: list[list[tuple[object, float, float, float]]] = [[] for _ in texts]
     pairs = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
     pairs = pairs[pairs % (none + 1) != none]
     if not len(pairs):
@@ -207,38 +230,66 @@ def search(index: Index, texts: list[bytes], threshold: float = THRESHOLD) -> li
     return out
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[Index]]:
-    """Indexes of about INDEX_WORDS words of items each, in groups of about PART_WORDS words: a group is broadcast at once."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null and i is not null")
-    words = rows.agg(F.sum(F.length("t") / 5)).first()[0] or 0
-    n, out = max(1, math.ceil(words / PART_WORDS)), []
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        items = [(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()]
-        each = max(1, math.ceil(len(items) / max(1, math.ceil(words / n / INDEX_WORDS))))
-        out.append([x for a in range(0, len(items), each) if (x := build(items[a : a + each]))])
-    return [group for group in out if group]
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (number of words, distinct words) of the items that have any."""
+    for batch in batches:
+        words = [w for t in batch.column(0).to_pylist() if (w := normal(t.encode()))]
+        yield pa.RecordBatch.from_arrays([pa.array(map(len, words), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], names=["n", "words"])
+
+
+def _groups(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """Groups of indexes of a benchmark (id, text), one at a time: about INDEX_WORDS words in an index, about PART_WORDS in a group."""
+    rows = benchmark.filter("text is not null")
+    counted = cut(rows.select("text").mapInArrow(_words, "n long, words array<binary>"))
+    items, total, longest = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    n = max(1, math.ceil(total / PART_WORDS))
+    part = F.pmod(F.xxhash64("text"), F.lit(n))
+    df = counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")) if n > 1 else None
+    df = cut(df) if n > 1 else None
+    for k in range(n if items else 0):
+        own = rows.filter(part == k)
+        group = own.orderBy("id", "text").collect()  # about PART_WORDS words
+        texts = [r["text"].encode() for r in group]
+        whole = numbers(texts)
+        if n > 1:
+            mine = own.select("text").mapInArrow(_words, "n long, words array<binary>").select(F.explode("words").alias("word")).distinct()
+            whole = Numbers(items, total / items, longest, {bytes(r["word"]): r["df"] for r in df.join(mine, "word").collect()})
+        each = max(1, math.ceil(len(group) / max(1, math.ceil(sum(len(t.split()) for t in texts) / INDEX_WORDS))))
+        made = [x for a in range(0, len(group), each) if (x := build([(r["id"], r["text"]) for r in group[a : a + each]], whole))]
+        for x in made:
+            x.n_memo = MEMO // len(made)
+        if made:
+            yield made
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "matches", drop_text: bool = False) -> DataFrame:
     """docs and an array of the items that the text holds: item_id, score, question_overlap, answer_overlap."""
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-    spark = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
+    items = Box(benchmark, id=item_col, text=item_text).df.select("id", "text")
+    id_type = items.schema["id"].dataType
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+    spark = f"array<struct<item_id:{id_type.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
     names = ("item_id", "score", "question_overlap", "answer_overlap")
-    out, made = docs, []
-    for k, group in enumerate(_parts(benchmark, item_col, item_text)):
-        shipped = docs.sparkSession.sparkContext.broadcast(group)
-
-        def compute(texts: list[bytes], shipped=shipped) -> list:
-            each = [search(index, texts) for index in shipped.value]
+    box = Box(docs, text=text_col)
+    out, found, held = box.df, F.array().cast(spark), None
+    for group in _groups(items):
+        if held is not None:  # the group before has been searched for; its indexes go before the next come
+            out = cut(out.select("box", "text", found.alias("found")))
+            found = F.col("found")
+            held.unpersist()
+        held = docs.sparkSession.sparkContext.broadcast(group)
+
+        def compute(texts: list[bytes], held=held) -> list:
+            each = [search(index, texts) for index in held.value]
             return [[[dict(zip(names, x, strict=True)) for found in every for x in found] for every in zip(*each, strict=True)]]
 
-        made.append(f"_matches_{k}")
-        out = map_texts(out, text_col, [(made[-1], kind, spark)], compute)
-    every = F.concat(*made) if made else F.array().cast(spark)
-    return out.select(*(c for c in docs.columns if not (drop_text and c == text_col) and c != into), every.alias(into))
+        out = map_texts(out, "text", [("more", kind, spark)], compute)
+        found = F.concat(found, F.col("more"))
+    out = out.select("box", "text", F.array_sort(found).alias("found"))
+    return box.open(out, "found", called=(into,), drop=("text",) if drop_text else ())
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without those that hold an item."""
-    return matches(docs, benchmark, text_col, into="_matches").filter(F.size("_matches") == 0).select(*docs.columns)
+    box = Box(docs, text=text_col)
+    found = matches(box.df, benchmark, "text", item_col, item_text, into="found")
+    return box.open(found.filter(F.size("found") == 0).drop("found"))

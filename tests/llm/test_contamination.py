@@ -1,4 +1,8 @@
+import math
 import random
+from collections import Counter
+
+import pytest
 
 from scriptorium.llm import contamination as C
 
@@ -26,7 +30,6 @@ def test_wand_finds_all():
 
 
 def test_bounds_hide_no_passage():
-    """Search finds what scoring every passage by hand finds."""
     items = [(i, " ".join(words(20 + i, i))) for i in range(40)]
     index = C.build(items)
     texts = [" ".join(words(n, 1000 + n) + t.split() + words(n * 2, 2000 + n)).encode() for n, (_, t) in enumerate(items)]
@@ -44,6 +47,58 @@ def test_documents(spark):
     assert C.clean(d, b.limit(0)).count() == len(docs) and C.clean(d.limit(0), b).count() == 0
 
 
+def brute(items, text):
+    """{item: (score, question, answer)} by scoring every passage against every item with plain BM25 and checking the overlaps."""
+    bag = {i: C.normal(t.encode()) for i, t in items if t and C.normal(t.encode())}
+    n, mean, width = len(bag), sum(map(len, bag.values())) / len(bag), max(16, max(map(len, bag.values())))
+    df = Counter(w for x in bag.values() for w in set(x))
+    words, out = C.normal((text or "").encode()), {}
+    for a in range(0, len(words), width):
+        passage = words[a : a + 2 * width]
+        for i, x in bag.items():
+            tf = Counter(x)
+            w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * k * (C.K1 + 1) / (k + C.K1 * (1 - C.B + C.B * len(x) / mean)) for t, k in tf.items()}
+            score = sum(v for t, v in w.items() if t in passage) / sum(w.values())
+            if score < C.THRESHOLD:
+                continue
+            have = {tuple(passage[j : j + m]) for m in range(1, 6) for j in range(len(passage) - m + 1)}
+            every, q, r = (len(p & have) / len(p) if p else 1.0 for p in (C.shingles(x), *(C.shingles(C.normal(y)) for y in C.sides(dict(items)[i].encode()))))
+            if every >= C.OVERLAP and q >= C.PART and r >= C.PART:
+                out[i] = max(out.get(i, (0.0, 0.0, 0.0)), (score, q, r))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(20_000, 300_000), (60, 200)])
+def test_against_brute_force(spark, sizes, monkeypatch):
+    """Whole, and cut into slices and groups: the same items with the same scores."""
+    monkeypatch.setattr(C, "INDEX_WORDS", sizes[0])
+    monkeypatch.setattr(C, "PART_WORDS", sizes[1])
+    rng, vocabulary = random.Random(3), words(200, 4)
+    items = [(f"q{i}", " ".join(rng.choices(vocabulary, k=rng.randrange(3, 40))) + ("? " + " ".join(rng.choices(vocabulary, k=6)) if i % 3 else "")) for i in range(40)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            item = rng.choice(items)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 2, 5, 9])):
+                item[rng.randrange(len(item))] = rng.choice(vocabulary)
+            parts += [*rng.choices(vocabulary, k=rng.randrange(60)), *item[: rng.choice([len(item), len(item), len(item) // 2 + 1])]]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([(f"d{i}", t, "u") for i, t in enumerate(texts)], "_matches string, Text string, box string")
+    bench = spark.createDataFrame([*items, (None, items[0][1]), ("none", None), ("blank", " ")], "name string, text string")
+    got = {r["_matches"]: r["matches"] for r in C.matches(docs, bench, "text", "name").collect()}
+    n = 0
+    for i, t in enumerate(texts):
+        want = brute([*items, (None, items[0][1])], t)
+        assert {m["item_id"] for m in got[f"d{i}"]} == set(want)
+        for m in got[f"d{i}"]:
+            assert (m["score"], m["question_overlap"], m["answer_overlap"]) == pytest.approx(want[m["item_id"]])
+            n += 1
+    assert n > 40
+    kept = C.clean(docs, bench, "text", "name")
+    assert kept.columns == docs.columns and {r["_matches"] for r in kept.collect()} == {k for k, m in got.items() if not m}
+
+
 def test_parts_of_the_index(spark, monkeypatch):
     monkeypatch.setattr(C, "PART_WORDS", 60)
     monkeypatch.setattr(C, "INDEX_WORDS", 30)
