@@ -2,9 +2,7 @@
 
 Files, in a folder of the shared checkpoint folder: shards of the vocabulary (sorted XXH64 hashes of words, and their counts; a
 word's id is its place among all), ranges of ids (bigram types that follow the word once, twice, more often; distinct words
-before it), and shards of bigrams (sorted keys context * base + word, and counts). Every file is written under a name of its
-task's own and moved into place, so a lost or repeated task leaves a whole file. Workers map local files directly; from another
-store they first copy a file to a temporary folder of their own, which goes with the process.
+before it), and shards of bigrams (sorted keys context * base + word, and counts). (See store.py.)
 
 Counting: workers add up sorted arrays of keys before they pass them on, a row for each shard; a shard's task merges its rows.
 Bigrams are sharded by context, those of contexts with over 1/HOT of a shard's tokens by the pair, so no context fills a task. Shards
@@ -20,11 +18,7 @@ repeatedly; there are no ties. Other columns stay unless their names are those a
 
 from __future__ import annotations
 
-import atexit
 import math
-import os
-import shutil
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -33,12 +27,12 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint_root, cut, map_texts, texts_of
+from .store import Places, columns, find_sorted, forget, mapped, write
 
 #: Aimed entries of a vocabulary shard, ids of a range, tokens of a bigram shard; entries a worker adds up; words whose ids it keeps.
 VOCAB, RANGE, TOKENS, HELD, MEMO, HOT = 2_000_000, 2_000_000, 4_000_000, 3_000_000, 200_000, 8
@@ -55,51 +49,6 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
-
-
-def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
-    fs, at = _store(folder)
-    fs.create_dir(at, recursive=True)
-    own = f"{at}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as f:
-        for a in arrays:
-            f.write(memoryview(np.ascontiguousarray(a)).cast("B"))
-    fs.move(own, f"{at}/{name}")
-
-
-_maps: dict[str, np.memmap] = {}
-_copies: dict[str, str] = {}
-
-
-def _mapped(folder: str, name: str) -> np.ndarray:
-    key = f"{folder}/{name}"
-    if key not in _maps:
-        fs, at = _store(folder)
-        path = f"{at}/{name}"
-        if not isinstance(fs, pafs.LocalFileSystem):
-            if folder not in _copies:
-                _copies[folder] = tempfile.mkdtemp()
-                atexit.register(shutil.rmtree, _copies[folder], True)
-            path = f"{_copies[folder]}/{name}"
-            with fs.open_input_stream(f"{at}/{name}") as src, open(path, "wb") as out:
-                shutil.copyfileobj(src, out)
-        if len(_maps) > 4096:
-            _maps.clear()
-        _maps[key] = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-    return _maps[key]
-
-
-def _columns(raw: np.ndarray, n: int, *types: type) -> list[np.ndarray]:
-    out, at = [], 0
-    for t in types:
-        size = n * np.dtype(t).itemsize
-        out.append(raw[at : at + size].view(t))
-        at += size
-    return out
-
-
 def _least(*columns: np.ndarray) -> list[np.ndarray]:
     """Counts in 4 bytes each if all fit, else in 8; a file's size tells which."""
     wide = any(len(c) and int(c.max()) >> 32 for c in columns)
@@ -133,22 +82,13 @@ class Model:
         return np.r_[0, np.cumsum(self.vocab_sizes)].astype(np.int64)
 
     def vocab(self, k: int) -> list[np.ndarray]:
-        return _columns(_mapped(self.folder, f"vocab-{k}"), self.vocab_sizes[k], np.uint64, np.int64)
+        n = self.vocab_sizes[k]
+        return columns(mapped(self.folder, f"vocab-{k}"), (n, np.uint64), (n, np.int64)) if n else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of words by hash, -1 for unknown ones. Shards are ranges of hashes, so sorted hashes pass each once, in order."""
-        order = np.argsort(hashes)
-        wanted, found = hashes[order], np.full(len(hashes), -1, np.int64)
-        n, starts = len(self.vocab_sizes), self.starts()
-        edges = np.searchsorted(wanted, np.array([k * ((1 << 64) // n) for k in range(n)], np.uint64))
-        for k, (a, b) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(wanted)], strict=True)):
-            if b > a and self.vocab_sizes[k]:
-                keys = self.vocab(k)[0]
-                at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
-                found[a:b] = np.where(keys[at] == wanted[a:b], at + starts[k], -1)
-        out = np.empty_like(found)
-        out[order] = found
-        return out
+        """Ids of words by hash, -1 for unknown ones."""
+        found = find_sorted(hashes, len(self.vocab_sizes), lambda k: self.vocab(k)[0])
+        return np.where(found < 0, -1, (found & ((1 << 40) - 1)) + self.starts()[found >> 40])
 
     def by_id(self, ids: np.ndarray, column: int) -> np.ndarray:
         """A column of the ranges' files (0 to 2: types after it once, twice, more often; 3: types before it) for ids."""
@@ -157,8 +97,8 @@ class Model:
         for k in np.unique(part).tolist():
             rows = np.flatnonzero(part == k)
             size = min(RANGE, self.size + 1 - k * RANGE)
-            raw = _mapped(self.folder, f"ids-{k}")
-            out[rows] = _columns(raw, size, *[_width(raw, size, 0, 4)] * 4)[column][ids[rows] - k * RANGE]
+            raw = mapped(self.folder, f"ids-{k}")
+            out[rows] = columns(raw, *[(size, _width(raw, size, 0, 4))] * 4)[column][ids[rows] - k * RANGE]
         return out
 
     def count_of(self, ids: np.ndarray) -> np.ndarray:
@@ -182,8 +122,8 @@ class Model:
         edges = np.searchsorted(shard[order], np.arange(len(self.pair_sizes) + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             rows = order[edges[k] : edges[k + 1]]
-            raw, n = _mapped(self.folder, f"pairs-{k}"), self.pair_sizes[k]
-            have, counts = _columns(raw, n, np.uint64, _width(raw, n, 8, 1))
+            raw, n = mapped(self.folder, f"pairs-{k}"), self.pair_sizes[k]
+            have, counts = columns(raw, (n, np.uint64), (n, _width(raw, n, 8, 1)))
             if len(have):
                 at = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
                 found[rows] = np.where(have[at] == keys[rows], counts[at].astype(np.int64), 0)
@@ -194,19 +134,11 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-class _Places(dict):
-    """Words by the place at which they were first seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        return at
-
-
 class _Memo:
     """Ids and counts of words seen of late, as arrays by place; a dictionary gives the place. One for each worker."""
 
     def __init__(self):
-        self.folder, self.places = "", _Places()
+        self.folder, self.places = "", Places()
         self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def known(self, model: Model, each: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +149,7 @@ class _Memo:
         if len(self.places) > MEMO:  # words that are frequent in the corpus stay
             keep = np.flatnonzero(self.counts >= max(16, np.partition(self.counts, -(MEMO // 4))[-(MEMO // 4)]))
             words = list(self.places)
-            self.places = _Places((words[k], i) for i, k in enumerate(keep.tolist()))
+            self.places = Places((words[k], i) for i, k in enumerate(keep.tolist()))
             self.ids, self.counts = self.ids[keep], self.counts[keep]
         old = len(self.places)
         at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(each)), np.int32, n)
@@ -324,7 +256,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     def vocab(key: tuple, table: pa.Table) -> pa.Table:
         h, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
         order = np.argsort(h)
-        _write(folder, f"vocab-{key[0].as_py()}", h[order], n[order])
+        write(folder, f"vocab-{key[0].as_py()}", h[order], n[order])
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(h)], pa.int64())})
 
     top = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
@@ -336,9 +268,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     limit = total / len(model.pair_sizes) / HOT
     hot = np.array([r["h"] for r in words.filter(F.col("n") > limit).select("h").collect()], np.int64).view(np.uint64)
     model.hot = np.r_[model.find(hot), model.size] if model.n_docs > limit else model.find(hot)
-    for name in list(_maps):
-        if name.startswith(folder):
-            del _maps[name]
+    forget(folder)
 
     ranges, base = math.ceil((model.size + 1) / RANGE), np.uint64(model.size + 1)
 
@@ -357,7 +287,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         keys, counts = keys[order], counts[order].astype(np.int64)
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         keys, counts = keys[at], np.add.reduceat(counts, at)
-        _write(folder, f"pairs-{shard}", keys, *_least(counts))
+        write(folder, f"pairs-{shard}", keys, *_least(counts))
         u = (keys // base).astype(np.int64)
         first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
         rows = by_range(u[first], 0, *(np.add.reduceat(x.astype(np.int64), first) for x in (counts == 1, counts == 2, counts > 2)))
@@ -381,7 +311,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             values = np.frombuffer(columns, np.int64).reshape(-1, len(ids))
             for k, x in enumerate(values):
                 out[k + 3 * kind][ids] += x
-        _write(folder, f"ids-{part}", *_least(*out))
+        write(folder, f"ids-{part}", *_least(*out))
         low = out[3]
         return pa.table({"stats": pa.array([[int(low.sum()), *(int((low == k).sum()) for k in range(1, 5)), int((low > 2).sum())]], pa.list_(pa.int64()))})
 
