@@ -8,12 +8,12 @@ ranked by u/(1-u) divided by p/(1-p), u being a fixed random number of the docum
 words are as near its target as whole documents get.
 
 The rank's cut is found without gathering a source in one task: words are summed in BINS bins of the rank, the bin where the
-target is met is found among the sums, and only that bin's rows are ordered. Every document then decides alone against its
+target is met is found among the sums and divided into BINS again, and only the rows of the last bin are ordered. Every document then decides alone against its
 source's cut, so text never moves.
 
 Defined results: a null source is a source (last in order); null or blank text has size 0 and is never taken; rows with the
 same id share one random number, and rows equal in rank, id and size share one decision; a null id counts as the empty id; an
-empty table gives an empty result. Other columns of the input stay, and clash with nothing: added names replace equal ones.
+empty table gives an empty result. Other columns of the input stay, whatever their names are; added names replace equal ones (in any case).
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, small
+from .common import Box, cut, n_words, small
 
-#: Bins of the rank; the second pass orders about 1/BINS of a source.
-BINS = 1024
+#: Bins of the rank, and how often the bin that holds the cut is divided again: about 1 / BINS ** LEVELS of a source is ordered.
+BINS, LEVELS = 1024, 2
 #: A document of class k (2^k to 2^(k+1)-1 words) has the inclusion weight max(1, TOP_CLASS - k).
 TOP_CLASS = 16
 
@@ -50,10 +50,9 @@ def _uniform(key: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_columns: bool = True) -> DataFrame:
     """docs with size, source_size, target and copies (times the mix takes the document); without keep_columns only the id and these."""
-    made = ["size", "source_size", "target", "copies"]
-    named = [F.col(c) for c in docs.columns if c not in made] if keep_columns else [F.col(id_col)]
+    box = Box(docs, id=id_col, text=text_col, source=source_col)
     k = F.when(F.col("size") > 0, F.length(F.bin("size")) - 1).otherwise(-1)
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"))
+    slim = box.df.select(F.col("id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("size"))
     slim = cut(slim.select("*", k.cast("int").alias("_class"), _uniform(F.col("_id"), seed).alias("_u")))
 
     classes = slim.groupBy("_source", "_class").agg(F.sum("size").alias("words"))
@@ -89,25 +88,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int =
         return df.select("*", F.when((F.col("_p") > 0) & (F.col("size") > 0), q / (1 + q)).alias("_t"))
 
     key = F.struct(F.col("_t"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("i"), F.col("size").alias("n"))
-    drawn = ranked(slim).filter(F.col("_t").isNotNull()).select("_source", "size", "rest", F.least(F.floor(F.col("_t") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), key.alias("key"))
-    bins = drawn.groupBy("_source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = F.sum("words").over(own.orderBy("bin"))
-    bins = bins.select("*", (upto - F.col("words")).alias("before"), upto.alias("upto")).select("*", F.max("upto").over(own).alias("all"))
-    hit = bins.filter((F.col("before") < F.col("rest")) & ((F.col("rest") <= F.col("upto")) | (F.col("upto") == F.col("all")))).select("_source", "bin", "before", "rest")
-    hit = cut(hit)
-    near = drawn.alias("d").join(small(hit).alias("h"), F.col("d._source").eqNullSafe(F.col("h._source")) & (F.col("d.bin") == F.col("h.bin"))).select("d._source", "size", "d.rest", "key", "before")
+    drawn = ranked(slim).filter(F.col("_t").isNotNull()).select("_source", "size", "rest", F.lit(0.0).alias("before"), F.lit(0).cast("long").alias("bin"), F.col("_t"), key.alias("key"))
+    near, hits = drawn, []
+    for fine in range(1, LEVELS + 1):  # of a bin where a target is met the next level looks at bins of its own
+        at = F.floor(F.col("_t") * BINS**fine).cast("long")
+        part = near.select("_source", "size", "rest", "before", F.when(at >= (F.col("bin") + 1) * BINS, (F.col("bin") + 1) * BINS - 1).otherwise(F.greatest(at, F.col("bin") * BINS)).alias("bin"), "_t", "key")
+        bins = part.groupBy("_source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("first"))
+        upto = F.col("first") + F.sum("words").over(own.orderBy("bin"))
+        bins = bins.select("*", (upto - F.col("words")).alias("before"), upto.alias("upto")).select("*", F.max("upto").over(own).alias("all"))
+        hit = bins.filter((F.col("before") < F.col("rest")) & ((F.col("rest") <= F.col("upto")) | (F.col("upto") == F.col("all")))).select("_source", "bin", "before", "rest")
+        hits.append(cut(hit))
+        near = part.drop("before").alias("d").join(small(hits[-1]).alias("h"), F.col("d._source").eqNullSafe(F.col("h._source")) & (F.col("d.bin") == F.col("h.bin"))).select("d._source", "size", "d.rest", "h.before", "d.bin", "_t", "key")
+    hit = hits[-1]
     sums = F.col("before") + F.sum("size").over(own.orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow))
-    below = F.struct((F.col("bin") / F.lit(float(BINS))).alias("_t"), F.lit("").alias("i"), F.lit(-1).cast("long").alias("n"))
+    below = F.struct((F.col("bin") / F.lit(float(BINS**LEVELS))).alias("_t"), F.lit("").alias("i"), F.lit(-1).cast("long").alias("n"))
     ends = near.select("_source", "key", F.abs(sums - F.col("rest")).alias("off")).unionByName(hit.select("_source", below.alias("key"), F.abs(F.col("before") - F.col("rest")).alias("off")))
     edge = ends.groupBy("_source").agg(F.min_by("key", F.struct("off", "key")).alias("_cut"))
     edge = cut(edge)
 
-    rows = slim if not keep_columns else docs.select(*named, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"))
+    rows = slim if not keep_columns else box.df.select("*", F.col("id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("size"))
     if keep_columns:
         rows = rows.select("*", k.cast("int").alias("_class"), _uniform(F.col("_id"), seed).alias("_u"))
     out = ranked(rows).alias("d")
     out = out.join(small(edge).alias("e"), F.col("d._source").eqNullSafe(F.col("e._source")), "left").select("d.*", "e._cut")
     out = out.alias("d").join(small(sources).alias("s"), F.col("d._source").eqNullSafe(F.col("s._source")), "left").select("d.*", "s.source_size", "s.target")
     copies = F.col("_whole") + F.when(F.col("_t").isNotNull() & F.col("_cut").isNotNull() & (key <= F.col("_cut")), 1).otherwise(0)
-    first = named if keep_columns else [F.col("_id").alias(id_col)]
-    return out.select(*first, "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"))
+    made = ["size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies")]
+    if not keep_columns:
+        return out.select(F.col("_id").alias(id_col), *made)
+    return box.open(out.select("box", "id", "text", "source", *made), "size", "source_size", "target", "copies")

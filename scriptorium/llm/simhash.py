@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, small
+from .common import Box, cut, join_one, map_texts, small
 from .graph import components
 
 RADIUS, WIDTH, SLICE = 4, 4, 2048
@@ -104,8 +104,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, slice_size: int = SLICE) ->
     """Pairs (a, b) of the fingerprints in column fp that connect all which links within the radius connect."""
     table = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("t"), F.lit(m).alias("m")) for i, m in enumerate(masks(radius)))))
     keyed = distinct.select("fp", table.alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
-    several = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("slices", F.ceil(F.col("n") / slice_size).cast("int"))
-    members = keyed.join(several, ["t", "key"]).withColumn("slice", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
+    several = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key", F.ceil(F.col("n") / slice_size).cast("int").alias("slices")))
+    # a large bucket is dealt by slice before it is joined; there is at most one for each slice_size rows
+    dealt = keyed.join(small(several.filter("slices > 1")), ["t", "key"], "left").select("t", "key", "fp", F.pmod(F.xxhash64("fp"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
+    each = several.select("t", "key", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    members = dealt.join(small(each), ["t", "key", "slice"])
     slices = cut(members.groupBy("t", "key", "slices", "slice").agg(F.collect_list("fp").alias("fps")))
     alone = slices.filter("slices = 1").select(F.col("fps").alias("x"), F.col("fps").alias("y"))
     left = slices.filter("slices > 1").select("t", "key", "slice", F.col("fps").alias("x"), F.explode(F.sequence(F.col("slice"), F.col("slices") - 1)).alias("other"))
@@ -114,14 +117,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, slice_size: int = SLICE) ->
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component) of every row; the component is the smallest id of the rows that links reach."""
-    prints = cut(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", keep_text=False))
-    distinct = cut(prints.groupBy("fp").agg(F.min("_id").alias("first")))
-    found = components(links(distinct, radius))
-    joined = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    """(id, fp, component_id) of every row; the component is the smallest id of the rows that links reach."""
+    prints = cut(fingerprints(Box(docs, id=id_col, text=text_col).df.select("id", "text"), "text", keep_text=False))
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    return named(prints, distinct, components(links(distinct, radius)), id_col)
+
+
+def named(prints: DataFrame, distinct: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """(id, fp, component_id) of prints (id, fp) by the components found (node, component) of distinct fingerprints (fp, first)."""
+    joined = cut(distinct.select("fp", "first").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     lowest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = joined.join(lowest, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    of = join_one(joined, lowest, ["component"], each=1000).select("fp", "component_id")
+    return join_one(prints.select("id", "fp"), of, ["fp"], each=1000).select("id", "fp", "component_id").toDF(id_col, "fp", "component_id")
 
 
 def hexed(fp):
@@ -138,14 +145,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 def keep_first(docs: DataFrame, found: DataFrame, prints, id_col: str, text_col: str) -> DataFrame:
     """What keep_one() returns, by found, the classes (id, fp, component_id) of docs; prints adds a text's fp."""
-    repeated = cut(found.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")))
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    single = gone.join(repeated, "_id", "left_anti").unionByName(repeated)
-    out = docs.join(small(cut(single)), docs[id_col] == F.col("_id"), "left_anti")
+    box, found = Box(docs, id=id_col, text=text_col), found.toDF("id", "fp", "component_id")
+    repeated = cut(found.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"))
+    gone = found.filter("id <> component_id").select("id").distinct()
+    single = gone.join(repeated, "id", "left_anti").unionByName(repeated)
+    out = box.df.join(small(cut(single)), "id", "left_anti").select("box", "id", "text")
     if repeated.isEmpty():
-        return out
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_rid"), F.col(text_col).alias("_text")).join(small(repeated), F.col("_rid") == F.col("_id"), "left_semi")
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kid"), F.col("fp").alias("_kfp")).distinct()
-    rows = prints(rows, "_text", keep_text=False)
-    rows = rows.join(kept, (F.col("_rid") == F.col("_kid")) & (F.col("fp") == F.col("_kfp")), "left_semi").dropDuplicates(["_rid"])
-    return out.unionByName(rows.select("_row.*"))
+        return box.open(out)
+    rows = prints(box.df.join(small(repeated), "id", "left_semi").select("box", "id", "text"), "text")
+    kept = found.filter("id = component_id").select("id", "fp").distinct()
+    rows = rows.join(kept, ["id", "fp"], "left_semi").dropDuplicates(["id"])
+    return box.open(out.unionByName(rows.select("box", "id", "text")))
