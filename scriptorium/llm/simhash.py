@@ -138,7 +138,7 @@ def hexed(fp):
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs without near-duplicates: of every component the row with the smallest id stays; rows without an id stay.
 
-    Where an id repeats, its rows are told apart by their fingerprints, and of equal ones a single one stays.
+    Where an id repeats, its rows are told apart by their fingerprints, and of equal ones that with the smallest text, then the smallest other columns (as JSON), stays.
     """
     return keep_first(docs, cut(classes(docs, id_col, text_col, radius)), fingerprints, id_col, text_col)
 
@@ -154,5 +154,5 @@ def keep_first(docs: DataFrame, found: DataFrame, prints, id_col: str, text_col:
         return box.open(out)
     rows = prints(box.df.join(small(repeated), "id", "left_semi").select("box", "id", "text"), "text")
     kept = found.filter("id = component_id").select("id", "fp").distinct()
-    rows = rows.join(kept, ["id", "fp"], "left_semi").dropDuplicates(["id"])
-    return box.open(out.unionByName(rows.select("box", "id", "text")))
+    rows = rows.join(kept, ["id", "fp"], "left_semi").groupBy("id").agg(F.min_by(F.struct("box", "id", "text"), F.struct("text", F.to_json("box"))).alias("row"))
+    return box.open(out.unionByName(rows.select("row.*")))
