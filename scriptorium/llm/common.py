@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -55,6 +56,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release() -> None:
+    """Hands memory that a task no longer needs back to the system: Python workers outlive tasks, and idle ones share an executor's memory with the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Slices of a string column as bytes (null: empty): the first row's index and the rows, about max_bytes at a time."""
     data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -132,6 +141,6 @@ def map_texts(df: DataFrame, column: str, fields: list[tuple[str, pa.DataType, s
                 got = compute(texts)
                 arrays = [batch.column(batch.schema.get_field_index(c)).slice(start, len(texts)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(g, type=t) for g, (_, t, _) in zip(got, fields, strict=True))], names=schema.names)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return old.mapInArrow(run, schema).toDF(*(names[i] for i in keep), *(n for n, _, _ in fields))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, Box, cut, join_one, small, texts_of
+from .common import BROADCAST_ROWS, Box, cut, join_one, release, small, texts_of
 
 WINDOW, DIVISOR, LONG = 2, 8, 16
 #: Line ranges that go up to which documents' decisions are broadcast (some bytes each); more are joined by a shuffle.
@@ -116,7 +116,7 @@ def _rows(with_text: bool, bits: int):
                 if rows:
                     own = pa.array(of)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["id", "key", *names])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return run
 
@@ -215,6 +215,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
                 cols = [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(new, pa.binary()).cast(text.type)]
                 counts = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, *counts], names=["box", "id", "text", *added])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return box.open(joined.mapInArrow(run, schema), *added)
