@@ -166,19 +166,29 @@ def audit(registry: DataFrame) -> DataFrame:
     return registry.select("id", F.explode(F.array_compact(F.array(*(F.when(r, F.lit(k)) for k, r in rules.items())))).alias("problem"))
 
 
-def extract_queue(registry: DataFrame, exists: Column) -> DataFrame:
-    """registry with queue (pdf, docx, text or null) and new_state: what extraction does with each row. exists: whether the source is there."""
+def extracted(has_text: Column, force: bool = False, redo_ocr: bool = False) -> Column:
+    """Whether a row keeps the text that it has: one from elsewhere (已OCR) unless redo_ocr, one of our own that is there unless force."""
+    return F.when(T.or_blank(F.col("state")) == "已OCR", F.lit(not redo_ocr)).otherwise(~blank(F.col("text_path")) & has_text & F.lit(not force))
+
+
+def extract_queue(registry: DataFrame, exists: Column, has_text: Column | None = None, force: bool = False, redo_ocr: bool = False) -> DataFrame:
+    """registry with queue (pdf, docx, text or null) and new_state: what extraction does with each row.
+
+    exists: whether the source is there; has_text: whether the file at text_path is (rows that keep their text have no queue).
+    """
     ext, state = T.extension(F.col("source_path")), T.or_blank(F.col("state"))
     copy = F.contains(T.or_blank(F.col("tier")), F.lit("重复")) | (T.or_blank(F.col("verdict")) == DUP_VERDICT) | (state == SKIPPED)
     gone, open_ = blank(F.col("source_path")) | ~exists, state.isin("", "未处理")
     queue = F.when(gone | copy, None).when(ext.isin(".md", ".txt"), "text").when(ext == ".pdf", "pdf").when(ext == ".docx", "docx")
-    after = F.when(blank(F.col("source_path")), state).when(~exists, "源文件缺失").when(copy | queue.isNotNull() | ~open_, state).when(ext.isin(*IMAGES), "需OCR").otherwise("待其它提取器")
+    if has_text is not None:
+        queue = F.when(~extracted(has_text, force, redo_ocr), queue)
+    after = F.when(blank(F.col("source_path")), state).when(~exists, "源文件缺失").when(copy | ext.isin(".md", ".txt", ".pdf", ".docx") | ~open_, state).when(ext.isin(*IMAGES), "需OCR").otherwise("待其它提取器")
     return registry.withColumn("queue", queue).withColumn("new_state", after)
 
 
 def text_duplicates(texts: DataFrame) -> DataFrame:
     """(keep_id, dup_id) of rows (id, file_name, body) with equal bodies: the name with the fewest copy marks, then the smallest id stays."""
-    marks = F.regexp_count(F.col("file_name"), F.lit(r"(?i)副本|拷贝|复件|copy|[（(][0-9]+[）)]"))
+    marks = F.regexp_count(F.col("file_name"), F.lit(r"(?i)副本|拷贝|复件|copy|[（(][0-9]+[）)]|[ _\-][0-9]+$"))
     rows = texts.select("id", marks.alias("_marks"), F.sha1("body").alias("_sha"))
     first = rows.groupBy("_sha").agg(F.min(F.struct("_marks", "id")).alias("_first"))
     return rows.join(first, "_sha").filter(F.col("_first.id") != F.col("id")).select(F.col("_first.id").alias("keep_id"), F.col("id").alias("dup_id"))

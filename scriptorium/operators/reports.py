@@ -14,7 +14,7 @@ from scriptorium.operators import registry as R
 from scriptorium.operators import topics as O
 
 SHOWN = 40
-#: Fields compared across cards besides length; those of the fourteen whose difference is soft.
+#: Those of the fourteen fields whose difference is soft, as that of the length is.
 SOFT = ("批评点", "明显的遗漏点", "待探讨的相关问题")
 
 
@@ -50,15 +50,15 @@ def matrix(rows: DataFrame, unknown: list[str], again: list[str], top: int = 25,
 
 
 def card_values(cards: DataFrame) -> DataFrame:
-    """(card, field, value) of cards (card, text): tier, reference basis, a verdict for each of the fourteen fields."""
-    values = [F.struct(F.lit("tier").alias("field"), T.or_blank(T.card_tier(F.col("text"))).alias("value")), F.struct(F.lit("basis").alias("field"), T.ref_basis(F.col("text")).alias("value"))]
+    """(card, field, value) of cards (card, text): tier, reference basis, length, a verdict for each of the fourteen fields."""
+    values = [F.struct(F.lit("tier").alias("field"), T.or_blank(T.card_tier(F.col("text"))).alias("value")), F.struct(F.lit("basis").alias("field"), T.ref_basis(F.col("text")).alias("value")), F.struct(F.lit("length").alias("field"), T.nonspace_len(F.col("text")).cast("string").alias("value"))]
     values += [F.struct(F.lit(n).alias("field"), C.judge(F.col("text"), n).alias("value")) for n in L.FIELD_NAMES]
     return cards.select("card", F.explode(F.array(*values)).alias("x")).select("card", "x.field", "x.value")
 
 
 def compare(cards: DataFrame, overlap: float = C.OVERLAP) -> tuple[DataFrame, DataFrame]:
     """Agreement of cards by field, and fuzzy matches of the critique's items between the first two."""
-    hard = ("tier", *(n for n in L.FIELD_NAMES if n not in SOFT))
+    hard = ("tier", "basis", *(n for n in L.FIELD_NAMES if n not in SOFT))
     agreed = C.agreement(card_values(cards), hard)
     items = cards.select("card", F.posexplode(T.item_split(C.segment(F.col("text"), "批评点"))).alias("id", "item"))
     names = [r["card"] for r in cards.select("card").orderBy("card").limit(2).collect()]

@@ -19,8 +19,18 @@ PARTICLE, BOUNDARY, STOP_CHARS = "的", "·", "的了和与或在是有为对从
 #: Generic prefixes, and rests behind them that make a phrase generic.
 PREFIXES = ("研究", "分析", "影响", "考察", "检验", "方法", "结果", "存在", "缺乏", "提出", "采用", "使用", "建立", "发现", "表明", "机制")
 FRAGMENTS = ("研究", "研究已", "研究存", "存在", "已有", "有研究", "没有", "不能", "不足", "缺乏", "影响", "影响因素", "因素", "考察", "检验", "检验了", "表明", "指出", "显示", "证明", "报告", "分析", "分析了", "使用", "采用", "引入", "建立", "构建", "提出", "探讨", "讨论", "关注", "重视", "机制", "机制未", "未验证", "未考察", "未整合", "未明确", "未量化", "不明确", "方法研究", "研究框架", "框架", "维度", "层面", "角度", "视角", "价值研究", "较为", "相对", "更为", "更加", "十分", "非常", "尤其", "其中", "以上", "以下", "之间", "之后", "之前")
-#: Function words left out by default; a project gives its own list for anything more.
-STOPWORDS = ("the", "and", "for", "that", "with", "this", "from", "are", "was", "were", "has", "have", "not", "but", "which", "the", "der", "die", "das", "und", "les", "des", "que", "los", "las", "研究", "分析", "本文", "通过")
+#: Words left out by default: function words and set phrases that prescribed wording fills cells with. Longer lists are a parameter (a file, one word a line).
+STOPWORDS = tuple(
+    "研究 分析 本文 一个 及其 通过 进行 对于 关于 以及 但是 因此 所以 可以 能够 需要 应该 不同 相关 方面 问题 方法 结果 结论 本研究 表明 "
+    "指出 提出 发现 存在 具有 成为 一种 一些 这些 那些 其中 如果 由于 同时 此外 目前 主要 重要 影响 作用 关系 变化 发展 水平 程度 "
+    "作者未对前人文献提出批评 作者未提出空白 作者未明示空白 作者未对 作者未 本文评述推断 评述推断 前人文献提出批评 提出批评 "
+    "相反发现 未报告相反 作者自陈 未自陈 未提出空白 作者未报告 研究空白 空白栏 批评点 遗漏点 待探讨 逻辑能否走通（能否自圆其说） "
+    "未明示空白 未以空白句式明示 作者未对具体 作者未点名 有真实数据 真实数据 无实证数据 有调查数据 既有研究 既有文献 先前研究 前人工作 "
+    "无数据 无实证 无样本 未给样本 但未给样本 未注明样本 无前后测 无统计 无测量 无量化 作者明示 作者未提出 作者未明示 作者期待 "
+    "已有研究 已有文献 现有研究 现有文献 前人研究 相关研究 大量研究 多数研究 研究表明 研究发现 研究指出 研究认为 研究者 学者 学界 "
+    "the and for that with this from are was were has have not but which gap gaps study studies research article paper review "
+    "however therefore thus although while finding findings result results also more most such other used using der die das und les des que los las".split()
+)
 CITATION = r"[（(][^（()）\n]{0,80}?(?:19|20)[0-9]{2}[a-z]?[^（()）\n]{0,30}?[）)]|[A-Z][a-z]{2,}(?:\s*(?:&|and|、|，|,)\s*[A-Z][a-z]{2,})*\s+et\s+al\.?,?\s*(?:19|20)[0-9]{2}|[A-Z][a-z]{2,}\s*(?:&|and)\s*[A-Z][a-z]{2,}\s*,?\s*(?:19|20)[0-9]{2}"
 HAN = r"[\x{4e00}-\x{9fff}]"
 

@@ -15,9 +15,9 @@ from scriptorium.operators import topics as O
 HAN = "translate(lower({x}), 'abcdefghijklmnopqrstuvwxyz', '学习教师课堂互动深度合作课程素养评价能力研究模式的')"
 MATRIX = [
     "doc_id AS row_no",
-    "substr(text, 1, 90) AS spl",
-    f"concat('已有研究', {HAN.format(x='substr(text, 20, 40)')}, '（Smith 2019）') AS rof",
-    f"{HAN.format(x='substr(text, 5, 30)')} AS gap",
+    "text AS spl",
+    f"concat('已有研究', {HAN.format(x='concat(source, lang)')}, '（Smith 2019）') AS rof",
+    f"{HAN.format(x='text')} AS gap",
 ]
 ROWS = f"m AS (SELECT {', '.join(MATRIX)} FROM documents)"
 PATH = "concat(CASE WHEN doc_id % 19 = 0 THEN 'references/' ELSE 'out/' END, CASE doc_id % 6 WHEN 0 THEN 'a-导读' WHEN 1 THEN '速览' WHEN 2 THEN 'x解码卡' WHEN 3 THEN '对比' WHEN 4 THEN '文献综述' ELSE 'y' END, '.md') AS path"
@@ -157,8 +157,10 @@ def lint_json(spark, sf_dir):
 
 
 def fuzzy_match(spark, sf_dir):
-    left = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), F.substring("text", 1, 24).alias("item"))
-    return C.fuzzy_match(left, _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.substring("text", 1, 24).alias("item")))
+    """Of each benchmark item the turn of a conversation that is most like it."""
+    left = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("item"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("item"))
+    return C.fuzzy_match(left, turns)
 
 
 def card_segment(spark, sf_dir):
@@ -169,13 +171,16 @@ def card_judge(spark, sf_dir):
     return _docs(spark, sf_dir).selectExpr("doc_id", CARD).select("doc_id", C.judge(F.col("text"), "现有文献研究空白").alias("verdict"))
 
 
+HARD = ("quality-0", "quality-7", "quality-14", "toxic-7")
+
+
 def card_agreement(spark, sf_dir):
     """Labels by two annotators: the second one errs on every seventh document."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     second = labels.selectExpr("doc_id", "CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS quality", "toxic")
     both = labels.select("doc_id", "quality", "toxic", F.lit(1).alias("card")).unionByName(second.withColumn("card", F.lit(2)))
     values = both.select("card", F.explode(F.array(*(F.struct(F.concat(F.lit(f"{c}-"), "doc_id").alias("field"), F.col(c).alias("value")) for c in ("quality", "toxic")))).alias("x")).select("card", "x.field", "x.value")
-    return C.agreement(values, ()).drop("hard")
+    return C.agreement(values, HARD)
 
 
 QUERIES = {f.__name__: f for f in (strip_citations, strip_boilerplate, word_tokens, ngram_tokens, topic_counts, topic_dominated, topic_misaligned, expand_blocked, topic_blocked, topic_dedupe, topic_candidates, guess_form, sections, lint_hygiene, lint_chars, lint_budget, lint_banned, lint_abbr, lint_gap, lint_paragraphs, lint_locator, lint_codes, lint_merged, lint_limits, lint_findings, lint_rollup, lint_json, fuzzy_match, card_segment, card_judge, card_agreement)}
@@ -219,6 +224,9 @@ _FORM = f"""CASE WHEN starts_with(path, 'references/') THEN 'doc' WHEN contains(
  WHEN contains({_HEADS}, '综述摘要') AND contains({_HEADS}, '文献范围与筛选说明') THEN 'B' WHEN contains(path, '解码卡') THEN 'card' WHEN contains(path, '速览') THEN 'quick' WHEN contains(path, '对比') THEN 'C' WHEN contains(path, '综述') THEN 'B' WHEN contains(path, '导读') THEN 'A' WHEN contains(text, '作者要做什么') THEN 'A' ELSE 'B' END"""
 _CHARS = r"len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]+'))"
 
+#: A phrase, if before one of its places none of the marks stands in the last characters.
+_USED = "CASE WHEN len(list_filter(range(1, len(string_split(text, '{w}'))), lambda i: NOT regexp_matches(right(array_to_string(list_slice(string_split(text, '{w}'), 1, i), '{w}'), {near}), '{marks}'))) > 0 THEN '{w}' END"
+
 ORACLES = {
     "strip_citations": f"WITH {ROWS} SELECT row_no, regexp_replace(concat(rof, ' Brown et al. 2020, ', spl), '{_CITE}', ' ', 'g') AS text FROM m",
     "strip_boilerplate": f"WITH {ROWS} SELECT row_no, {_boiler('rof')} AS text FROM m",
@@ -235,17 +243,17 @@ ORACLES = {
     "lint_hygiene": f"WITH {DOCS} SELECT doc_id, len(regexp_extract_all(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`\\n]*`', '', 'g'), '{HTML_ENTITY}')) AS n FROM d",
     "lint_chars": f"WITH {DOCS} SELECT doc_id, {_FORM} AS form, {_CHARS} AS chars FROM d",
     "lint_budget": f"WITH {DOCS} SELECT doc_id, length(text) + 1 + length('## 九、end') + 1 + length('last') + 1 AS n FROM d",
-    "lint_banned": f"WITH {DOCS} SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN '方法有待加强' END, CASE WHEN doc_id % 5 = 2 THEN '具有重要的理论意义和现实意义' END) AS phrases FROM d",
+    "lint_banned": f"WITH {DOCS}, c AS (SELECT doc_id, regexp_replace(text, '(?s)<!--.*?-->', '', 'g') AS text FROM d) SELECT doc_id, concat_ws(',', " + ", ".join(_USED.format(w=w, near=L.NEAR, marks="|".join(L.MENTIONS)) for w in L.BANNED) + ") AS phrases FROM c",
     "lint_paragraphs": f"WITH {DOCS}, p AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\A[{WS}]+|[{WS}]+\\z', '', 'g')), lambda x: x <> '') AS p FROM d) SELECT doc_id, len(p) AS n, len(list_filter(p, lambda x: regexp_matches(x, '{L.AUTHOR_LEAD}'))) AS led, CAST(len(regexp_extract_all(text, '{L.YEAR_CITE}')) AS DOUBLE) AS density FROM p",
     "lint_locator": f"WITH {DOCS} SELECT doc_id, len(regexp_extract_all(text, '{L.LOCATOR}')) AS n FROM d",
     "lint_codes": f"WITH {DOCS} SELECT doc_id, " + " + ".join(f"CASE WHEN contains(text, '{n}') THEN 0 ELSE 1 END" for n in L.FIELD_NAMES) + " AS n FROM d",
     "lint_merged": f"WITH {DOCS} SELECT doc_id, regexp_matches(text, '{L.MERGED}') AS hit FROM d",
     "lint_limits": f"WITH {DOCS} SELECT doc_id, contains(text, '局限') AND NOT regexp_matches(right(split_part(text, '局限', 1), 12), '{'|'.join(L.ATTRIBUTIONS)}') AND NOT contains(text, '本文评述') AS hit FROM d",
-    "fuzzy_match": r"""WITH g AS (SELECT 0 AS side, item_id AS id, regexp_replace(substr(text, 1, 24), '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') AS s FROM benchmark UNION ALL SELECT 1, doc_id, regexp_replace(substr(text, 1, 24), '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') FROM documents),
+    "fuzzy_match": r"""WITH g AS (SELECT 0 AS side, item_id AS id, regexp_replace(text, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') AS s FROM benchmark UNION ALL SELECT 1, conv_id * 1000 + turn, regexp_replace(text, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') FROM conversations),
  b AS (SELECT side, id, list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS g FROM g WHERE length(s) > 1),
  j AS (SELECT l.id AS left_id, r.id AS right_id, len(list_intersect(l.g, r.g)) / (len(l.g) + len(r.g) - len(list_intersect(l.g, r.g))) AS jaccard FROM b l, b r WHERE l.side = 0 AND r.side = 1)
  SELECT left_id, right_id, jaccard FROM j WHERE jaccard >= 0.34 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY jaccard DESC, right_id) = 1""",
     "card_segment": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE doc_id % 2 WHEN 0 THEN '作者未提出空白。' ELSE '空白在于课堂互动。' END WHEN 1 THEN concat(lang, ' ', source) ELSE '' END AS segment FROM documents",
-    "card_judge": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE doc_id % 2 WHEN 0 THEN '未提出' ELSE '有' END WHEN 1 THEN '有' ELSE '缺失' END AS verdict FROM documents",
-    "card_agreement": "WITH v AS (SELECT 'quality-' || doc_id AS field, unnest([quality, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END]) AS value FROM labels UNION ALL SELECT 'toxic-' || doc_id, unnest([toxic, toxic]) FROM labels) SELECT field, count(*) AS n_cards, count(DISTINCT value) AS n_values, count(DISTINCT value) = 1 AS agree FROM v GROUP BY 1",
+    "card_judge": f"SELECT doc_id, CASE WHEN s = '' THEN '缺失' WHEN regexp_matches(s, '{C.DENIED}') THEN '未提出' ELSE '有' END AS verdict FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE doc_id % 2 WHEN 0 THEN '作者未提出空白。' ELSE '空白在于课堂互动。' END WHEN 1 THEN concat(lang, ' ', source) ELSE '' END AS s FROM documents)",
+    "card_agreement": "WITH v AS (SELECT 'quality-' || doc_id AS field, unnest([quality, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END]) AS value FROM labels UNION ALL SELECT 'toxic-' || doc_id, unnest([toxic, toxic]) FROM labels) SELECT field, count(*) AS n_cards, count(DISTINCT value) AS n_values, count(DISTINCT value) = 1 AS agree, field IN ('quality-0', 'quality-7', 'quality-14', 'toxic-7') AS hard FROM v GROUP BY 1",
 }

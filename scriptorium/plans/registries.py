@@ -103,6 +103,14 @@ def extract_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.extract_queue(_reg(spark, sf_dir), F.expr("doc_id % 11 <> 0")).select("id", "queue", "new_state")
 
 
+def already_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queues of a second run, by what it is told to do again: rows that keep their text have none."""
+    r = _reg(spark, sf_dir).withColumn("state", F.when(F.expr("doc_id % 5 = 0"), "已OCR").otherwise("已抽文本")).withColumn("text_path", F.when(F.expr("doc_id % 4 < 3"), F.concat("id", F.lit(".txt"))).otherwise(""))
+    there = F.expr("doc_id % 4 < 2")
+    runs = [R.extract_queue(r, F.lit(True), there, force, redo).select("id", F.lit(name).alias("run"), "queue") for name, force, redo in (("plain", False, False), ("force", True, False), ("redo", False, True))]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 def queue_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = R.extract_queue(_reg(spark, sf_dir), F.lit(True)).filter("queue is not null")
     return q.orderBy("row_no").limit(25).select("id", "queue")
@@ -125,7 +133,7 @@ def changed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter(OLD).join(now, "source_path").filter("now <> sha1").select("id", "source_path")
 
 
-QUERIES = {f.__name__: f for f in (scan_new_paths, scan_dedup, same_title_flag, assign_ids, scan_full, merge3, merge3_conflicts, attach_text, backfill, status_tally, status_audit, extract_queue, queue_limit, extract_rollup, text_duplicates, changed_content)}
+QUERIES = {f.__name__: f for f in (scan_new_paths, scan_dedup, same_title_flag, assign_ids, scan_full, merge3, merge3_conflicts, attach_text, backfill, status_tally, status_audit, extract_queue, already_extracted, queue_limit, extract_rollup, text_duplicates, changed_content)}
 
 _KEY = f"lower(regexp_replace({_stem('file_name')}, '[{WS}]+', '', 'g'))"
 _COPY = "(contains(tier, '重复') OR verdict = '去重' OR state = '跳过')"
@@ -163,8 +171,9 @@ ORACLES = {
  UNION ALL SELECT id, 'decoded without output' FROM reg WHERE state = '已解码' AND output_file = '' UNION ALL SELECT id, 'skipped without reason' FROM reg WHERE state = '跳过' AND NOT contains(tier, '重复') AND NOT contains(note, '重复')
  UNION ALL SELECT id, 'copy not skipped' FROM reg WHERE contains(tier, '重复') AND state <> '跳过' UNION ALL SELECT id, 'verdict pending' FROM reg WHERE verdict = '待核查'""",
     "extract_queue": f"WITH {REG}, {_Q} SELECT id, {_QUEUE} AS queue, {_STATE} AS new_state FROM q",
+    "already_extracted": f"WITH {REG}, q AS (SELECT *, {_ext('source_path')} AS e, true AS there FROM reg), z AS (SELECT id, doc_id, CASE WHEN contains(tier, '重复') OR verdict = '去重' THEN NULL WHEN e IN ('.md', '.txt') THEN 'text' WHEN e = '.pdf' THEN 'pdf' WHEN e = '.docx' THEN 'docx' END AS queue, unnest(['plain', 'force', 'redo']) AS run FROM q) SELECT id, run, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN run = 'redo' THEN queue END WHEN doc_id % 4 < 2 AND run <> 'force' THEN NULL ELSE queue END AS queue FROM z",
     "queue_limit": f"WITH {REG}, {_Q.replace('doc_id % 11 <> 0', 'true')}, z AS (SELECT id, row_no, {_QUEUE} AS queue FROM q) SELECT id, queue FROM z WHERE queue IS NOT NULL ORDER BY row_no LIMIT 25",
     "extract_rollup": f"WITH {REG}, {_Q} SELECT coalesce({_QUEUE}, {_STATE}) AS status, count(*) AS n FROM q GROUP BY 1",
-    "text_duplicates": f"WITH {REG}, m AS (SELECT id, first_value(id) OVER (PARTITION BY sha1 ORDER BY len(regexp_extract_all(file_name, '(?i)副本|拷贝|复件|copy|[（(][0-9]+[）)]')), id) AS keep_id FROM reg) SELECT keep_id, id AS dup_id FROM m WHERE id <> keep_id",
+    "text_duplicates": f"WITH {REG}, m AS (SELECT id, first_value(id) OVER (PARTITION BY sha1 ORDER BY len(regexp_extract_all(file_name, '(?i)副本|拷贝|复件|copy|[（(][0-9]+[）)]|[ _\\-][0-9]+$')), id) AS keep_id FROM reg) SELECT keep_id, id AS dup_id FROM m WHERE id <> keep_id",
     "changed_content": f"WITH {REG} SELECT id, source_path FROM reg WHERE {OLD} AND doc_id % 6 = 0",
 }

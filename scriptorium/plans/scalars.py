@@ -18,13 +18,12 @@ KIND = "CASE doc_id % 9 WHEN 0 THEN '硕士学位论文' WHEN 1 THEN '课程标
 FILE = f"concat('a/b.c/', replace(substr(text, 1, 14), '/', ''), {KIND}, {WHO}, {TAIL}, {EXT})"
 TITLE = "concat(' ', substr(text, 1, 40 + doc_id % 50), CASE doc_id % 4 WHEN 0 THEN ': a part' WHEN 1 THEN ' - sub title' WHEN 2 THEN '——副题' ELSE '：深度学习' END)"
 LINE = "CASE doc_id % 8 WHEN 0 THEN concat('— ', doc_id) WHEN 1 THEN concat('[', doc_id % 900, ']') WHEN 2 THEN concat('第 ', doc_id % 99, ' 页') WHEN 3 THEN 'Page 12 of 17' WHEN 4 THEN '2020.12' WHEN 5 THEN concat('·', doc_id % 50, '.') WHEN 6 THEN substr(text, 1, 20) ELSE '1.2.3' END"
-MARKUP = "concat(substr(text, 1, 30), '```code', chr(10), '```', ' `x` <!-- ', substr(text, 31, 10), ' -->', substr(text, 41, 30))"
+MARKUP = "concat(text, '```code', chr(10), text, '```', ' `x` <!-- ', text, ' -->', text)"
 HEAD = "concat(CASE doc_id % 6 WHEN 0 THEN '第三章 ' WHEN 1 THEN '二、' WHEN 2 THEN '（四）' WHEN 3 THEN '2.1 ' WHEN 4 THEN '3、' ELSE '' END, substr(text, 1, 20))"
-CARD = "concat('**', substr(text, 1, 40), '**  `', substr(text, 41, 9), '`')"
+CARD = "concat('**', text, '**  `', lang, '`')"
 TIER = "CASE doc_id % 5 WHEN 0 THEN concat('| 档位 | T1核心／T2重要／T3背景 T', 1 + doc_id % 3, ' |') WHEN 1 THEN concat('档位：T', 1 + doc_id % 3) WHEN 2 THEN concat('## 档位 T ', 1 + doc_id % 3, chr(10), 'T1') WHEN 3 THEN concat('x T', 1 + doc_id % 3) ELSE 'none' END"
 BASIS = "CASE doc_id % 5 WHEN 0 THEN concat('K = +', doc_id % 90) WHEN 1 THEN concat('PAGE ', 1 + doc_id % 9, ' = p.', doc_id % 60) WHEN 2 THEN concat('裸数字依次为 ', doc_id, '/', doc_id + 1, '/', doc_id + 2) WHEN 3 THEN '按章节名' ELSE substr(text, 1, 20) END"
-ITEMS = "CASE doc_id % 3 WHEN 0 THEN concat('1. ', substr(text, 1, 30), chr(10), '2. ', substr(text, 31, 30)) WHEN 1 THEN concat('1. ', replace(substr(text, 1, 30), chr(10), ' '), ' 2. ', replace(substr(text, 31, 30), chr(10), ' ')) ELSE concat('①', replace(substr(text, 1, 30), chr(10), ' '), '②', replace(substr(text, 31, 30), chr(10), ' ')) END"
-CITED = "concat(substr(text, 1, 30), '（Smith & Lee 2019 等）', substr(text, 31, 20), ' Brown et al. 2020 ', substr(text, 51, 20), ' Lee and Park, 2001 (n = 12)')"
+ITEMS = "CASE doc_id % 3 WHEN 0 THEN concat('1. ', text, chr(10), '2. ', text) WHEN 1 THEN concat('1. ', replace(text, chr(10), ' '), ' 2. ', replace(text, chr(10), ' ')) ELSE concat('①', replace(text, chr(10), ' '), '②', replace(text, chr(10), ' ')) END"
 
 
 def _strip(x: str) -> str:
@@ -93,8 +92,8 @@ _BY_LINE = rf"list_transform(regexp_extract_all(x, '(?m)^[{WS}]*(?:[0-9]+[.、)]
 SCALARS: dict[str, tuple[str, Callable[[Column], Column], str]] = {
     "content_hash": ("text", F.sha1, "sha1(x)"),
     "nonspace_len": ("text", T.nonspace_len, f"length(regexp_replace(x, '[{WS}]+', '', 'g'))"),
-    "cjk_word_count": (TITLE, T.word_count, r"len(regexp_extract_all(x, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(x, '[A-Za-z]+'))"),
-    "display_width": (TITLE, T.display_width, r"length(x) + len(regexp_extract_all(x, '[\x{2e81}-\x{10ffff}]'))"),
+    "cjk_word_count": ("text", T.word_count, r"len(regexp_extract_all(x, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(x, '[A-Za-z]+'))"),
+    "display_width": ("text", T.display_width, r"length(x) + len(regexp_extract_all(x, '[\x{2e81}-\x{10ffff}]'))"),
     "file_extension": (FILE, T.extension, _ext("x")),
     "title_key": (FILE, T.title_key, f"lower(regexp_replace({_stem('x')}, '[{WS}]+', '', 'g'))"),
     "source_type": (FILE, T.source_type, "CASE " + " ".join(f"WHEN regexp_matches(x, '{m}') THEN '{k}'" for k, m in T.SOURCE_MARKS) + " " + " ".join(f"WHEN {_ext('x')} IN ({', '.join(repr(e) for e in es)}) THEN '{k}'" for k, es in T.SOURCE_EXTENSIONS) + " ELSE '待核' END"),
@@ -103,7 +102,7 @@ SCALARS: dict[str, tuple[str, Callable[[Column], Column], str]] = {
     "sanitize": (TITLE, T.sanitize, _sane("x")),
     "truncate_title": (TITLE, lambda c: T.truncate_title(T.sanitize(T.main_title(c))), f"(SELECT {_short('z')} FROM (SELECT {_sane(_main('x'))} AS z))"),
     "output_name": (TITLE, lambda c: T.output_name(c, F.substring(c, 2, 3), F.lit("B")), f"(SELECT concat(coalesce(nullif({_tidy('(' + _short('z') + ')')}, ''), '未命名'), CASE WHEN w <> '' THEN concat('_', w) ELSE '' END, '-文献综述.md') FROM (SELECT {_sane(_main('x'))} AS z, {_tidy(_sane('substr(x, 2, 3)'))} AS w))"),
-    "append_note": (CARD, lambda c: T.append_note(F.substring(c, 3, 20), F.substring(c, 8, 5)), "CASE WHEN substr(x, 3, 20) = '' THEN substr(x, 8, 5) WHEN contains(substr(x, 3, 20), substr(x, 8, 5)) THEN substr(x, 3, 20) ELSE concat(substr(x, 3, 20), '；', substr(x, 8, 5)) END"),
+    "append_note": (CARD, lambda c: T.append_note(c, F.right(c, F.lit(5))), "CASE WHEN contains(x, right(x, 5)) THEN x ELSE concat(x, '；', right(x, 5)) END"),
     "norm_tier": (TIER, T.norm_tier, f"regexp_replace(x, '[{WS}]+', '', 'g')"),
     "card_clean": (CARD, T.card_clean, _clean("x")),
     "strip_markup": (MARKUP, T.strip_markup, r"regexp_replace(regexp_replace(regexp_replace(x, '(?s)```.*?```', '', 'g'), '`[^`\n]*`', '', 'g'), '(?s)<!--.*?-->', '', 'g')"),
@@ -114,7 +113,7 @@ SCALARS: dict[str, tuple[str, Callable[[Column], Column], str]] = {
     "card_tier": (TIER, T.card_tier, r"CASE coalesce(" + ", ".join(_tier(p) for p in (r"regexp_extract(x, '(?m)^\|[^|\n]*档位[^|\n]*\|([^\n]*)', 1)", r"regexp_extract(x, '档位[：:][^\n]{0,80}', 0)", r"regexp_extract(x, '(?m)^#{2,4}[^\n]*档位[^\n]*', 0)", "x")) + ") WHEN '1' THEN 'T1核心' WHEN '2' THEN 'T2重要' WHEN '3' THEN 'T3背景' END"),
     "bigrams": (CARD, lambda c: F.array_join(F.array_sort(T.bigrams(c)), "|"), r"(SELECT coalesce(array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(length(z), 1)), lambda i: substr(z, i, 2)))), '|'), '') FROM (SELECT regexp_replace(x, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') AS z))"),
     "item_split": (ITEMS, lambda c: F.array_join(T.item_split(c), "|"), f"array_to_string(CASE WHEN len({_BY_LINE}) >= 2 THEN {_BY_LINE} WHEN len(CASE WHEN len({_inner()}) > len({_BY_LINE}) THEN {_inner()} ELSE {_BY_LINE} END) >= 2 THEN CASE WHEN len({_inner()}) > len({_BY_LINE}) THEN {_inner()} ELSE {_BY_LINE} END ELSE {_circled()} END, '|')"),
-    "entity_count": (f"concat(substr(text, 1, 40), CASE doc_id % 3 WHEN 0 THEN '&amp;x&#x7684;' WHEN 1 THEN '&nope; &quot;' ELSE '' END)", lambda c: F.regexp_count(c, F.lit(HTML_ENTITY)), f"len(regexp_extract_all(x, '{HTML_ENTITY}'))"),
+    "entity_count": ("concat(text, CASE doc_id % 3 WHEN 0 THEN '&amp;x&#x7684;' WHEN 1 THEN '&nope; &quot;' ELSE '' END)", lambda c: F.regexp_count(c, F.lit(HTML_ENTITY)), f"len(regexp_extract_all(x, '{HTML_ENTITY}'))"),
 }
 
 
