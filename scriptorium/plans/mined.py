@@ -250,7 +250,7 @@ ORACLES = {
     "lint_merged": f"WITH {DOCS} SELECT doc_id, regexp_matches(text, '{L.MERGED}') AS hit FROM d",
     "lint_limits": f"WITH {DOCS} SELECT doc_id, contains(text, '局限') AND NOT regexp_matches(right(split_part(text, '局限', 1), 12), '{'|'.join(L.ATTRIBUTIONS)}') AND NOT contains(text, '本文评述') AS hit FROM d",
     "fuzzy_match": r"""WITH g AS (SELECT 0 AS side, item_id AS id, regexp_replace(text, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') AS s FROM benchmark UNION ALL SELECT 1, conv_id * 1000 + turn, regexp_replace(text, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') FROM conversations),
- b AS (SELECT side, id, list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS g FROM g WHERE length(s) > 1),
+ b AS (SELECT side, id, list_distinct(list_transform(range(1, len(s)), lambda i: s[i] || s[i + 1])) AS g FROM (SELECT side, id, string_split(s, '') AS s FROM g) WHERE len(s) > 1),
  j AS (SELECT l.id AS left_id, r.id AS right_id, len(list_intersect(l.g, r.g)) / (len(l.g) + len(r.g) - len(list_intersect(l.g, r.g))) AS jaccard FROM b l, b r WHERE l.side = 0 AND r.side = 1)
  SELECT left_id, right_id, jaccard FROM j WHERE jaccard >= 0.34 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY jaccard DESC, right_id) = 1""",
     "card_segment": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE doc_id % 2 WHEN 0 THEN '作者未提出空白。' ELSE '空白在于课堂互动。' END WHEN 1 THEN concat(lang, ' ', source) ELSE '' END AS segment FROM documents",

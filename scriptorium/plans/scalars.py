@@ -111,7 +111,7 @@ SCALARS: dict[str, tuple[str, Callable[[Column], Column], str]] = {
     "heading_render": (HEAD, lambda c: T.heading_render(T.numbered_level(c), c), "CASE WHEN substr(x, 1, 1) = '第' THEN concat('# ', x) WHEN substr(x, 1, 2) = '二、' THEN concat('## ', x) WHEN substr(x, 1, 1) = '（' THEN concat('### ', x) WHEN regexp_matches(x, '\\A[0-9]') THEN concat('#### ', x) ELSE x END"),
     "ref_basis": (BASIS, T.ref_basis, r"CASE WHEN regexp_matches(x, 'K\s*=\s*[+-]?[0-9]+') THEN concat('K=', regexp_extract(x, 'K\s*=\s*([+-]?[0-9]+)', 1)) WHEN starts_with(x, 'PAGE') THEN concat('K=', printf('%+d', CAST(regexp_extract(x, 'p\.([0-9]+)', 1) AS BIGINT) - CAST(regexp_extract(x, 'PAGE ([0-9]+)', 1) AS BIGINT))) WHEN contains(x, '裸数字') AND length(regexp_extract(x, '/([0-9]+)$', 1)) <= 4 THEN concat('K=', printf('%+d', CAST(regexp_extract(x, ' ([0-9]+)/', 1) AS BIGINT) - 1)) WHEN contains(x, '章节名') THEN '章节名' ELSE '?' END"),
     "card_tier": (TIER, T.card_tier, r"CASE coalesce(" + ", ".join(_tier(p) for p in (r"regexp_extract(x, '(?m)^\|[^|\n]*档位[^|\n]*\|([^\n]*)', 1)", r"regexp_extract(x, '档位[：:][^\n]{0,80}', 0)", r"regexp_extract(x, '(?m)^#{2,4}[^\n]*档位[^\n]*', 0)", "x")) + ") WHEN '1' THEN 'T1核心' WHEN '2' THEN 'T2重要' WHEN '3' THEN 'T3背景' END"),
-    "bigrams": (CARD, lambda c: F.array_join(F.array_sort(T.bigrams(c)), "|"), r"(SELECT coalesce(array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(length(z), 1)), lambda i: substr(z, i, 2)))), '|'), '') FROM (SELECT regexp_replace(x, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g') AS z))"),
+    "bigrams": (CARD, lambda c: F.array_join(F.array_sort(T.bigrams(c)), "|"), r"(SELECT coalesce(array_to_string(list_sort(list_distinct(list_transform(range(1, len(z)), lambda i: z[i] || z[i + 1]))), '|'), '') FROM (SELECT string_split(regexp_replace(x, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g'), '') AS z))"),
     "item_split": (ITEMS, lambda c: F.array_join(T.item_split(c), "|"), f"array_to_string(CASE WHEN len({_BY_LINE}) >= 2 THEN {_BY_LINE} WHEN len(CASE WHEN len({_inner()}) > len({_BY_LINE}) THEN {_inner()} ELSE {_BY_LINE} END) >= 2 THEN CASE WHEN len({_inner()}) > len({_BY_LINE}) THEN {_inner()} ELSE {_BY_LINE} END ELSE {_circled()} END, '|')"),
     "entity_count": ("concat(text, CASE doc_id % 3 WHEN 0 THEN '&amp;x&#x7684;' WHEN 1 THEN '&nope; &quot;' ELSE '' END)", lambda c: F.regexp_count(c, F.lit(HTML_ENTITY)), f"len(regexp_extract_all(x, '{HTML_ENTITY}'))"),
 }
