@@ -6,7 +6,11 @@ simultaneously (of overlapping ones every second, from the left). Sequences with
 survive are counted. As a merge makes only pairs of higher rank, the order of merges is that of merging one pair at a time.
 
 Memory: texts come some MB at a time; distinct pre-tokens are merged in groups of bounded symbols; counts of words are kept in
-a cache of CACHE entries, emptied when full. A pre-token of over LONG symbols is merged with a heap, for the same result.
+two caches of CACHE / 2 entries: when the younger is full the older goes, and words that are met again move to the younger. A
+pre-token of over LONG symbols is merged with a heap, for the same result.
+
+Specifications: byte-level BPE with an end-of-word suffix after NFC, white space and lower case, and one split pattern, as the JSON
+must say; any other is an error, not a wrong count.
 
 Defined results: null text counts as empty (0 tokens); special strings inside texts are single tokens, as the library's default
 has it; other columns stay unless their names are those added; rows are independent.
@@ -37,6 +41,24 @@ def _bytes_to_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def supported(spec: dict) -> None:
+    """Raises ValueError for a specification that this module does not follow."""
+    def kinds(x: dict | None, parts: str) -> list[dict]:
+        return [] if x is None else x[parts] if x["type"] == "Sequence" else [x]
+
+    model, normal, pre = spec["model"], kinds(spec.get("normalizer"), "normalizers"), kinds(spec.get("pre_tokenizer"), "pretokenizers")
+    space = [x for x in normal if x["type"] == "Replace"]
+    wrong = [
+        model["type"] != "BPE" or not model.get("end_of_word_suffix") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "unk_token")),
+        [x["type"] for x in normal] != ["NFC", "Replace", "Lowercase"] or space[0]["pattern"] != {"Regex": r"\s+"} or space[0]["content"] != " ",
+        [x["type"] for x in pre] != ["Split", "ByteLevel"] or "Regex" not in pre[0]["pattern"] or (pre[0]["behavior"], pre[0]["invert"]) != ("Removed", True),
+        len(pre) == 2 and (pre[1].get("add_prefix_space") or pre[1].get("use_regex")),
+        any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) or not all("<|" in t["content"] for t in spec["added_tokens"]),
+    ]
+    if any(wrong):
+        raise ValueError(f"tokenizer parts that are not supported: {[n for n, w in zip(('model', 'normalizer', 'pre_tokenizer', 'pre_tokenizer', 'added_tokens'), wrong, strict=True) if w]}")
+
+
 class Merger:
     """A byte-level BPE with an end-of-word suffix, read from a tokenizer's JSON."""
 
@@ -58,6 +80,7 @@ class Merger:
         # the library's white space is the Unicode property, without U+001C to U+001F
         self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.cache: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.base + right
@@ -155,11 +178,12 @@ class Merger:
 
     def counts(self, texts: list[bytes]) -> list[int]:
         bags = [Counter(t.split()) for t in texts]
+        if len(self.cache) > CACHE // 2:
+            self.older, self.cache = self.cache, {}
         new = set().union(*bags).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = set().union(*bags)
-        self.learn(list(new))
+        again = new.intersection(self.older)
+        self.cache.update((w, self.older[w]) for w in again)
+        self.learn(list(new - again))
         get = self.cache.__getitem__
         return [sum(map(int.__mul__, map(get, b), b.values())) for b in bags]
 
@@ -179,6 +203,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, text_col: s
     """docs with n_bytes, n_tokens and over_limit instead of the text. tokenizer: the JSON's path on the driver; its content goes with the tasks."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
+    supported(spec)
     shipped = docs.sparkSession.sparkContext.broadcast(json.dumps({k: spec[k] for k in ("model", "added_tokens", "pre_tokenizer")}))
 
     def compute(texts: list[bytes]) -> list:

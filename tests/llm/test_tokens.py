@@ -2,6 +2,7 @@ import json
 import random
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from scriptorium.llm import tokens
@@ -34,3 +35,20 @@ def test_long_words_either_way():
     for seed in range(20):
         w = "".join(random.Random(seed).choices("abcdeth in", k=400)).replace(" ", "e").encode()
         assert m.long(w) == m.lengths([w])[0]
+
+
+def test_caches_turn_over(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    m, rng = tokens.Merger(json.load(open(PATH, encoding="utf-8"))), random.Random(2)
+    batches = [[" ".join(rng.choices(["the", "of", "and", *(f"w{i}" for i in range(300))], k=30)).encode() for _ in range(3)] for _ in range(12)]
+    got = [n for b in batches for n in m.counts(b)]
+    t = Tokenizer.from_file(PATH)
+    assert got == [len(t.encode(x.decode(), add_special_tokens=False).ids) for b in batches for x in b] and len(m.cache) < 150
+
+
+def test_other_specifications_are_refused():
+    spec = json.load(open(PATH, encoding="utf-8"))
+    tokens.supported(spec)
+    for part, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("model", {**spec["model"], "byte_fallback": True}), ("added_tokens", [{"content": "[X]"}])):
+        with pytest.raises(ValueError, match=part):
+            tokens.supported({**spec, part: value})
