@@ -142,14 +142,17 @@ def missing_fields(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(~F.contains(text, F.lit(n)), F.lit(n)) for n in FIELD_NAMES)))
 
 
-def findings(docs: DataFrame, skip: tuple[str, ...] = (), allow: tuple[str, ...] = ()) -> DataFrame:
-    """(path, form, rule, severity, n): what the rules find in documents (path, text). An unknown rule to skip is an error."""
+def findings(docs: DataFrame, skip: tuple[str, ...] = (), allow: tuple[str, ...] = (), form: str | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
+    """(path, form, rule, severity, n): what the rules find in documents (path, text). An unknown rule to skip is an error. form, least, most: instead of the guessed form and its range of lengths."""
     if unknown := set(skip) - set(RULES):
         raise ValueError(f"unknown rules: {sorted(unknown)}")
-    d = docs.withColumn("form", guess_form(F.col("path"), F.col("text")))
+    if form is not None and form not in FORM_RANGES:
+        raise ValueError(f"unknown form: {form}")
+    d = docs.withColumn("form", guess_form(F.col("path"), F.col("text")) if form is None else F.lit(form))
     d = d.withColumn("budget", budget(F.col("text"), F.col("form"))).withColumn("chars", T.word_count(F.col("budget")))
     d = d.withColumn("abbr", F.filter(abbreviations(F.col("text")), lambda a: ~a["name"].isin(*allow)) if allow else abbreviations(F.col("text")))
     low, high = (F.element_at(F.create_map(*(F.lit(x) for f, r in FORM_RANGES.items() for x in (f, r[i]))), F.col("form")) for i in (0, 1))
+    low, high = low if least is None else F.lit(least), high if most is None else F.lit(most)
     n_paras, led, density = paragraphs(F.col("text"), F.col("chars"))
     lacking, locators = F.size(missing_fields(F.col("text"))), F.regexp_count(F.col("budget"), F.lit(LOCATOR))
 

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -98,11 +103,12 @@ def _level(p: ET.Element) -> int:
 
 
 def docx_paragraphs(content: bytes, keep_toc: bool = False) -> Iterator[tuple[int, int, str, bool]]:
-    """(number, level, text, toc) of paragraphs with text. Field codes are no text; the result of a TOC field is left out unless wanted."""
+    """(number, level, text, toc) of paragraphs with text. Field codes are no text; the result of a TOC field is left out unless wanted. A file that can't be opened is one row of number 0, level -1 and the reason."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             root = ET.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ET.ParseError):
+    except (zipfile.BadZipFile, KeyError, ET.ParseError, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+        yield 0, -1, f"{type(e).__name__}: {e}", False
         return
     fields: list[list[bool]] = []  # of open fields: whether it is a table of contents, whether its result has begun
     n = 0
@@ -136,21 +142,28 @@ def docx_paragraphs(content: bytes, keep_toc: bool = False) -> Iterator[tuple[in
 
 @udtf(returnType="para int, level int, text string, toc_dropped boolean")
 class DocxParagraphs:
-    """Paragraphs of a DOCX file's content; a file that is none gives no rows."""
+    """Paragraphs of a DOCX file's content."""
 
-    def eval(self, content: bytes):
-        yield from docx_paragraphs(content)
+    def eval(self, content: bytes, keep_toc: bool):
+        yield from docx_paragraphs(content, keep_toc)
 
 
-def read_docx(spark: SparkSession, folder: str) -> DataFrame:
-    """path, para, level, text, toc_dropped, line (with # marks for headings) of the DOCX files below a folder."""
+def read_docx(spark: SparkSession, folder: str, keep_toc: bool = False, para_numbers: bool = False, heading_from_numbering: bool = False) -> DataFrame:
+    """path, para, level, text, toc_dropped, line of the DOCX files below a folder, or of one file.
+
+    line has # marks for headings, and with para_numbers the paragraph's number before it. A file that can't be opened is one row
+    of para 0, level -1 and the reason as text, with no line.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(T.extension(F.col("path")) == ".docx")
-    rows = files.select("path", "content").lateralJoin(DocxParagraphs(F.col("content").outer()))
-    return rows.drop("content").withColumn("line", T.heading_render(F.col("level"), F.col("text")))
+    rows = files.select("path", "content").lateralJoin(DocxParagraphs(F.col("content").outer(), F.lit(keep_toc)))
+    if heading_from_numbering:
+        rows = rows.withColumn("level", F.when((F.col("level") == 0) & (F.col("text") != ""), T.numbered_level(F.col("text"))).otherwise(F.col("level")))
+    mark = F.when(F.lit(para_numbers) & (F.col("text") != ""), F.concat(F.lit("[¶"), "para", F.lit("] "))).otherwise("")
+    return rows.drop("content").withColumn("line", F.when(F.col("level") >= 0, F.concat(mark, T.heading_render(F.col("level"), F.col("text")))))
 
 
 def read_pdf(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id (the path), page_no, raw, needs_pass, repaired of PDF files' pages; needs the optional PDF library on the workers."""
+    """doc_id (the path), page_no, raw, needs_pass, repaired, error of PDF files' pages; needs the optional PDF library on the workers. A file that can't be opened is one row of page 0 with the reason as error."""
     def pages(batches):
         import pandas as pd
 
@@ -158,10 +171,33 @@ def read_pdf(spark: SparkSession, folder: str) -> DataFrame:
 
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with fitz.open(stream=content, filetype="pdf") as doc:
-                    locked, repaired = bool(doc.needs_pass), bool(doc.is_repaired)
-                    rows = [(path, i + 1, "" if locked else doc[i].get_text(), locked, repaired) for i in range(max(1, 0 if locked else doc.page_count))]
-                yield pd.DataFrame(rows, columns=["doc_id", "page_no", "raw", "needs_pass", "repaired"])
+                try:
+                    with fitz.open(stream=content, filetype="pdf") as doc:
+                        locked, repaired = bool(doc.needs_pass), bool(doc.is_repaired)
+                        rows = [(path, i + 1, doc[i].get_text(), locked, repaired, None) for i in range(0 if locked else doc.page_count)] or [(path, 1, "", locked, repaired, None)]
+                except (RuntimeError, ValueError) as e:  # the library's own errors are RuntimeErrors
+                    rows = [(path, 0, "", False, False, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["doc_id", "page_no", "raw", "needs_pass", "repaired", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(T.extension(F.col("path")) == ".pdf")
-    return files.select("path", "content").mapInPandas(pages, "doc_id string, page_no int, raw string, needs_pass boolean, repaired boolean")
+    return files.select("path", "content").mapInPandas(pages, "doc_id string, page_no int, raw string, needs_pass boolean, repaired boolean, error string")
+
+
+def write_texts(texts: DataFrame, folder: str) -> DataFrame:
+    """Writes rows (id, name, body) as text files below a folder, in the tasks; returns (id, path). A file is moved into place whole, so a repeated task does no harm."""
+    uri = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            paths = []
+            for name, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(own) as f:
+                    f.write((body or "").encode())
+                fs.move(own, f"{root}/{name}")
+                paths.append(f"{folder.rstrip('/')}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["id", "path"])
+
+    return texts.select("id", "name", "body").mapInArrow(write, "id string, path string")

@@ -1,51 +1,91 @@
-"""The registry as Parquet snapshots: every save is a new version; a pointer names the current one."""
+"""The registry as Parquet snapshots: every save is a new version; numbered heads name them, and the highest is the current one."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.functions.session import cut
 from scriptorium.operators.registry import merge3
 
 
+class Taken(Exception):
+    """Another writer has saved the version that was to be this one."""
+
+
 class Snapshots:
-    """Versions in a folder of any file system that Spark writes to. The pointer is a file that is written aside and moved into place."""
+    """Versions in a folder of any file system that Spark writes to. A head is written aside and moved to its number, which never replaces one that is there: of two writers one sees Taken."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         jvm = spark._jvm
         self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        self._fs = self._path("CURRENT").getFileSystem(spark._jsc.hadoopConfiguration())
+        conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path("x").getFileSystem(conf)
+        self._fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._keep = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        self._keep[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+
+    def _heads(self, prefix: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs.globStatus(self._path(f"{prefix}-*")) or ())
 
     def version(self) -> str | None:
-        if not self._fs.exists(self._path("CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0]
+        heads = self._heads("head")
+        return self.spark.read.text(f"{self.folder}/{heads[-1]}").first()[0] if heads else None
 
     def load(self, version: str | None = None) -> DataFrame | None:
         name = version or self.version()
         return self.spark.read.parquet(f"{self.folder}/{name}") if name else None
 
-    def save(self, table: DataFrame, base: str | None, cells: list[str]) -> str:
+    def save(self, table: DataFrame, base: str | None, cells: list[str], tries: int = 20) -> str:
         """Saves a table made from version base; if another version has come meanwhile, cell by cell merged with it. Returns the new version."""
-        now = self.version()
-        if now != base and now is not None:
-            before = self.load(base) if base else self.load(now).limit(0)
-            table = cut(merge3(before, table, self.load(now), cells).drop("conflict"))
-        return self.replace(table)
-
-    def replace(self, table: DataFrame) -> str:
-        """Saves a table as the new version whatever the current one is; old versions stay."""
+        for _ in range(tries):
+            heads, now = self._heads("head"), self.version()
+            merged = table
+            if now != base and now is not None:
+                before = self.load(base) if base else self.load(now).limit(0)
+                merged = cut(merge3(before, table, self.load(now), cells).drop("conflict"))
+            try:
+                return self.replace(merged, int(heads[-1].split("-")[1]) if heads else 0)
+            except Taken:
+                continue
+        raise Taken(f"{tries} other saves came first")
+
+    def replace(self, table: DataFrame, after: int | None = None) -> str:
+        """Saves a table as the version behind number after (the current one); old versions stay. Raises Taken if there is one already."""
+        if after is None:
+            heads = self._heads("head")
+            after = int(heads[-1].split("-")[1]) if heads else 0
         name = f"v-{uuid.uuid4().hex}"
         table.write.parquet(f"{self.folder}/{name}")
-        aside = self._path(f".CURRENT-{uuid.uuid4().hex}")
+        self._move(name, f"head-{after + 1:012d}")
+        return name
+
+    def _move(self, content: str, to: str) -> None:
+        aside = self._path(f".{to}-{uuid.uuid4().hex}")
         out = self._fs.create(aside, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(content.encode()))
         out.close()
-        # a rename over the old pointer where the store has one, else delete and rename
-        if not self._fs.rename(aside, self._path("CURRENT")):
-            self._fs.delete(self._path("CURRENT"), False)
-            self._fs.rename(aside, self._path("CURRENT"))
-        return name
+        try:
+            self._fc.rename(aside, self._path(to), self._keep)
+        except Exception as e:
+            self._fs.delete(aside, False)
+            if self._fs.exists(self._path(to)):
+                raise Taken(to) from e
+            raise
+
+    def keep_ids(self, table: DataFrame) -> None:
+        """Adds a table's ids to the map of old ids, which a registry made anew inherits from."""
+        name, heads = f"ids-{uuid.uuid4().hex}", self._heads("idmap")
+        n = int(heads[-1].split("-")[1]) if heads else 0
+        rows = table.select("id", "file_name", "sha1", F.lit(n).alias("age"))
+        old = self.id_map()
+        (rows if old is None else rows.unionByName(old.withColumn("age", F.col("age")))).write.parquet(f"{self.folder}/{name}")
+        self._move(name, f"idmap-{n + 1:012d}")
+
+    def id_map(self) -> DataFrame | None:
+        """(id, file_name, sha1, age) of rows of earlier registries, or None."""
+        heads = self._heads("idmap")
+        return self.spark.read.parquet(f"{self.folder}/{self.spark.read.text(f'{self.folder}/{heads[-1]}').first()[0]}") if heads else None

@@ -14,13 +14,20 @@ CELLS = ["file_name", "title", "first_author", "source_type", "sha1", "source_pa
 SCHEMA = ", ".join(f"{c} string" for c in ["id", *CELLS])
 
 
+def old_ids(store: Snapshots) -> DataFrame:
+    """The map of old ids (id, file_name, sha1, row_no), the youngest first and by id."""
+    ids = store.id_map()
+    if ids is None:
+        return store.spark.createDataFrame([], "id string, file_name string, sha1 string, row_no string")
+    return ids.select("id", "file_name", "sha1", F.format_string("%010d%s", F.lit(1 << 30) - F.col("age"), F.col("id")).alias("row_no"))
+
+
 def append(found: DataFrame, store: Snapshots, record_duplicates: bool = False) -> int:
     """Appends what a scan of files (file_name, source_path, sha1) adds; returns how many rows. Scanning the same files again adds none."""
     spark = found.sparkSession
     base = store.version()
     old = store.load(base) if base else spark.createDataFrame([], SCHEMA)
-    known = old.withColumn("row_no", F.lit(0))
-    rows = scan(found, known, known.select("id", "file_name", "sha1", "row_no").limit(0), record_duplicates).select("id", *CELLS)
+    rows = scan(found, old.withColumn("row_no", F.lit(0)), old_ids(store), record_duplicates).select("id", *CELLS)
     rows = rows.cache()
     try:
         n = rows.count()
