@@ -1,4 +1,4 @@
-"""Command line: init, scan, status, attach, extract, pages, matrix, lint, compare, name. Exit codes are part of the contract.
+"""Command line: init, scan, status, attach, extract, pages, docx, matrix, template, lint, compare, name. Exit codes are part of the contract.
 
 0 nothing to do or all well, 1 an error or findings, 2 OCR needed or wrong usage, 3 rows were added.
 """
@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import json
 import sys
 
@@ -13,14 +14,17 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.functions.session import cut
 from scriptorium.operators import lint as L
 from scriptorium.operators import pages as P
 from scriptorium.operators import registry as R
 from scriptorium.operators import reports
 from scriptorium.sources import files
 from scriptorium.sources.snapshots import Snapshots
-from scriptorium.streaming.ingest import CELLS, SCHEMA, append
+from scriptorium.streaming.ingest import CELLS, SCHEMA, append, old_ids
 
+#: The columns of an evidence matrix, in order.
+TEMPLATE = ("编号", "作者", "年份", "标题", "来源", "现有文献综述", "作者对现有文献的批评", "现有文献研究空白", "理论依据（研究的必要性）", "作者要做什么", "研究结果（作者发现了什么）", "与现有文献观点一致的研究发现", "与现有文献观点相反的研究发现", "作者实际做了什么", "作者对未来研究的建议", "批评点", "待探讨的相关问题", "明显的遗漏点", "逻辑能否走通（能否自圆其说）", "主题分类", "一句话定位")
 EXTRA = [c for c in R.COLUMNS if c not in ("id", *CELLS)]
 
 
@@ -35,10 +39,20 @@ def init(spark, a) -> int:
     if store.version() and not a.force:
         print("the registry exists; --force replaces it", file=sys.stderr)
         return 1
+    if store.version():
+        store.keep_ids(_whole(store.load()))
     store.replace(spark.createDataFrame([], SCHEMA))
     return 0
 
 
+def _report(spark, path: str, lines: list[str]) -> None:
+    """A short Markdown file, written in place of an older one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True)
+    out.write(bytearray("\n".join([*lines, ""]).encode()))
+    out.close()
+
+
 def scan(spark, a) -> int:
     store = Snapshots(spark, a.registry)
     found = None
@@ -49,9 +63,18 @@ def scan(spark, a) -> int:
     if a.dry_run:
         base = store.load()
         old = (base if base is not None else spark.createDataFrame([], SCHEMA)).withColumn("row_no", F.lit(0))
-        n = R.scan(found, old, old.select("id", "file_name", "sha1", "row_no").limit(0), a.record_duplicates).count()
+        n = R.scan(found, old, old_ids(store), a.record_duplicates).count()
     else:
+        before = store.version()
         n = append(found, store, a.record_duplicates)
+        if a.report:
+            rows = store.load() if n else spark.createDataFrame([], SCHEMA)
+            added = rows.join(store.load(before).select("id"), "id", "left_anti") if before and n else rows
+            listed = added.orderBy("id").limit(reports.SHOWN).collect()
+            same = added.filter(F.contains(T.or_blank(F.col("note")), F.lit("same title as"))).count()
+            lines = ["# Scan", "", f"- files: {found.count()}", f"- added: {n}", f"- same title, other content: {same}", ""]
+            lines += ["| id | file | type | note |", "|---|---|---|---|", *(f"| {r['id']} | {r['file_name']} | {r['source_type']} | {r['note']} |" for r in listed)]
+            _report(spark, a.report, [*lines, *([f"... {n - len(listed)} more"] if n > len(listed) else [])])
     print(f"added {n}")
     return 3 if n else 0
 
@@ -81,26 +104,83 @@ def attach(spark, a) -> int:
     return 0
 
 
+def _present(spark, paths):
+    """(path) of the files that are there, among those of a column of paths; their folders are listed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = spark.createDataFrame([], "path string")
+    for r in paths.select(F.regexp_replace(F.col(paths.columns[0]), "/[^/]*$", "").alias("folder")).distinct().collect():
+        at = jvm.org.apache.hadoop.fs.Path(r["folder"] or "/")
+        if r["folder"] and at.getFileSystem(conf).exists(at):
+            found = found.unionByName(spark.read.format("binaryFile").load(r["folder"]).select("path"))
+    return found.select(_plain(F.col("path")).alias("path")).distinct()
+
+
+def _plain(path):
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, r"\Afile:/*", "/")
+
+
 def extract(spark, a) -> int:
-    """Bodies of text and DOCX files into a folder of Parquet; queues of the rest are counted."""
-    registry = _whole(Snapshots(spark, a.registry).load()).withColumn("row_no", R.number_of(F.col("id")))
-    queue = R.extract_queue(registry, F.lit(True)).cache()
-    for r in queue.groupBy(F.coalesce("queue", "new_state").alias("status")).count().collect():
+    """Texts of text, DOCX and (where the library is there) PDF files into a folder, paths and states into the registry, a report beside the texts."""
+    store = Snapshots(spark, a.registry)
+    base = store.version()
+    registry = _whole(store.load()).withColumn("row_no", R.number_of(F.col("id")))
+    there = _present(spark, registry.filter(~R.blank(F.col("source_path"))).select(_plain(F.col("source_path"))))
+    texts = _present(spark, registry.filter(~R.blank(F.col("text_path"))).select(_plain(F.col("text_path"))))
+    rows = registry.join(there.select(F.col("path").alias("_p"), F.lit(True).alias("_there")), _plain(F.col("source_path")) == F.col("_p"), "left")
+    rows = rows.join(texts.select(F.col("path").alias("_q"), F.lit(True).alias("_text")), _plain(F.col("text_path")) == F.col("_q"), "left")
+    queue = cut(R.extract_queue(rows, F.coalesce("_there", F.lit(False)), F.coalesce("_text", F.lit(False)), a.force, a.redo_ocr).drop("_p", "_q", "_there", "_text"))
+    for r in queue.groupBy(F.coalesce("queue", "new_state").alias("status")).count().orderBy("status").collect():
         print(r["status"], r["count"])
+    images = queue.filter("new_state = '需OCR' and state <> new_state").count()
+    if a.dry_run:
+        return 2 if images else 0
     todo = queue.filter("queue is not null").orderBy("row_no")
-    todo = todo.limit(a.limit) if a.limit else todo
-    if not a.dry_run:
-        for kind, folder in {(r["queue"], r["folder"]) for r in todo.select("queue", F.regexp_replace("source_path", "/[^/]*$", "").alias("folder")).distinct().collect() if r["queue"] != "pdf"}:
-            body = files.read_texts(spark, folder) if kind == "text" else files.read_docx(spark, folder).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "line"))), lambda x: x.line), "\n").alias("body"))
-            mine = body.join(todo.filter(F.col("queue") == kind).select("id", F.col("source_path").alias("path")), "path")
-            mine.select("id", "path", "body", F.concat("id", F.lit("_"), T.safe_filename(T.stem(F.col("path"))), F.lit(".txt")).alias("name")).write.mode("append").parquet(a.outdir)
-    return 2 if not queue.filter("new_state = '需OCR'").isEmpty() else 0
+    todo = cut(todo.limit(a.limit) if a.limit else todo)
+    bodies = spark.createDataFrame([], "path string, status string, body string, message string")
+    for r in todo.select("queue", F.regexp_replace("source_path", "/[^/]*$", "").alias("folder")).distinct().collect():
+        kind, folder = r["queue"], r["folder"]
+        if kind == "text":
+            got = files.read_texts(spark, folder).select("path", F.lit("ok").alias("status"), "body", F.lit("").alias("message"))
+        elif kind == "docx":
+            lines = files.read_docx(spark, folder, para_numbers=a.docx_para_numbers).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("para", "level", "line", "text"))).alias("x"))
+            broken = F.element_at("x", 1)["level"] < 0
+            text = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
+            got = lines.select("path", F.when(broken, "打不开").otherwise("ok").alias("status"), text.alias("body"), F.when(broken, F.element_at("x", 1)["text"]).otherwise("").alias("message"))
+        elif importlib.util.find_spec("fitz"):
+            pages = cut(files.read_pdf(spark, folder))
+            state = P.triage(pages.filter("page_no > 0"), F.col("needs_pass"), F.col("repaired")).select("doc_id", "status")
+            got = P.assemble(pages.filter("page_no > 0")).join(state, "doc_id").select(F.col("doc_id").alias("path"), "status", F.col("content").alias("body"), F.lit("").alias("message"))
+            got = got.unionByName(pages.filter("page_no = 0").select(F.col("doc_id").alias("path"), F.lit("打不开").alias("status"), F.lit("").alias("body"), F.col("error").alias("message")))
+        else:
+            print("no PDF library: PDF files stay in the queue", file=sys.stderr)
+            continue
+        bodies = bodies.unionByName(got.select(_plain(F.col("path")).alias("path"), "status", "body", "message"))
+    mine = cut(todo.select("id", "file_name", F.col("source_path")).join(bodies, _plain(F.col("source_path")) == F.col("path")))
+    head = F.concat(F.lit("# "), "id", F.lit(" "), "file_name", F.lit("\n\n"))
+    named = mine.filter("status = 'ok'").select("id", F.concat("id", F.lit("_"), T.safe_filename(T.stem(F.col("path"))), F.lit(".txt")).alias("name"), F.concat(head, "body").alias("body"))
+    paths = cut(files.write_texts(named, a.outdir))
+    results = mine.select("id", "status", "message", F.length("body").alias("_chars")).join(paths, "id", "left")
+    done = R.backfill(queue.withColumn("state", F.col("new_state")).drop("queue", "new_state"), results)
+    notes = results.filter("message <> ''").select("id", F.col("message").alias("_note"))
+    done = done.join(notes, "id", "left").withColumn("note", F.when(F.col("_note").isNotNull(), T.append_note(F.col("note"), F.col("_note"))).otherwise(F.col("note"))).drop("_note")
+    store.save(cut(done.select("id", *CELLS, *(c for c in EXTRA if c in done.columns))), base, [*CELLS, *(c for c in EXTRA if c in done.columns)])
+    counts = {r["status"]: r["count"] for r in results.groupBy("status").count().collect()}
+    pairs = [] if a.no_dup_check else R.text_duplicates(mine.filter("status = 'ok'")).orderBy("keep_id", "dup_id").limit(reports.SHOWN).collect()
+    lines = ["# Extraction", "", f"- files: {todo.count()}", f"- ok: {counts.get('ok', 0)}", f"- OCR needed: {counts.get('需OCR', 0) + images} (images: {images})", f"- not opened: {counts.get('打不开', 0)}", f"- equal texts: {len(pairs)}", ""]
+    lines += [f"- {r['keep_id']} stays, {r['dup_id']} is the same text" for r in pairs] + [f"- {r['id']}: {r['_note']}" for r in notes.orderBy("id").limit(reports.SHOWN).collect()]
+    _report(spark, a.report or f"{a.outdir.rstrip('/')}/_report.md", lines)
+    return 2 if counts.get("需OCR", 0) + images else 0
 
 
 def pages(spark, a) -> int:
-    """Cleaned pages of a table of pages (doc_id, page_no, raw) or of the PDF files of a folder."""
+    """Cleaned pages of a table of pages (doc_id, page_no, raw) or of the PDF files of a folder; --pages-only prints their numbers."""
     table = spark.read.parquet(a.pages) if a.pages else files.read_pdf(spark, a.source)
     table = table.filter(F.col("page_no").between(a.start, a.end)) if a.end else table
+    if a.pages_only:
+        for r in table.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(T.nonspace_len(F.col("raw")) == 0).alias("empty")).orderBy("doc_id").toLocalIterator():
+            print(r["doc_id"], r["n"], "empty", r["empty"])
+        return 0
     flags = [F.col(c) if c in table.columns else F.lit(False) for c in ("needs_pass", "repaired")]
     if not P.triage(table, *flags).filter("status <> 'ok'").isEmpty():
         return 2
@@ -108,6 +188,25 @@ def pages(spark, a) -> int:
     return 0
 
 
+def docx(spark, a) -> int:
+    """Texts of the DOCX files below a folder into text files."""
+    rows = files.read_docx(spark, a.source, a.keep_toc, a.para_numbers, a.heading_from_numbering)
+    each = cut(rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("para", "level", "line", "text"))).alias("x")))
+    broken = F.element_at("x", 1)["level"] < 0
+    text = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
+    files.write_texts(each.filter(~broken).select(F.col("path").alias("id"), F.concat(T.safe_filename(T.stem(F.col("path"))), F.lit(".txt")).alias("name"), text.alias("body")), a.out).count()
+    bad = each.filter(broken).select("path", F.element_at("x", 1)["text"].alias("why")).collect()
+    for r in bad:
+        print(r["path"], r["why"], file=sys.stderr)
+    return 1 if bad else 0
+
+
+def template(spark, a) -> int:
+    """An empty evidence matrix with its columns."""
+    _report(spark, a.path, ["\ufeff" + ",".join(TEMPLATE)])
+    return 0
+
+
 def matrix(spark, a) -> int:
     rows, unknown, again = files.load_matrix(spark, a.matrix)
     words = lambda p: tuple(r["word"] for r in files.read_words(spark, p).collect()) if p else ()
@@ -120,7 +219,7 @@ def matrix(spark, a) -> int:
 
 def lint(spark, a) -> int:
     docs = files.read_texts(spark, a.path).select("path", F.col("body").alias("text"))
-    found = L.findings(docs, tuple(a.skip), tuple(a.allow_abbr)).cache()
+    found = L.findings(docs, tuple(a.skip), tuple(a.allow_abbr), None if a.form == "auto" else a.form, a.min, a.max).cache()
     total = L.rollup(found, a.strict).first()
     if a.json:
         for r in found.groupBy("path").agg(F.to_json(F.collect_list(F.struct("rule", "severity", "n"))).alias("j")).toLocalIterator():
@@ -137,6 +236,11 @@ def compare(spark, a) -> int:
         print("two cards at least", file=sys.stderr)
         return 2
     agreed, matched = reports.compare(cards, a.overlap)
+    if a.json:
+        values = reports.card_values(cards).groupBy("card").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))).alias("j"))
+        for r in values.orderBy("card").toLocalIterator():
+            print(json.dumps({"card": r["card"], "values": json.loads(r["j"])}, ensure_ascii=False))
+        return 0
     rows = agreed.orderBy("field").collect()
     for r in rows:
         print(r["field"], "same" if r["agree"] else f"{r['n_values']} values", "hard" if r["hard"] else "soft")
@@ -165,13 +269,15 @@ def main(argv: list[str] | None = None) -> int:
 
     flag, reg = {"action": "store_true"}, ("--registry", {"required": True})
     command(init, reg, ("--force", flag))
-    command(scan, reg, ("--source", {"nargs": "+", "required": True}), ("--ext", {"nargs": "*"}), ("--record-duplicates", flag), ("--dry-run", flag))
+    command(scan, reg, ("--source", {"nargs": "+", "required": True}), ("--ext", {"nargs": "*"}), ("--record-duplicates", flag), ("--dry-run", flag), ("--report", {}))
     command(status, reg)
     command(attach, reg, ("key", {}), ("--text", {"required": True}), ("--note", {}))
-    command(extract, reg, ("--outdir", {"required": True}), ("--limit", {"type": int}), ("--dry-run", flag))
-    command(pages, ("--pages", {}), ("--source", {}), ("--out", {"required": True}), ("--start", {"type": int, "default": 1}), ("--end", {"type": int}))
+    command(extract, reg, ("--outdir", {"required": True}), ("--limit", {"type": int}), ("--dry-run", flag), ("--force", flag), ("--redo-ocr", flag), ("--docx-para-numbers", flag), ("--no-dup-check", flag), ("--report", {}))
+    command(pages, ("--pages", {}), ("--source", {}), ("--out", {}), ("--start", {"type": int, "default": 1}), ("--end", {"type": int}), ("--pages-only", flag))
+    command(docx, ("--source", {"required": True}), ("--out", {"required": True}), ("--keep-toc", flag), ("--para-numbers", flag), ("--heading-from-numbering", flag))
+    command(template, ("path", {}))
     command(matrix, ("matrix", {}), ("--check-only", flag), ("--stopwords", {}), ("--keep", {}))
-    command(lint, ("path", {}), ("--skip", {"nargs": "*", "default": []}), ("--allow-abbr", {"nargs": "*", "default": []}), ("--strict", flag), ("--json", flag))
+    command(lint, ("path", {}), ("--skip", {"nargs": "*", "default": []}), ("--allow-abbr", {"nargs": "*", "default": []}), ("--strict", flag), ("--json", flag), ("--form", {"default": "auto", "choices": ["auto", *L.FORM_RANGES]}), ("--min", {"type": int}), ("--max", {"type": int}))
     command(compare, ("path", {}), ("--json", flag), ("--overlap", {"type": float, "default": 0.34}))
     command(name, ("--title", {"required": True}), ("--author", {"default": ""}), ("--form", {"default": "A"}), ("--part", {}))
     a = p.parse_args(argv)

@@ -1,6 +1,8 @@
 import pytest
+from test_sources import docx
 
 from scriptorium.cli import main
+from scriptorium.sources.snapshots import Snapshots, Taken
 
 
 def test_registry_commands(spark, tmp_path):
@@ -14,7 +16,8 @@ def test_registry_commands(spark, tmp_path):
     assert main(["scan", *reg, *src]) == 3 and main(["scan", *reg, *src, "--ext", ".png"]) == 0
     assert main(["status", *reg]) == 0
     assert main(["extract", *reg, "--outdir", str(tmp_path / "out")]) == 2
-    assert [r["body"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["text of a document\n"]
+    made = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("L")]
+    assert [p.read_text() for p in made] == ["# L0001 a.md\n\ntext of a document\n"]
     (tmp_path / "ocr.txt").write_text("recognised text of the picture")
     assert main(["attach", *reg, "c.png", "--text", str(tmp_path / "ocr.txt"), "--note", "seen"]) == 0
     assert main(["attach", *reg, "none", "--text", str(tmp_path / "ocr.txt")]) == 1
@@ -33,3 +36,75 @@ def test_document_commands(spark, tmp_path, capsys):
     assert main(["name", "--title", "x", "--form", "nope"]) == 2
     with pytest.raises(ValueError, match="unknown rules"):
         main(["lint", str(tmp_path / "x"), "--skip", "nope"])
+
+
+def registry(spark, tmp_path):
+    return {r["file_name"]: r for r in Snapshots(spark, str(tmp_path / "reg")).load().collect()}
+
+
+def test_extraction_completes(spark, tmp_path, capsys):
+    """Texts and states reach the registry; a second run leaves texts alone unless forced; what can't be opened is told."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("first text\n")
+    (tmp_path / "in" / "b.txt").write_text("first text\n")
+    (tmp_path / "in" / "c.docx").write_bytes(docx("<w:p><w:r><w:t>Para one</w:t></w:r></w:p>"))
+    (tmp_path / "in" / "broken.docx").write_bytes(b"no archive")
+    reg, out = ["--registry", str(tmp_path / "reg")], ["--outdir", str(tmp_path / "out")]
+    assert main(["init", *reg]) == 0 and main(["scan", *reg, "--source", str(tmp_path / "in"), "--report", str(tmp_path / "scan.md"), "--record-duplicates"]) == 3
+    assert "- added: 4" in (tmp_path / "scan.md").read_text()
+    assert main(["extract", *reg, *out, "--docx-para-numbers"]) == 0
+    rows = registry(spark, tmp_path)
+    assert [rows[n]["state"] for n in ("a.md", "c.docx", "broken.docx")] == ["已抽文本", "已抽文本", "打不开"] and "BadZipFile" in rows["broken.docx"]["note"]
+    text = next((tmp_path / "out").glob("*_c.txt"))
+    assert "[¶1] Para one" in text.read_text() and rows["broken.docx"]["text_path"] == "" and "- not opened: 1" in (tmp_path / "out" / "_report.md").read_text()
+    text.write_text("corrected by hand")
+    assert main(["extract", *reg, *out]) == 0 and text.read_text() == "corrected by hand"
+    assert main(["extract", *reg, *out, "--force"]) == 0 and "Para one" in text.read_text()
+
+
+def test_ids_are_inherited(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in "bcd":
+        (tmp_path / "in" / f"{n}.md").write_text(f"text {n}\n")
+    reg, src = ["--registry", str(tmp_path / "reg")], ["--source", str(tmp_path / "in")]
+    assert main(["init", *reg]) == 0 and main(["scan", *reg, *src]) == 3
+    before = {n: r["id"] for n, r in registry(spark, tmp_path).items()}
+    (tmp_path / "in" / "a.md").write_text("text a\n")
+    (tmp_path / "in" / "d.md").rename(tmp_path / "in" / "renamed.md")
+    assert main(["init", *reg, "--force"]) == 0 and main(["scan", *reg, *src]) == 3
+    after = {n: r["id"] for n, r in registry(spark, tmp_path).items()}
+    assert (after["b.md"], after["c.md"], after["renamed.md"], after["a.md"]) == (before["b.md"], before["c.md"], before["d.md"], "L0004")
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A save that another one overtakes is merged with it and comes next; no save is lost."""
+    store = Snapshots(spark, str(tmp_path / "reg"))
+    table = lambda **cells: spark.createDataFrame([("L0001", "a", "s", cells.get("tier", "x"), cells.get("note", ""))], "id string, file_name string, sha1 string, tier string, note string")
+    base, cells = store.replace(table()), ["file_name", "sha1", "tier", "note"]
+    real, other = Snapshots.replace, []
+
+    def overtaken(self, t, after=None):
+        if not other:
+            other.append(real(self, table(note="theirs")))
+        return real(self, t, after)
+
+    monkeypatch.setattr(Snapshots, "replace", overtaken)
+    store.save(table(tier="ours"), base, cells)
+    r = store.load().first()
+    assert (r["tier"], r["note"]) == ("ours", "theirs")
+    with pytest.raises(Taken):
+        real(store, table(), 0)
+
+
+def test_options(spark, tmp_path, capsys):
+    (tmp_path / "c.md").write_text("档位：T1\n| 批评点 | 样本过小 |\n", encoding="utf-8")
+    (tmp_path / "d.md").write_text("档位：T1\n| 批评点 | 样本过小，且更长 |\n按章节名", encoding="utf-8")
+    assert main(["compare", str(tmp_path)]) == 1 and main(["compare", str(tmp_path), "--json"]) == 0  # the basis is hard, the length soft
+    assert '"tier": "T1核心"' in capsys.readouterr().out
+    assert main(["lint", str(tmp_path), "--form", "doc"]) == 0 and main(["lint", str(tmp_path), "--form", "report", "--skip", "codes", "locator"]) == 1
+    assert main(["lint", str(tmp_path), "--form", "report", "--min", "1", "--skip", "codes", "locator"]) == 0
+    assert main(["template", str(tmp_path / "m.csv")]) == 0 and (tmp_path / "m.csv").read_text().startswith("\ufeff编号,作者")
+    (tmp_path / "x.docx").write_bytes(b"no")
+    assert main(["docx", "--source", str(tmp_path), "--out", str(tmp_path / "t")]) == 1
+    spark.createDataFrame([("p", 1, "text"), ("p", 2, " ")], "doc_id string, page_no int, raw string").write.parquet(str(tmp_path / "pages"))
+    assert main(["pages", "--pages", str(tmp_path / "pages"), "--pages-only"]) == 0 and "p 2 empty 1" in capsys.readouterr().out
