@@ -36,7 +36,7 @@ from .common import Box, cut, map_texts
 
 K1, B, THRESHOLD, OVERLAP, PART, SHINGLE = 1.2, 0.75, 0.55, 0.8, 0.5, 5
 #: Items in a block of postings; floats of the table of block maxima that bounds all passages; words of items in one slice, and in one broadcast; words a worker keeps ids of.
-BLOCK, TABLE, INDEX_WORDS, PART_WORDS, MEMO = 4, 4_000_000, 20_000, 300_000, 400_000
+BLOCK, TABLE, INDEX_WORDS, PART_WORDS, MEMO = 4, 4_000_000, 20_000, 300_000, 200_000
 _EDGES = b".,;:!?\"'()[]{}<>*#|%$&"
 
 
