@@ -11,15 +11,15 @@ from scriptorium.operators import cards as C
 from scriptorium.operators import lint as L
 from scriptorium.operators import topics as O
 
-# Letters become Han characters, so that n-grams have something to count.
+# Letters become Han characters, so that n-grams have something to count. A matrix has a row for every turn of a conversation, with its whole text.
 HAN = "translate(lower({x}), 'abcdefghijklmnopqrstuvwxyz', '学习教师课堂互动深度合作课程素养评价能力研究模式的')"
 MATRIX = [
-    "doc_id AS row_no",
-    "text AS spl",
-    f"concat('已有研究', {HAN.format(x='concat(source, lang)')}, '（Smith 2019）') AS rof",
-    f"{HAN.format(x='text')} AS gap",
+    "conv_id * 1000 + turn AS row_no",
+    "coalesce(text, '') AS spl",
+    f"concat('已有研究', {HAN.format(x='role')}, '（Smith 2019）') AS rof",
+    f"{HAN.format(x="coalesce(text, '')")} AS gap",
 ]
-ROWS = f"m AS (SELECT {', '.join(MATRIX)} FROM documents)"
+ROWS = f"m AS (SELECT {', '.join(MATRIX)} FROM conversations)"
 PATH = "concat(CASE WHEN doc_id % 19 = 0 THEN 'references/' ELSE 'out/' END, CASE doc_id % 6 WHEN 0 THEN 'a-导读' WHEN 1 THEN '速览' WHEN 2 THEN 'x解码卡' WHEN 3 THEN '对比' WHEN 4 THEN '文献综述' ELSE 'y' END, '.md') AS path"
 TEXT = """concat('# t', chr(10), CASE doc_id % 7 WHEN 0 THEN '## 四、现有文献研究空白' WHEN 1 THEN '## 综述摘要 文献范围与筛选说明' WHEN 2 THEN '## 一句话结论 三条要点' WHEN 3 THEN '## 对比矩阵 共识与分歧' ELSE '## x' END, chr(10), text, chr(10),
  CASE doc_id % 5 WHEN 0 THEN '方法有待加强，见 p. 12 和第 3 页' WHEN 1 THEN '禁止写：方法有待加强' WHEN 2 THEN '具有重要的理论意义和现实意义' ELSE '研究了教师与学生的互动并发现差异（2019）' END, chr(10),
@@ -34,7 +34,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).selectExpr(*MATRIX)
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(*MATRIX)
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
