@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, langid, lines, mixing, ngrams, pii, quality, simhash, tokens
+from . import chat, clusters, contamination, langid, licenses, lines, merkle, mixing, ngrams, pii, quality, simhash, tokens
 from .common import bucket_of
 from .sql import ORACLES
 
@@ -78,4 +78,31 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, digest.alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda x: x.score.cast("string")), ",").alias("scores"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op3_near_duplicates, op4_quality, op5_language_model, op6_chat, op7_contamination, op8_line_dedup, op9_tokens, op10_pii)}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("notices", lambda x: x.base)
+    starts = F.transform(base, lambda x: x.first_word)
+    joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x.label))), ",")
+    columns = [F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined("notices").alias("labels"), "score"]
+    return found.select("doc_id", "n_words", *columns)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster(_read(spark, sf_dir, "embeddings"))
+    sha = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", sha.alias("centroid_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and its proofs held against a table of which some rows were tampered with."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    odd = F.col("n_chars").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    own = merkle.leaf(*(F.col(c) for c in docs.columns))
+    leaves = docs.select(F.col("doc_id").alias("id"), merkle.tree_key(F.col("lang")).alias("tree"), own.alias("value"), F.when(odd, merkle.leaf("doc_id", "source", "lang", more, "text")).alias("tampered"))
+    proved = merkle.verify(merkle.proofs(leaves).withColumn("seen", F.coalesce("tampered", "leaf")), "seen")
+    told = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return proved.select(F.col("id").alias("doc_id"), *told, F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), F.lower(F.hex("folded_root")).alias("folded_root"), "verified")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op3_near_duplicates, op4_quality, op5_language_model, op6_chat, op7_contamination, op8_line_dedup, op9_tokens, op10_pii, op11_licenses, op12_clusters, op13_manifest)}
