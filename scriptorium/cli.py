@@ -9,8 +9,9 @@ import argparse
 import importlib.util
 import json
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -55,10 +56,12 @@ def _report(spark, path: str, lines: list[str]) -> None:
 
 def scan(spark, a) -> int:
     store = Snapshots(spark, a.registry)
-    found = None
+    there = [s for s in a.source if files.exists(spark, s)]
     for s in a.source:
-        one = files.scan_folder(spark, s, tuple(e.lower() for e in a.ext) if a.ext else files.EXTENSIONS)
-        found = one if found is None else found.unionByName(one)
+        if s not in there:
+            print(f"no such source, left out: {s}", file=sys.stderr)
+    each = [files.scan_folder(spark, s, tuple(e.lower() for e in a.ext) if a.ext else files.EXTENSIONS) for s in there]
+    found = reduce(DataFrame.unionByName, each, spark.createDataFrame([], "source_path string, file_name string, sha1 string"))
     found = found.dropDuplicates(["source_path"])
     if a.dry_run:
         base = store.load()
@@ -104,20 +107,17 @@ def attach(spark, a) -> int:
     return 0
 
 
-def _present(spark, paths):
-    """(path) of the files that are there, among those of a column of paths; their folders are listed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = spark.createDataFrame([], "path string")
-    for r in paths.select(F.regexp_replace(F.col(paths.columns[0]), "/[^/]*$", "").alias("folder")).distinct().collect():
-        at = jvm.org.apache.hadoop.fs.Path(r["folder"] or "/")
-        if r["folder"] and at.getFileSystem(conf).exists(at):
-            found = found.unionByName(spark.read.format("binaryFile").load(r["folder"]).select("path"))
-    return found.select(_plain(F.col("path")).alias("path")).distinct()
-
-
-def _plain(path):
-    """A path without the scheme of local files."""
-    return F.regexp_replace(path, r"\Afile:/*", "/")
+def _bodies(rows, a):
+    """(id, status, body, message) of files from the rows that they gave."""
+    broken = rows.filter("level < 0").groupBy("id").agg(F.first("text").alias("message")).select("id", F.lit("打不开").alias("status"), F.lit("").alias("body"), "message")
+    good = rows.join(broken.select("id"), "id", "left_anti")
+    lines = files.docx_lines(good.filter("kind <> 'pdf'"), a.docx_para_numbers)
+    line = F.when(F.col("kind") == "docx", F.col("line")).otherwise(F.col("text"))
+    text = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", line.alias("line")))).alias("x")).select("id", F.lit("ok").alias("status"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("body"), F.lit("").alias("message"))
+    pages = good.filter("kind = 'pdf'").select(F.col("id").alias("doc_id"), F.col("no").alias("page_no"), F.col("text").alias("raw"), "needs_pass", "repaired")
+    state = P.triage(pages, F.col("needs_pass"), F.col("repaired")).select("doc_id", "status")
+    books = P.assemble(pages, a.printed_labels).join(state, "doc_id").select(F.col("doc_id").alias("id"), "status", F.col("content").alias("body"), F.lit("").alias("message"))
+    return broken.unionByName(text).unionByName(books)
 
 
 def extract(spark, a) -> int:
@@ -125,11 +125,9 @@ def extract(spark, a) -> int:
     store = Snapshots(spark, a.registry)
     base = store.version()
     registry = _whole(store.load()).withColumn("row_no", R.number_of(F.col("id")))
-    there = _present(spark, registry.filter(~R.blank(F.col("source_path"))).select(_plain(F.col("source_path"))))
-    texts = _present(spark, registry.filter(~R.blank(F.col("text_path"))).select(_plain(F.col("text_path"))))
-    rows = registry.join(there.select(F.col("path").alias("_p"), F.lit(True).alias("_there")), _plain(F.col("source_path")) == F.col("_p"), "left")
-    rows = rows.join(texts.select(F.col("path").alias("_q"), F.lit(True).alias("_text")), _plain(F.col("text_path")) == F.col("_q"), "left")
-    queue = cut(R.extract_queue(rows, F.coalesce("_there", F.lit(False)), F.coalesce("_text", F.lit(False)), a.force, a.redo_ocr).drop("_p", "_q", "_there", "_text"))
+    rows = files.sized(registry, "source_path", "text_path")
+    queue = R.extract_queue(rows, F.col("source_path_size").isNotNull(), F.col("text_path_size").isNotNull(), a.force, a.redo_ocr)
+    queue = cut(queue.drop("text_path_size"))
     for r in queue.groupBy(F.coalesce("queue", "new_state").alias("status")).count().orderBy("status").collect():
         print(r["status"], r["count"])
     images = queue.filter("new_state = '需OCR' and state <> new_state").count()
@@ -137,38 +135,25 @@ def extract(spark, a) -> int:
         return 2 if images else 0
     todo = queue.filter("queue is not null").orderBy("row_no")
     todo = cut(todo.limit(a.limit) if a.limit else todo)
-    bodies = spark.createDataFrame([], "path string, status string, body string, message string")
-    for r in todo.select("queue", F.regexp_replace("source_path", "/[^/]*$", "").alias("folder")).distinct().collect():
-        kind, folder = r["queue"], r["folder"]
-        if kind == "text":
-            got = files.read_texts(spark, folder).select("path", F.lit("ok").alias("status"), "body", F.lit("").alias("message"))
-        elif kind == "docx":
-            lines = files.read_docx(spark, folder, para_numbers=a.docx_para_numbers).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("para", "level", "line", "text"))).alias("x"))
-            broken = F.element_at("x", 1)["level"] < 0
-            text = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
-            got = lines.select("path", F.when(broken, "打不开").otherwise("ok").alias("status"), text.alias("body"), F.when(broken, F.element_at("x", 1)["text"]).otherwise("").alias("message"))
-        elif importlib.util.find_spec("fitz"):
-            pages = cut(files.read_pdf(spark, folder))
-            state = P.triage(pages.filter("page_no > 0"), F.col("needs_pass"), F.col("repaired")).select("doc_id", "status")
-            got = P.assemble(pages.filter("page_no > 0")).join(state, "doc_id").select(F.col("doc_id").alias("path"), "status", F.col("content").alias("body"), F.lit("").alias("message"))
-            got = got.unionByName(pages.filter("page_no = 0").select(F.col("doc_id").alias("path"), F.lit("打不开").alias("status"), F.lit("").alias("body"), F.col("error").alias("message")))
-        else:
-            print("no PDF library: PDF files stay in the queue", file=sys.stderr)
-            continue
-        bodies = bodies.unionByName(got.select(_plain(F.col("path")).alias("path"), "status", "body", "message"))
-    mine = cut(todo.select("id", "file_name", F.col("source_path")).join(bodies, _plain(F.col("source_path")) == F.col("path")))
+    if importlib.util.find_spec("fitz") is None and not todo.filter("queue = 'pdf'").isEmpty():
+        print("no PDF library: PDF files stay in the queue", file=sys.stderr)
+        todo = todo.filter("queue <> 'pdf'")
+    bodies = _bodies(cut(files.read_files(files.dealt(todo, "source_path_size").select("id", F.col("source_path").alias("path"), F.col("queue").alias("kind")))), a)
+    mine = cut(todo.select("id", "file_name", F.col("source_path").alias("path")).join(bodies, "id"))
     head = F.concat(F.lit("# "), "id", F.lit(" "), "file_name", F.lit("\n\n"))
     named = mine.filter("status = 'ok'").select("id", F.concat("id", F.lit("_"), T.safe_filename(T.stem(F.col("path"))), F.lit(".txt")).alias("name"), F.concat(head, "body").alias("body"))
     paths = cut(files.write_texts(named, a.outdir))
     results = mine.select("id", "status", "message", F.length("body").alias("_chars")).join(paths, "id", "left")
-    done = R.backfill(queue.withColumn("state", F.col("new_state")).drop("queue", "new_state"), results)
+    done = R.backfill(queue.withColumn("state", F.col("new_state")).drop("queue", "new_state", "source_path_size"), results)
     notes = results.filter("message <> ''").select("id", F.col("message").alias("_note"))
     done = done.join(notes, "id", "left").withColumn("note", F.when(F.col("_note").isNotNull(), T.append_note(F.col("note"), F.col("_note"))).otherwise(F.col("note"))).drop("_note")
     store.save(cut(done.select("id", *CELLS, *(c for c in EXTRA if c in done.columns))), base, [*CELLS, *(c for c in EXTRA if c in done.columns)])
     counts = {r["status"]: r["count"] for r in results.groupBy("status").count().collect()}
-    pairs = [] if a.no_dup_check else R.text_duplicates(mine.filter("status = 'ok'")).orderBy("keep_id", "dup_id").limit(reports.SHOWN).collect()
-    lines = ["# Extraction", "", f"- files: {todo.count()}", f"- ok: {counts.get('ok', 0)}", f"- OCR needed: {counts.get('需OCR', 0) + images} (images: {images})", f"- not opened: {counts.get('打不开', 0)}", f"- equal texts: {len(pairs)}", ""]
-    lines += [f"- {r['keep_id']} stays, {r['dup_id']} is the same text" for r in pairs] + [f"- {r['id']}: {r['_note']}" for r in notes.orderBy("id").limit(reports.SHOWN).collect()]
+    same = R.text_duplicates(mine.filter("status = 'ok'")) if not a.no_dup_check else None
+    n_same = same.count() if same is not None else 0
+    pairs = same.orderBy("keep_id", "dup_id").limit(reports.SHOWN).collect() if n_same else []
+    lines = ["# Extraction", "", f"- files: {todo.count()}", f"- ok: {counts.get('ok', 0)}", f"- OCR needed: {counts.get('需OCR', 0) + images} (images: {images})", f"- not opened: {counts.get('打不开', 0)}", f"- equal texts: {n_same}", ""]
+    lines += [f"- {r['keep_id']} stays, {r['dup_id']} is the same text" for r in pairs] + ([f"- ... {n_same - len(pairs)} more"] if n_same > len(pairs) else []) + [f"- {r['id']}: {r['_note']}" for r in notes.orderBy("id").limit(reports.SHOWN).collect()]
     _report(spark, a.report or f"{a.outdir.rstrip('/')}/_report.md", lines)
     return 2 if counts.get("需OCR", 0) + images else 0
 
@@ -220,14 +205,17 @@ def matrix(spark, a) -> int:
 def lint(spark, a) -> int:
     docs = files.read_texts(spark, a.path).select("path", F.col("body").alias("text"))
     found = L.findings(docs, tuple(a.skip), tuple(a.allow_abbr), None if a.form == "auto" else a.form, a.min, a.max).cache()
-    total = L.rollup(found, a.strict).first()
-    if a.json:
-        for r in found.groupBy("path").agg(F.to_json(F.collect_list(F.struct("rule", "severity", "n"))).alias("j")).toLocalIterator():
-            print(json.dumps({"file": r["path"], "findings": json.loads(r["j"])}, ensure_ascii=False))
-    else:
-        for r in found.orderBy("path", "rule").toLocalIterator():
-            print(r["path"], r["severity"], r["rule"], r["n"])
-    return 1 if total["failed"] else 0
+    try:
+        total = L.rollup(found, a.strict).first()
+        if a.json:
+            for r in found.groupBy("path").agg(F.to_json(F.collect_list(F.struct("rule", "severity", "n"))).alias("j")).toLocalIterator():
+                print(json.dumps({"file": r["path"], "findings": json.loads(r["j"])}, ensure_ascii=False))
+        else:
+            for r in found.orderBy("path", "rule").toLocalIterator():
+                print(r["path"], r["severity"], r["rule"], r["n"])
+        return 1 if total["failed"] else 0
+    finally:
+        found.unpersist()
 
 
 def compare(spark, a) -> int:
@@ -272,7 +260,7 @@ def main(argv: list[str] | None = None) -> int:
     command(scan, reg, ("--source", {"nargs": "+", "required": True}), ("--ext", {"nargs": "*"}), ("--record-duplicates", flag), ("--dry-run", flag), ("--report", {}))
     command(status, reg)
     command(attach, reg, ("key", {}), ("--text", {"required": True}), ("--note", {}))
-    command(extract, reg, ("--outdir", {"required": True}), ("--limit", {"type": int}), ("--dry-run", flag), ("--force", flag), ("--redo-ocr", flag), ("--docx-para-numbers", flag), ("--no-dup-check", flag), ("--report", {}))
+    command(extract, reg, ("--outdir", {"required": True}), ("--limit", {"type": int}), ("--dry-run", flag), ("--force", flag), ("--redo-ocr", flag), ("--docx-para-numbers", flag), ("--printed-labels", flag), ("--no-dup-check", flag), ("--report", {}))
     command(pages, ("--pages", {}), ("--source", {}), ("--out", {}), ("--start", {"type": int, "default": 1}), ("--end", {"type": int}), ("--pages-only", flag))
     command(docx, ("--source", {"required": True}), ("--out", {"required": True}), ("--keep-toc", flag), ("--para-numbers", flag), ("--heading-from-numbering", flag))
     command(template, ("path", {}))

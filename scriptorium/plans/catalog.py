@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mined, paged, registries, scalars
+from . import mined, opened, paged, registries, scalars
 
-_MODULES = (scalars, registries, paged, mined)
+_MODULES = (scalars, registries, paged, opened, mined)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

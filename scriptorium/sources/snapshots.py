@@ -16,7 +16,7 @@ class Taken(Exception):
 
 
 class Snapshots:
-    """Versions in a folder of any file system that Spark writes to. A head is written aside and moved to its number, which never replaces one that is there: of two writers one sees Taken."""
+    """Versions in a folder of any file system that Spark writes to. A head is written aside and moved to its number, which never replaces one that is there: of two writers one sees Taken. That rests on a rename that does not overwrite, as HDFS and local folders have it; on an object store whose rename copies, two writers at one moment need a lock of their own."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -40,7 +40,13 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.folder}/{name}") if name else None
 
     def save(self, table: DataFrame, base: str | None, cells: list[str], tries: int = 20) -> str:
-        """Saves a table made from version base; if another version has come meanwhile, cell by cell merged with it. Returns the new version."""
+        """Saves a table made from version base; if another version has come meanwhile, cell by cell merged with it. Returns the new version.
+
+        A table that has an id twice is refused: no operator makes one from a registry that is whole.
+        """
+        again = table.groupBy("id").count().filter("count > 1").select("id").limit(3).collect()
+        if again:
+            raise ValueError(f"an id has several rows: {', '.join(str(r['id']) for r in again)}")
         for _ in range(tries):
             heads, now = self._heads("head"), self.version()
             merged = table

@@ -108,3 +108,79 @@ def test_options(spark, tmp_path, capsys):
     assert main(["docx", "--source", str(tmp_path), "--out", str(tmp_path / "t")]) == 1
     spark.createDataFrame([("p", 1, "text"), ("p", 2, " ")], "doc_id string, page_no int, raw string").write.parquet(str(tmp_path / "pages"))
     assert main(["pages", "--pages", str(tmp_path / "pages"), "--pages-only"]) == 0 and "p 2 empty 1" in capsys.readouterr().out
+
+
+def test_nested_folders(spark, tmp_path):
+    """A row for each id after two runs, whatever folders lie below one another; the plan does not grow with the folders."""
+    for i in range(200):
+        at = tmp_path / "in" / f"f{i}" / "sub" if i % 2 else tmp_path / "in" / f"f{i - i % 4}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"d{i}.md").write_text(f"text {i % 150}\n")
+    (tmp_path / "in" / "a.md").write_text("top\n")
+    reg, out = ["--registry", str(tmp_path / "reg")], ["--outdir", str(tmp_path / "out")]
+    assert main(["init", *reg]) == 0 and main(["scan", *reg, "--source", str(tmp_path / "in"), str(tmp_path / "in" / "f1"), str(tmp_path / "none"), "--record-duplicates"]) == 3
+    assert main(["extract", *reg, *out, "--limit", "3"]) == 0
+    first = Snapshots(spark, str(tmp_path / "reg")).load()
+    assert first.filter("state = '已抽文本'").count() == 3
+    for _ in range(2):
+        assert main(["extract", *reg, *out]) == 0
+        rows = Snapshots(spark, str(tmp_path / "reg")).load().collect()
+        assert len(rows) == len({r["id"] for r in rows}) == 201
+    assert sum(r["state"] == "已抽文本" for r in rows) == 151  # copies are skipped
+    gone = next(r for r in rows if r["file_name"] == "a.md")
+    (tmp_path / "in" / "a.md").unlink()
+    assert main(["extract", *reg, *out, "--force"]) == 0
+    assert registry(spark, tmp_path)["a.md"]["state"] == "源文件缺失" and gone["state"] == "已抽文本"
+
+
+def test_repeated_ids_are_refused(spark, tmp_path):
+    table = spark.createDataFrame([("L0001", "a"), ("L0001", "b")], "id string, note string")
+    with pytest.raises(ValueError, match="L0001"):
+        Snapshots(spark, str(tmp_path / "reg")).save(table, None, ["note"])
+
+
+FITZ = """
+class _Page:
+    def __init__(self, text): self.text = text
+    def get_text(self): return self.text
+
+
+class _Doc:
+    def __init__(self, stream):
+        if not stream.startswith(b'%PDF'): raise RuntimeError('no PDF')
+        self.pages = [p for p in stream.decode().split('|')[1:]]
+        self.needs_pass, self.is_repaired, self.page_count = b'LOCKED' in stream, False, len(self.pages)
+    def __enter__(self): return self
+    def __exit__(self, *a): pass
+    def __getitem__(self, i): return _Page(self.pages[i])
+
+
+def open(stream, filetype): return _Doc(stream)
+"""
+
+
+def test_pages_of_pdf_files(spark, tmp_path, monkeypatch, capsys):
+    """The branch of PDF files, with a stand-in for the library: pages, printed labels, locked, empty and broken files."""
+    import importlib.util
+    import sys
+    import types
+
+    from scriptorium.sources import files
+
+    fake = types.ModuleType("fitz")
+    exec(FITZ, fake.__dict__)
+    monkeypatch.setitem(sys.modules, "fitz", fake)
+    book = "%PDF|" + "|".join(f"page {i} of many words\n— {i + 40} —" for i in range(1, 5))
+    for n, body in (("good.pdf", book), ("locked.pdf", "%PDF LOCKED|x"), ("scan.pdf", "%PDF| | "), ("bad.pdf", "nothing")):
+        (tmp_path / n).write_text(body)
+    assert files.pdf_pages(book.encode())[0] == (1, "page 1 of many words\n— 41 —", False, False, None)
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: types.SimpleNamespace() if name == "fitz" else None)
+    # workers have no such library: what they would have given is made here, from the same function
+    monkeypatch.setattr(files, "read_files", lambda todo, keep_toc=False: spark.createDataFrame([(r["id"], "pdf", no, -1 if e else 0, e or t, False, lock, rep) for r in todo.collect() for no, t, lock, rep, e in files.pdf_pages(open(r["path"].removeprefix("file:"), "rb").read())], files.ROWS))
+    reg, out = ["--registry", str(tmp_path / "reg")], ["--outdir", str(tmp_path / "out")]
+    assert main(["init", *reg]) == 0 and main(["scan", *reg, "--source", str(tmp_path)]) == 3
+    assert main(["extract", *reg, *out, "--printed-labels"]) == 2
+    rows = registry(spark, tmp_path)
+    assert {n: r["state"] for n, r in rows.items()} == {"good.pdf": "已抽文本", "locked.pdf": "打不开", "scan.pdf": "需OCR", "bad.pdf": "打不开"} and "no PDF" in rows["bad.pdf"]["note"]
+    text = next((tmp_path / "out").glob("*_good.txt")).read_text()
+    assert "===== PAGE 2 ===== [印刷页码 p.42]\npage 2 of many words\n" in text and "— 42" not in text

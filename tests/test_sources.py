@@ -67,3 +67,46 @@ def test_ingestion(spark, tmp_path):
     ingest(spark, str(tmp_path / "in"), str(tmp_path / "reg"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r["id"] for r in store.load().collect()) == ["L0001", "L0002", "L0003"]
     assert append(files.scan_folder(spark, str(tmp_path / "in")), store) == 0
+
+
+def test_docx_text_box_and_fields():
+    """A paragraph in a text box belongs to the one around it and comes again behind it; a table of contents may run over paragraphs."""
+    kind = lambda k: f'<w:r><w:fldChar w:fldCharType="{k}"/></w:r>'
+    body = "<w:p><w:r><w:t>out </w:t><w:txbxContent><w:p><w:r><w:t>in</w:t></w:r></w:p></w:txbxContent><w:t> er</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t><w:br/><w:t>two</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    body += f"<w:p>{kind('begin')}<w:r><w:instrText>TOC</w:instrText></w:r>{kind('separate')}<w:r><w:t>1 a</w:t></w:r></w:p><w:p><w:r><w:t>2 b</w:t></w:r>{kind('end')}<w:r><w:t>rest</w:t></w:r></w:p>"
+    rows = [(n, text) for n, _, text, toc in files.docx_paragraphs(io.BytesIO(docx(body))) if not toc]
+    assert rows == [(1, "out in er"), (2, "in"), (3, "cell\ntwo"), (4, "rest")]
+    assert [t for _, _, t, _ in files.docx_paragraphs(io.BytesIO(docx(body)), True)][3:] == ["1 a", "2 brest"]
+
+
+def test_docx_keeps_no_tree():
+    """Elements go as they end: parsing ten times the paragraphs takes no more memory at once."""
+    import tracemalloc
+
+    def peak(n):
+        content = docx("<w:p><w:r><w:t>some text here</w:t></w:r></w:p>" * n)
+        tracemalloc.start()
+        assert sum(1 for _ in files.docx_paragraphs(io.BytesIO(content))) == n
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    assert peak(40_000) < 1.5 * peak(4_000)
+
+
+def test_files_of_any_size(spark, tmp_path, monkeypatch):
+    """Beyond the two gigabytes that a binary value holds, and at chunks of any size."""
+    import hashlib
+
+    with open(tmp_path / "big.pdf", "wb") as f:
+        f.truncate(2200 << 20)
+    (tmp_path / "small.md").write_text("x" * 5000)
+    whole = hashlib.sha1()
+    for _ in range(2200):
+        whole.update(bytes(1 << 20))
+    got = {r["file_name"]: r["sha1"] for r in files.scan_folder(spark, str(tmp_path)).collect()}
+    assert got == {"big.pdf": whole.hexdigest(), "small.md": hashlib.sha1(b"x" * 5000).hexdigest()}
+    gone = files.listed(spark, str(tmp_path)).collect()
+    (tmp_path / "small.md").unlink()
+    left = files.hashed(spark.createDataFrame([r for r in gone if "small" in r["path"]], "path string, size long"))
+    assert left.count() == 0
