@@ -20,6 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work on texts that takes long: rows of fewer splits than cores are dealt out; a table of as many stays where it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
     """df with a number from 1 in this order, without gathering it: ranges are numbered apart and shifted by what stands before them."""
     spark = df.sparkSession

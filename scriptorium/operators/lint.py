@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,18 @@ FORM_HEADINGS = (
     ("quick", ("一句话结论", "三条要点", "一个批评点"), 2), ("C", ("对比矩阵", "共识与分歧", "对比综述"), 2), ("B", ("综述摘要", "文献范围与筛选说明", "现有文献的主题格局"), 2), ("A", ("导读摘要", "研究定位", "读后总评"), 1),
 )
 FORM_FILES = (("chapter-card", "章节.*(卡|解码)|(卡|解码).*章节"), ("card", "解码卡"), ("report", "总报告"), ("quick", "速览"), ("C", "对比|评述"), ("B", "综述"), ("A", "导读"))
+#: References to pages and sections; findings run into one sentence; an author with a year at a paragraph's front; a year in brackets; a heading's line; a reference to a group that was never replaced.
 LOCATOR = r"p\.\s*[0-9]+|第\s*[0-9]+\s*[页节]|第\s*[一二三四五六七八九十]+\s*节|[「“\"][^」”\"]{2,24}[」”\"]\s*(?:一节|节|部分)"
 MERGED = r"(?:研究|分析|探讨)了?.{2,40}(?:并|且|同时)发现"
 AUTHOR_LEAD = r"\A\s*[\x{4e00}-\x{9fff}]{2,4}等?\s*[（(]\s*[0-9]{4}\s*[）)]"
 YEAR_CITE = r"[（(]\s*[0-9]{4}[a-z]?\s*[）)]"
 HEADING = r"(?m)^[ \t]{0,3}#{1,6}[ \t]*[^ \t\n#].*$"
+BACK_REFERENCE = r"(?<![A-Za-z0-9_\\])\\[1-9](?![A-Za-z0-9_])"
+#: The section that form A's length leaves out, up to the next heading of two levels; what a section on gaps is called and what gives its reasons.
+SOURCES = r"(?m)^[ \t]{0,3}#{1,6}[ \t]*八、[ \t]*[^\n]{0,20}?(?:引用信息|参考文献|文献表)[^\n]*[\s\S]*?(?=\n[ \t]{0,3}#{1,2}[ \t]+\S|\z)"
+GAP, REASONS = "空白", "理论依据|因此可开展的研究是"
+#: Brackets that open and close.
+OPENING, CLOSING = "（(〔【", "）)〕】"
 
 
 def headings(text: Column) -> Column:
@@ -38,13 +47,19 @@ def headings(text: Column) -> Column:
 
 def guess_form(path: Column, text: Column) -> Column:
     """Folder and report names first, then headings, then the file's name, then a mark in the text."""
-    name, heads = T.basename(F.translate(path, "\\", "/")), F.array_join(headings(text), "\n")
+    name = T.basename(F.translate(path, "\\", "/"))
     out = F.when(F.contains(text, F.lit("作者要做什么")), "A").otherwise("B")
     for form, pattern in reversed(FORM_FILES):
         out = F.when(name.rlike(pattern), form).otherwise(out)
-    for form, marks, need in reversed(FORM_HEADINGS):
-        hits = sum((F.contains(heads, F.lit(m)).cast("int") for m in marks), F.lit(0))
-        out = F.when(hits >= need, form).otherwise(out)
+
+    def by_headings(heads: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for form, marks, need in reversed(FORM_HEADINGS):
+            hits = sum((F.contains(heads, F.lit(m)).cast("int") for m in marks), F.lit(0))
+            found = F.when(hits >= need, form).otherwise(found)
+        return found
+
+    out = F.coalesce(T.bind(F.array_join(headings(text), "\n"), by_headings), out)
     folder = F.translate(path, "\\", "/").rlike(r"(\A|/)(references|assets)(/|\z)")
     return F.when(folder | F.startswith(name, F.lit("_提取报告")) | F.contains(F.left(text, F.lit(200)), F.lit("批量抽文本报告")), "doc").otherwise(out)
 
@@ -59,51 +74,61 @@ def without_code(text: Column) -> Column:
 
 def budget(text: Column, form: Column) -> Column:
     """The text that length and references count: in form A without the section of the source's own bibliography."""
-    cut = F.regexp_replace(text, r"(?m)^[ \t]{0,3}#{1,6}[ \t]*八、[ \t]*[^\n]{0,20}?(?:引用信息|参考文献|文献表)[^\n]*(?:\n(?![ \t]{0,3}#{1,2}[ \t]+\S)[^\n]*)*", "")
+    cut = F.regexp_replace(text, SOURCES, "")
     return F.when(form == "A", cut).otherwise(text)
 
 
-def _unprepared(word: str, before: tuple[str, ...]) -> str:
-    """word, unless one of the words before stands wholly inside the NEAR characters in front of it. The literal leads, so that only its places look back."""
-    return word + "".join(f"(?<!{m}[\\s\\S]{{0,{NEAR - len(m)}}}{word})" for m in before)
+def _before(words: tuple[str, ...]) -> str:
+    """The words, and as a group the NEAR characters in front of the one that is found. The words lead, so that only their places look back."""
+    some = "|".join(words)
+    return rf"(?:{some})(?<=(\A[\s\S]{{0,{NEAR - 1}}}|[\s\S]{{{NEAR}}})(?:{some}))"
+
+
+def unprepared(text: Column, words: tuple[str, ...], before: tuple[str, ...]) -> Column:
+    """The places of words, in order, in front of which none of the words before stands wholly inside NEAR characters. One pass finds all."""
+    pattern = F.lit(_before(words))
+    found = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("word"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("near"))
+    return F.transform(F.filter(found, lambda x: ~x.near.rlike("|".join(before))), lambda x: x.word)
 
 
 def hygiene(text: Column) -> Column:
     """Entities left over, and references like \\1 that were never replaced."""
     body = without_code(text)
-    return F.regexp_count(body, F.lit(HTML_ENTITY)) + F.regexp_count(body, F.lit(r"(?<![A-Za-z0-9_\\])\\[1-9](?![A-Za-z0-9_])"))
+    return F.regexp_count(body, F.lit(HTML_ENTITY)) + F.regexp_count(body, F.lit(BACK_REFERENCE))
 
 
 def banned(text: Column) -> Column:
     """The phrases used (not only mentioned)."""
-    body = without_comments(text)
-    return F.array_compact(F.array(*(F.when(body.rlike(_unprepared(w, MENTIONS)), F.lit(w)) for w in BANNED)))
+    used = unprepared(without_comments(text), BANNED, MENTIONS)
+    return T.bind(used, lambda found: F.filter(F.array(*map(F.lit, BANNED)), lambda w: F.array_contains(found, w)))
 
 
 def unattributed_limits(text: Column) -> Column:
-    return text.rlike(_unprepared("局限", ATTRIBUTIONS)) & ~F.contains(text, F.lit("本文评述"))
+    return (F.size(unprepared(text, ("局限",), ATTRIBUTIONS)) > 0) & ~F.contains(text, F.lit("本文评述"))
+
+
+def without_fences(text: Column) -> Column:
+    """Without fenced blocks: from a line that begins with a fence to the next such line, or the end."""
+    return F.regexp_replace(text, r"(?m)^ *```[\s\S]*?(?:\n *```[^\n]*$|\z)", "")
 
 
 def abbreviations(text: Column) -> Column:
     """Abbreviations outside fences and comments as structs of name and place: bare, table or paren (inside brackets opened on the line)."""
-    lines = F.split(without_comments(text), "\n")
-    marked = F.transform(lines, lambda x: F.struct(x.alias("x"), F.startswith(F.ltrim(x), F.lit("```")).cast("int").alias("f")))
-    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("out"))
-    outside = F.aggregate(marked, start, lambda a, m: F.struct(((a.open + m.f) % 2).alias("open"), F.when((a.open == 0) & (m.f == 0), F.concat(a.out, F.array(m.x))).otherwise(a.out).alias("out")), lambda a: a.out)
     names = r"(?<![A-Za-z])(?:" + "|".join(sorted(ABBREVIATIONS, key=len, reverse=True)) + r")(?![A-Za-z])"
+    lines = F.filter(F.split(without_fences(without_comments(text)), "\n"), lambda x: x.rlike(names))
 
     def in_line(x: Column) -> Column:
-        gaps, found = F.split(x, names, -1), F.regexp_extract_all(x, F.lit(names), F.lit(0))
-
-        def place(name: Column, i: Column) -> Column:
-            before = F.array_join(F.transform(F.slice(gaps, F.lit(1), i + 1), lambda g: F.regexp_replace(g, "[^（(〔【）)〕】]", "")), "")
-            # read from the left: brackets that close take one that is open; any still open holds the name
-            depth = F.aggregate(F.split(before, ""), F.lit(0), lambda d, ch: F.when(ch.isin("（", "(", "〔", "【"), d + 1).when(ch.isin("）", ")", "〕", "】"), F.greatest(d - 1, F.lit(0))).otherwise(d))
-            return F.struct(name.alias("name"), F.when(depth > 0, "paren").when(F.startswith(F.ltrim(x), F.lit("|")), "table").otherwise("bare").alias("place"))
+        tokens = F.regexp_extract_all(x, F.lit(rf"[{OPENING}{CLOSING}]|{names}"), F.lit(0))
+        steps = F.transform(tokens, lambda t: F.when(t.isin(*OPENING), 1).when(t.isin(*CLOSING), -1).otherwise(0).cast("long"))
+        # brackets that close take one that is open, if any is: depth is the sum so far, above its lowest so far
+        return T.bind(T.before(steps, lambda a, b: a + b), lambda sums: T.bind(T.before(F.transform(sums, lambda s, i: s + F.get(steps, i)), lambda a, b: F.least(a, b)), lambda lows: placed(x, tokens, sums, lows)))
 
-        return F.transform(found, place)
+    def placed(x: Column, tokens: Column, sums: Column, lows: Column) -> Column:
+        bare = F.when(F.startswith(F.ltrim(x), F.lit("|")), "table").otherwise("bare")
+        each = F.transform(tokens, lambda t, i: F.when(t.isin(*OPENING, *CLOSING), None).otherwise(F.struct(t.alias("name"), F.when(F.get(sums, i) > F.get(lows, i), "paren").otherwise(bare).alias("place"))))
+        return F.filter(each, lambda e: e.isNotNull())
 
-    return F.flatten(F.transform(outside, in_line))
+    return F.flatten(F.transform(lines, in_line))
 
 
 def sections(text: Column) -> Column:
@@ -123,13 +148,25 @@ def gaps_without_reasons(text: Column) -> Column:
     return T.bind(sections(text), _lacking)
 
 
-def _lacking(s: Column) -> Column:
-    def lacking(x: Column, i: Column) -> Column:
-        stop = F.array_min(F.transform(s, lambda y, j: F.when((j > i) & (y.level <= x.level), j).otherwise(F.size(s))))
-        scope = F.concat(F.array_join(F.transform(F.slice(s, i + 1, F.greatest(stop - i, F.lit(1))), lambda y: y.body), "\n"), F.coalesce(F.concat(F.try_element_at(s, i + 2)["title"], F.try_element_at(s, i + 2)["body"]), F.lit("")))
-        return F.when(F.contains(x.title, F.lit("空白")), F.when(~scope.rlike("理论依据|因此可开展的研究是"), x.title))
+#: A letter for each kind of section: its level (0 to 6), whether it is on a gap, whether its body and its title or body give reasons.
+_LETTERS = string.ascii_letters + string.digits
+
+
+def _kinds(levels, gap=(0, 1), body=(0, 1), whole=(0, 1)) -> str:
+    return "[" + "".join(_LETTERS[8 * k + 4 * g + 2 * b + w] for k in levels for g in gap for b in body for w in whole) + "]"
+
 
-    return F.array_compact(F.transform(s, lacking))
+#: A section on a gap without reasons in its body, none in the next section, and none below it: up to the next of its level or the end.
+_LACKING = "|".join(f"{_kinds([k], (1,), (0,))}(?={_kinds(range(7), whole=(0,))}|$)(?={_kinds(range(k + 1, 7), body=(0,)) + '*+' if k < 6 else ''}(?:{_kinds(range(k + 1))}|$))" for k in range(7))
+
+
+def _lacking(s: Column) -> Column:
+    """One letter for each section; a pattern over the letters marks those that lack reasons, in one pass."""
+    bit = lambda c, n: F.when(c, n).otherwise(0)
+    kind = lambda x: x.level * 8 + bit(F.contains(x.title, F.lit(GAP)), 4) + bit(x.body.rlike(REASONS), 2) + bit(F.concat(x.title, x.body).rlike(REASONS), 1)
+    letters = F.array_join(F.transform(s, lambda x: F.substr(F.lit(_LETTERS), kind(x) + 1, F.lit(1))), "")
+    marked = F.split(F.regexp_replace(letters, _LACKING, "-"), "")
+    return T.bind(marked, lambda m: F.array_compact(F.transform(s, lambda x, i: F.when(F.get(m, i) == "-", x.title))))
 
 
 def paragraphs(text: Column, chars: Column, split: str = r"\n\s*\n") -> tuple[Column, Column, Column]:

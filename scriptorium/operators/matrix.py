@@ -20,12 +20,16 @@ ALIASES = {
 }
 
 
+#: Characters of a header that do not tell columns apart.
+HEADER_MARKS = r"[\s_\-（）()·:：/／、,，]"
+
+
 def resolve(headers: list[str]) -> tuple[dict[str, int], list[str], list[str]]:
     """Names of columns with their positions, headers unknown, and headers that repeat a column (the first holds)."""
     known = {a: k for k, names in ALIASES.items() for a in (k, *names)}
     at, unknown, again = {}, [], []
     for i, h in enumerate(headers):
-        key = known.get(re.sub(r"[\s_\-（）()·:：/／、,，]", "", (h or "").strip().lower()))
+        key = known.get(re.sub(HEADER_MARKS, "", (h or "").strip().lower()))
         if key is None:
             unknown.append(h)
         elif key in at:

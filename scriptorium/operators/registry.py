@@ -20,6 +20,8 @@ DUP_TIER, DUP_VERDICT, SKIPPED = "去重-重复", "去重", "跳过"
 CORE_TIERS, DONE_STATES = ("T1核心", "T2重要", "专著章节"), ("已解码", "已入RCOS", "已入综述")
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".webp", ".bmp")
 EMPTY = "（空）"
+#: Marks in a file's name that tell copies.
+COPY_MARKS = r"(?i)副本|拷贝|复件|copy|[（(][0-9]+[）)]|[ _\-][0-9]+$"
 
 
 def blank(c: Column) -> Column:
@@ -61,29 +63,44 @@ def same_titles(rows: DataFrame, key: Column, order: list[str], id_col: str = "i
 def assign_ids(new: DataFrame, registry: DataFrame, idmap: DataFrame) -> DataFrame:
     """new with id: an old one by file name, else by content, unless used; the rest are numbered on in path order.
 
-    Files take turns in path order, each preferring its name's old id to its content's. That is a matching with one priority for
-    all, so rounds of proposals reach it: everyone names the best id not refused yet, the first path for an id keeps it.
+    Files take turns in path order, each preferring its name's old id to its content's. Of all whose names lead to an id only the
+    first by path can have it by name: its candidate. A candidate loses it if an earlier file comes to it by content: one that is
+    no candidate anywhere, or a candidate that lost its own. So losses run along edges from a candidate's id to the id of its
+    content, where they only count if the next candidate has a later path; paths grow along them, so there are no cycles. What is
+    reached is found by doubling the edges: the rounds grow with the logarithm of the longest run of losses.
     """
     free = idmap.join(registry.select("id"), "id", "left_anti")
     by_name = free.filter(~blank(F.col("file_name"))).groupBy("file_name").agg(F.min_by("id", "row_no").alias("_c1"))
     by_sha = free.filter(~blank(F.col("sha1"))).groupBy("sha1").agg(F.min_by("id", "row_no").alias("_c2"))
-    rows = cut(new.join(by_name, "file_name", "left").join(by_sha, "sha1", "left").withColumn("_level", F.when(F.col("_c1").isNull(), 2).otherwise(1)))
-    choice = F.when(F.col("_level") == 1, F.col("_c1")).when(F.col("_level") == 2, F.col("_c2"))
-    while True:
-        asked = rows.withColumn("_want", choice)
-        holder = asked.filter(F.col("_want").isNotNull()).groupBy("_want").agg(F.min("source_path").alias("_holder"))
-        asked = asked.join(holder, "_want", "left")
-        refused = F.col("_want").isNotNull() & (F.col("_holder") != F.col("source_path"))
-        rows = cut(asked.withColumn("_level", F.col("_level") + F.when(refused, 1).otherwise(0)).withColumn("_refused", refused).drop("_want", "_holder"))
-        if rows.filter("_refused").isEmpty():
-            break
-        rows = rows.drop("_refused")
-    kept = rows.withColumn("_old", choice)
+    rows = new.join(by_name, "file_name", "left").join(by_sha, "sha1", "left")
+    first = rows.filter(F.col("_c1").isNotNull()).groupBy("_c1").agg(F.min("source_path").alias("_first"))
+    rows = cut(rows.join(first, "_c1", "left").withColumn("_candidate", F.coalesce(F.col("_first") == F.col("source_path"), F.lit(False))).drop("_first"))
+    lost = _lost(rows).select(F.col("node").alias("_c1"), F.lit(True).alias("_lost"))
+    rows = rows.join(lost, "_c1", "left")
+    rows = rows.withColumn("_want", F.when(F.col("_candidate") & F.col("_lost").isNull(), F.col("_c1")).otherwise(F.col("_c2")))
+    holder = rows.filter(F.col("_want").isNotNull()).groupBy("_want").agg(F.min("source_path").alias("_holder"))
+    rows = cut(rows.join(holder, "_want", "left").withColumn("_old", F.when(F.col("_holder") == F.col("source_path"), F.col("_want"))))
+    kept = rows.select(*new.columns, "_old")
     top = registry.select("id").unionByName(kept.select(F.col("_old").alias("id"))).agg(F.coalesce(F.max(number_of(F.col("id"))), F.lit(0)).alias("_top"))
     fresh = numbered(kept.filter(F.col("_old").isNull()), [F.col("source_path")], "_n").crossJoin(F.broadcast(top)).withColumn("id", F.format_string("L%04d", F.col("_top") + F.col("_n")))  # top is one row
     return kept.filter(F.col("_old").isNotNull()).withColumn("id", F.col("_old")).select(*new.columns, "id").unionByName(fresh.select(*new.columns, "id"))
 
 
+def _lost(rows: DataFrame) -> DataFrame:
+    """(node): ids whose candidate (see assign_ids) finds them taken."""
+    nodes = rows.filter("_candidate").select(F.col("_c1").alias("node"), F.col("source_path").alias("path"), F.col("_c2").alias("next"))
+    sure = rows.filter(~F.col("_candidate") & F.col("_c2").isNotNull()).groupBy(F.col("_c2").alias("node")).agg(F.min("source_path").alias("taker"))
+    later = nodes.select(F.col("node").alias("next"), F.col("path").alias("after"))
+    edges = nodes.join(later, "next", "left").join(sure, "node", "left")
+    state = cut(edges.select("node", F.when(F.col("after") > F.col("path"), F.col("next")).alias("next"), F.coalesce(F.col("taker") < F.col("path"), F.lit(False)).alias("lost")))
+    while not state.filter("next is not null").isEmpty():
+        reached = state.filter("lost and next is not null").select(F.col("next").alias("node"), F.lit(True).alias("hit")).distinct()
+        further = state.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        state = state.join(reached, "node", "left").join(further, "next", "left")
+        state = cut(state.select("node", F.col("far").alias("next"), (F.col("lost") | F.col("hit").isNotNull()).alias("lost")))
+    return state.filter("lost").select("node")
+
+
 def scan(found: DataFrame, registry: DataFrame, idmap: DataFrame, record_duplicates: bool = False) -> DataFrame:
     """The rows that a scan of files (file_name, source_path, sha1) appends: new paths with new content, with ids, defaults and notes.
 
@@ -147,9 +164,11 @@ def backfill(registry: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def tally(registry: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, value, n) of all columns in one pass; blank counts as （空）."""
-    values = F.array(*(F.struct(F.lit(c).alias("field"), F.when(blank(F.col(c)), EMPTY).otherwise(F.col(c)).alias("value")) for c in columns))
-    return registry.select(F.explode(values).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+    """(field, value, n, first) of all columns by one grouping; blank counts as （空）; first is the first row_no, by which equal numbers are ordered."""
+    shown = registry.select("row_no", *(F.when(blank(F.col(c)), EMPTY).otherwise(F.col(c)).alias(c) for c in columns))
+    each = shown.groupingSets([[c] for c in columns], *columns).agg(F.count("*").alias("n"), F.min("row_no").alias("first"), *(F.grouping(c).alias(f"_{c}") for c in columns))
+    own = lambda what: F.coalesce(*(F.when(F.col(f"_{c}") == 0, what(c)) for c in columns))
+    return each.select(own(F.lit).alias("field"), own(F.col).alias("value"), "n", "first")
 
 
 def audit(registry: DataFrame) -> DataFrame:
@@ -188,7 +207,7 @@ def extract_queue(registry: DataFrame, exists: Column, has_text: Column | None =
 
 def text_duplicates(texts: DataFrame) -> DataFrame:
     """(keep_id, dup_id) of rows (id, file_name, body) with equal bodies: the name with the fewest copy marks, then the smallest id stays."""
-    marks = F.regexp_count(F.col("file_name"), F.lit(r"(?i)副本|拷贝|复件|copy|[（(][0-9]+[）)]|[ _\-][0-9]+$"))
+    marks = F.regexp_count(F.col("file_name"), F.lit(COPY_MARKS))
     rows = texts.select("id", marks.alias("_marks"), F.sha1("body").alias("_sha"))
     first = rows.groupBy("_sha").agg(F.min(F.struct("_marks", "id")).alias("_first"))
     return rows.join(first, "_sha").filter(F.col("_first.id") != F.col("id")).select(F.col("_first.id").alias("keep_id"), F.col("id").alias("dup_id"))

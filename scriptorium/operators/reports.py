@@ -18,12 +18,17 @@ SHOWN = 40
 SOFT = ("批评点", "明显的遗漏点", "待探讨的相关问题")
 
 
+def padded(text: str, width: int) -> str:
+    """text with blanks up to so many columns of a fixed-width font, in which characters above U+2E80 take two."""
+    return text + " " * (width - len(text) - sum(c > "\u2e80" for c in text))
+
+
 def status(registry: DataFrame) -> list[str]:
     """Tallies of five columns and the rows that break a rule."""
     rows = cut(registry)
     out = [f"{rows.count()} rows"]
-    for r in R.tally(rows, ["tier", "verdict", "state", "topic", "source_type"]).orderBy("field", F.col("n").desc(), "value").toLocalIterator():
-        out.append(f"{r['field']:12s} {r['value']:16s} {r['n']:4d}")
+    for r in R.tally(rows, ["tier", "verdict", "state", "topic", "source_type"]).orderBy("field", F.col("n").desc(), "first").toLocalIterator():
+        out.append(f"{r['field']:12s} {padded(r['value'], 16)} {r['n']:4d}")
     problems = cut(R.audit(rows))
     n = problems.count()
     out.append(f"problems: {n}")
@@ -40,8 +45,10 @@ def matrix(rows: DataFrame, unknown: list[str], again: list[str], top: int = 25,
     problems = [f"no column {c}" for c in missing_columns] + (["no rows"] if advice["advice"] == "blocking" else [])
     gaps = M.completeness(full, tuple(c for c in M.REQUIRED if c not in missing_columns))
     problems += [f"row {r['row_no']}: {r['missing']}" for r in gaps.orderBy("row_no").limit(SHOWN).collect()]
+    n_gaps = gaps.count()
+    problems += [f"... {n_gaps - SHOWN} more rows"] if n_gaps > SHOWN else []
     report = [f"rows {advice['n']}: {advice['advice']}", *(f"unknown column {h}" for h in unknown), *(f"column again: {h}" for h in again)]
-    report += [f"{r['field']:8s} {'no column' if r['filled'] is None else f'{r.filled}/{r.total}'}" for r in M.coverage(rows).collect()]
+    report += [f"{padded(r['field'], 8)} {'no column' if r['filled'] is None else f'{r.filled}/{r.total}'}" for r in M.coverage(rows).collect()]
     report += [f"author {r['author']} has {r['n']} of {r['total']} rows" for r in M.dominance(full).collect()]
     report += [f"column {r['field']}: {r['n']} cells with one value" for r in M.identical_columns(full, ("spl",)).collect()]
     found = O.candidates(rows, top, **options).collect()

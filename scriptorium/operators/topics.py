@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.session import cut
+
 #: Longest n-gram counted, longest shown, columns used.
 MAX_GRAM, SHOWN, FIELDS = 12, 6, ("spl", "rof", "cpl", "gap")
 #: What is cut in this order, and a particle; Han characters with which no n-gram begins.
@@ -31,6 +33,7 @@ STOPWORDS = tuple(
     "the and for that with this from are was were has have not but which gap gaps study studies research article paper review "
     "however therefore thus although while finding findings result results also more most such other used using der die das und les des que los las".split()
 )
+#: Citations in brackets, with et al., and of two names.
 CITATION = r"[（(][^（()）\n]{0,80}?(?:19|20)[0-9]{2}[a-z]?[^（()）\n]{0,30}?[）)]|[A-Z][a-z]{2,}(?:\s*(?:&|and|、|，|,)\s*[A-Z][a-z]{2,})*\s+et\s+al\.?,?\s*(?:19|20)[0-9]{2}|[A-Z][a-z]{2,}\s*(?:&|and)\s*[A-Z][a-z]{2,}\s*,?\s*(?:19|20)[0-9]{2}"
 HAN = r"[\x{4e00}-\x{9fff}]"
 
@@ -59,13 +62,51 @@ def ngram_tokens(c: Column, longest: int = MAX_GRAM) -> Column:
     return F.filter(F.flatten(F.transform(runs, windows)), lambda g: ~F.contains(F.lit(STOP_CHARS), F.left(g, F.lit(1))))
 
 
+#: Lengths of n-grams that are counted together; what is not frequent at the longest of a step begins no longer one.
+STEPS = ((2, 3), (4, 6), (7, MAX_GRAM))
+
+
 def counts(rows: DataFrame, fields: tuple[str, ...] = FIELDS, stopwords: tuple[str, ...] = STOPWORDS, least: int = 2) -> DataFrame:
-    """(gram, cnt, first): n-grams and words of the fields found at least so often, and where first (row_no, field, token)."""
+    """(gram, cnt, first): n-grams and words of the fields found at least so often, and where first (row_no, field, words before n-grams, run, length, place).
+
+    Equal runs of Han characters are counted once, with their number and first place. N-grams grow by STEPS: longer ones are only
+    counted where every one of the step before inside them is frequent, since none can be more frequent than a part of it.
+    """
     values = F.array(*(F.struct(F.lit(k).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("v")) for k, c in enumerate(fields) if c in rows.columns))
     v = rows.select("row_no", F.explode(values).alias("x")).select("row_no", "x.field", "x.v")
-    tokens = F.concat(F.filter(word_tokens(F.col("v")), lambda w: ~w.isin(*stopwords)), ngram_tokens(F.col("v")))
-    t = v.select("row_no", "field", F.posexplode(tokens).alias("token", "gram"))
-    return t.groupBy("gram").agg(F.count("*").alias("cnt"), F.min(F.struct("row_no", "field", "token")).alias("first")).filter(F.col("cnt") >= least)
+    place = lambda kind, a, n, i: F.struct("row_no", "field", F.lit(kind).alias("kind"), F.col(a).alias("a"), n.alias("n"), i.alias("i"))
+    words = v.select("row_no", "field", F.posexplode(F.filter(word_tokens(F.col("v")), lambda w: ~w.isin(*stopwords))).alias("at", "gram"))
+    out = cut(words.groupBy("gram").agg(F.count("*").alias("cnt"), F.min(place(0, "at", F.lit(0), F.lit(0))).alias("first")).filter(F.col("cnt") >= least))
+    runs = v.select("row_no", "field", F.posexplode(F.regexp_extract_all(strip_boilerplate(strip_citations(F.col("v"))), F.lit(HAN + "{2,}"), F.lit(0))).alias("at", "run"))
+    runs = runs.groupBy("run").agg(F.count("*").alias("times"), F.min(F.struct("row_no", "field", "at")).alias("p"))
+    # a part of a run: its text and where in the run it begins
+    parts = cut(runs.select("times", "p.*", F.lit(0).alias("begin"), F.col("run").alias("part")))
+    for shortest, longest in STEPS:
+        found = _windows(parts, shortest, longest).groupBy("gram").agg(F.sum("times").alias("cnt"), F.min(place(1, "at", F.length("gram"), F.col("i"))).alias("first"))
+        found = cut(found.filter(F.col("cnt") >= least))
+        out = out.unionByName(found)
+        if longest < MAX_GRAM:
+            parts = _frequent_parts(parts, found.filter(F.length("gram") == longest).select("gram"), longest) if least > 1 else parts
+    return out.filter(~F.contains(F.lit(STOP_CHARS), F.left("gram", F.lit(1))))
+
+
+def _windows(parts: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """Every window of so many characters of each part, with its place (i) in the run."""
+    n = F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length("part")))
+    grams = F.flatten(F.transform(n, lambda n: F.transform(F.sequence(F.lit(1), F.length("part") - n + 1), lambda i: F.struct((F.col("begin") + i).alias("i"), F.substr("part", i, n).alias("gram")))))
+    return parts.filter(F.length("part") >= shortest).select("times", "row_no", "field", "at", F.explode(grams).alias("w")).select("times", "row_no", "field", "at", "w.i", "w.gram")
+
+
+def _frequent_parts(parts: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
+    """The stretches of parts of over n characters in which every window of n is frequent."""
+    known = F.broadcast(frequent) if frequent.limit(200_001).count() <= 200_000 else frequent
+    alive = _windows(parts, n, n).join(known, "gram", "left_semi").groupBy("row_no", "field", "at").agg(F.array_sort(F.collect_set("i")).alias("places"))
+    # places in a row have the same difference to their rank: one stretch each
+    stretches = F.transform("places", lambda i, k: F.struct((i - k).alias("key"), i.alias("i")))
+    each = parts.join(alive, ["row_no", "field", "at"]).select("times", "row_no", "field", "at", "begin", "part", F.explode(stretches).alias("s"))
+    ends = each.groupBy("times", "row_no", "field", "at", "begin", "part", "s.key").agg(F.min("s.i").alias("low"), F.max("s.i").alias("high"))
+    inside = ends.filter((F.col("low") > F.col("begin")) & (F.col("high") + n - 1 <= F.col("begin") + F.length("part")) & (F.col("high") > F.col("low")))
+    return cut(inside.select("times", "row_no", "field", "at", (F.col("low") - 1).alias("begin"), F.substr("part", (F.col("low") - F.col("begin")).cast("int"), (F.col("high") - F.col("low") + n).cast("int")).alias("part")))
 
 
 def substrings(g: Column) -> Column:

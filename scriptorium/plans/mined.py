@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.functions.session import spread
 from scriptorium.functions.text import HTML_ENTITY, WS
 from scriptorium.operators import cards as C
 from scriptorium.operators import lint as L
@@ -30,11 +31,11 @@ CARD = "concat('# c', chr(10), CASE doc_id % 3 WHEN 0 THEN concat('## 2.1 研究
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(*MATRIX)
+    return spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).selectExpr(*MATRIX)
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +160,7 @@ def lint_json(spark, sf_dir):
 def fuzzy_match(spark, sf_dir):
     """Of each benchmark item the turn of a conversation that is most like it."""
     left = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("item"))
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("item"))
+    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("item"))
     return C.fuzzy_match(left, turns)
 
 

@@ -50,11 +50,15 @@ def same_title_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.same_titles(_reg(spark, sf_dir), T.title_key(F.col("file_name")), ["doc_id"]).select("id", "same_title_as")
 
 
+# Files of which many share a name or a content, and a map of old ids that leads from both to ids that others want too.
+NEW_FILES = ["concat('f', CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING)) AS file_name", "source_path", "concat('s', CAST(doc_id * 7 % 1013 AS STRING)) AS sha1"]
+OLD_IDS = ["printf('L%04d', CAST(doc_id + 50001 AS INT)) AS id", "concat('f', CAST(CAST(floor(doc_id / 20) AS BIGINT) + doc_id % 3 AS STRING)) AS file_name", "CASE WHEN doc_id % 4 > 0 THEN concat('s', CAST((doc_id + 10) * 7 % 1013 AS STRING)) END AS sha1", "row_no"]
+
+
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _reg(spark, sf_dir)
-    # the map of old ids: by the file name of the fifth, by content of a third
-    idmap = r.filter("doc_id % 10 >= 7").select(F.expr("printf('L%04d', CAST(doc_id + 50001 AS INT))").alias("id"), F.when(F.expr("doc_id % 5 = 0"), F.col("file_name")).alias("file_name"), F.when(F.expr("doc_id % 3 = 0"), F.col("sha1")).alias("sha1"), "row_no")
-    return R.assign_ids(r.filter("doc_id % 10 >= 7").select("file_name", "source_path", "sha1"), r.filter(OLD), idmap).select("source_path", "id")
+    late = r.filter("doc_id % 10 >= 7")
+    return R.assign_ids(late.selectExpr(*NEW_FILES), r.filter(OLD), late.selectExpr(*OLD_IDS)).select("source_path", "id")
 
 
 def scan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +156,15 @@ def _cell(c: str) -> str:
     return f"CASE WHEN o.id IS NULL THEN t.{c} WHEN t.id IS NULL THEN o.{c} WHEN b.id IS NULL THEN t.{c} WHEN o.{c} = b.{c} THEN t.{c} WHEN t.{c} = b.{c} THEN o.{c} ELSE t.{c} END AS {c}"
 
 
+_FREE = "CASE WHEN c1 IS NOT NULL AND NOT list_contains(taken, c1) THEN c1 WHEN c2 IS NOT NULL AND NOT list_contains(taken, c2) THEN c2 END"
+
 ORACLES = {
+    "assign_ids": f"""WITH RECURSIVE {REG}, n AS (SELECT {', '.join(NEW_FILES)} FROM reg WHERE doc_id % 10 >= 7), im AS (SELECT {', '.join(OLD_IDS)} FROM reg WHERE doc_id % 10 >= 7),
+ b1 AS (SELECT file_name, arg_min(id, row_no) AS c1 FROM im GROUP BY 1), b2 AS (SELECT sha1, arg_min(id, row_no) AS c2 FROM im WHERE sha1 IS NOT NULL GROUP BY 1),
+ f AS MATERIALIZED (SELECT row_number() OVER (ORDER BY source_path) AS k, source_path, c1, c2 FROM n LEFT JOIN b1 USING (file_name) LEFT JOIN b2 USING (sha1)),
+ t AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS source_path, CAST(NULL AS VARCHAR) AS old, CAST([] AS VARCHAR[]) AS taken UNION ALL SELECT f.k, f.source_path, {_FREE}, CASE WHEN {_FREE} IS NULL THEN taken ELSE list_append(taken, {_FREE}) END FROM t JOIN f ON f.k = t.k + 1),
+ top AS (SELECT max(CAST(substr(id, 2) AS BIGINT)) AS top FROM (SELECT id FROM reg WHERE {OLD} UNION ALL SELECT old FROM t WHERE old IS NOT NULL))
+ SELECT source_path, old AS id FROM t WHERE old IS NOT NULL UNION ALL SELECT source_path, printf('L%04d', CAST(top + row_number() OVER (ORDER BY source_path) AS INT)) FROM t, top WHERE old IS NULL AND k > 0""",
     "scan_new_paths": f"WITH {REG} SELECT source_path FROM reg WHERE {NEW} AND source_path NOT IN (SELECT source_path FROM reg WHERE {OLD})",
     "scan_dedup": f"WITH {REG}, f AS (SELECT sha1, source_path, first_value(source_path) OVER (PARTITION BY sha1 ORDER BY CASE WHEN {OLD} THEN 0 ELSE 1 END, source_path) AS first, doc_id FROM reg) SELECT source_path, CASE WHEN first <> source_path THEN first END AS first_of FROM f WHERE doc_id % 10 >= 7",
     "same_title_flag": f"WITH {REG}, k AS (SELECT id, first_value(id) OVER (PARTITION BY {_KEY} ORDER BY doc_id) AS first FROM reg) SELECT id, CASE WHEN first <> id THEN first END AS same_title_as FROM k",
@@ -166,7 +178,7 @@ ORACLES = {
     "merge3_conflicts": f"{_M}, c AS (SELECT o.id, unnest(['tier', 'note']) AS cell, unnest([o.tier <> b.tier AND t.tier <> b.tier AND o.tier <> t.tier, o.note <> b.note AND t.note <> b.note AND o.note <> t.note]) AS hit FROM o JOIN b ON o.id = b.id JOIN t ON o.id = t.id) SELECT id, cell FROM c WHERE hit UNION ALL SELECT printf('L%04d', CAST(top + n AS INT)), 'id' FROM clash, top",
     "attach_text": f"WITH {REG} SELECT id, CASE WHEN h THEN 'ocr/' || id ELSE text_path END AS text_path, CASE WHEN h THEN length(body) ELSE n_chars END AS n_chars, CASE WHEN h THEN '已OCR' ELSE state END AS state, CASE WHEN h THEN CASE WHEN note = '' THEN 'text attached' ELSE note || '；text attached' END ELSE note END AS note FROM (SELECT *, doc_id % 8 = 4 AND length(regexp_replace(body, '[{WS}]+', '', 'g')) >= 10 AS h FROM reg)",
     "backfill": f"WITH {REG} SELECT id, CASE doc_id % 3 WHEN 0 THEN id || '.txt' WHEN 1 THEN '' ELSE text_path END AS text_path, CASE doc_id % 3 WHEN 0 THEN '已抽文本' WHEN 1 THEN '打不开' ELSE state END AS state FROM reg",
-    "status_tally": f"WITH {REG}, u AS (SELECT unnest(['tier', 'verdict', 'state']) AS field, unnest([tier, verdict, state]) AS v FROM reg) SELECT field, coalesce(nullif(v, ''), '（空）') AS value, count(*) AS n FROM u GROUP BY 1, 2",
+    "status_tally": f"WITH {REG}, u AS (SELECT row_no, unnest(['tier', 'verdict', 'state']) AS field, unnest([tier, verdict, state]) AS v FROM reg) SELECT field, coalesce(nullif(v, ''), '（空）') AS value, count(*) AS n, min(row_no) AS first FROM u GROUP BY 1, 2",
     "status_audit": f"""WITH {REG} SELECT id, 'tier without decoding' AS problem FROM reg WHERE replace(tier, ' ', '') IN ('T1核心', 'T2重要', '专著章节') AND state NOT IN ('已解码', '已入RCOS', '已入综述')
  UNION ALL SELECT id, 'decoded without output' FROM reg WHERE state = '已解码' AND output_file = '' UNION ALL SELECT id, 'skipped without reason' FROM reg WHERE state = '跳过' AND NOT contains(tier, '重复') AND NOT contains(note, '重复')
  UNION ALL SELECT id, 'copy not skipped' FROM reg WHERE contains(tier, '重复') AND state <> '跳过' UNION ALL SELECT id, 'verdict pending' FROM reg WHERE verdict = '待核查'""",

@@ -83,7 +83,7 @@ def _circled() -> str:
 
 
 def _inner() -> str:
-    return "list_filter(list_transform(string_split(regexp_replace(x, '\\*{0,2}([0-9]+[.、)])', chr(1) || '\\1', 'g'), chr(1)), lambda y: " + _clean(r"regexp_replace(y, '\A[0-9.、)\-*\s①-⑩]+', '')") + "), lambda y: length(y) >= 8)"
+    return "list_filter(list_transform(string_split(regexp_replace(x, '\\*{0,2}([0-9]+[.、)])', chr(1) || '\\1', 'g'), chr(1)), lambda y: " + _clean(r"regexp_replace(y, '\A[0-9.、)\-*\s]+', '')") + "), lambda y: length(y) >= 8)"
 
 
 _BY_LINE = rf"list_transform(regexp_extract_all(x, '(?m)^[{WS}]*(?:[0-9]+[.、)]|[-*])[{WS}]*(.{{8,300}})', 1), lambda y: {_clean('y')})"

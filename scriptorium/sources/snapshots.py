@@ -31,15 +31,23 @@ class Snapshots:
     def _heads(self, prefix: str) -> list[str]:
         return sorted(f.getPath().getName() for f in self._fs.globStatus(self._path(f"{prefix}-*")) or ())
 
-    def version(self) -> str | None:
+    def _head(self) -> list[str]:
+        """The lines of the current head: the version's name, then a stream and its last batch each."""
         heads = self._heads("head")
-        return self.spark.read.text(f"{self.folder}/{heads[-1]}").first()[0] if heads else None
+        return self.spark.read.text(f"{self.folder}/{heads[-1]}", wholetext=True).first()[0].split("\n") if heads else []
+
+    def version(self) -> str | None:
+        return next(iter(self._head()), None)
+
+    def batches(self) -> dict[str, int]:
+        """The last batch of each stream that the current version holds."""
+        return {stream: int(n) for stream, _, n in (x.rpartition("\t") for x in self._head()[1:])}
 
     def load(self, version: str | None = None) -> DataFrame | None:
         name = version or self.version()
         return self.spark.read.parquet(f"{self.folder}/{name}") if name else None
 
-    def save(self, table: DataFrame, base: str | None, cells: list[str], tries: int = 20) -> str:
+    def save(self, table: DataFrame, base: str | None, cells: list[str], tries: int = 20, batch: tuple[str, int] | None = None) -> str:
         """Saves a table made from version base; if another version has come meanwhile, cell by cell merged with it. Returns the new version.
 
         A table that has an id twice is refused: no operator makes one from a registry that is whole.
@@ -54,21 +62,36 @@ class Snapshots:
                 before = self.load(base) if base else self.load(now).limit(0)
                 merged = cut(merge3(before, table, self.load(now), cells).drop("conflict"))
             try:
-                return self.replace(merged, int(heads[-1].split("-")[1]) if heads else 0)
+                return self.replace(merged, int(heads[-1].split("-")[1]) if heads else 0, batch)
             except Taken:
                 continue
         raise Taken(f"{tries} other saves came first")
 
-    def replace(self, table: DataFrame, after: int | None = None) -> str:
+    def replace(self, table: DataFrame, after: int | None = None, batch: tuple[str, int] | None = None) -> str:
         """Saves a table as the version behind number after (the current one); old versions stay. Raises Taken if there is one already."""
-        if after is None:
-            heads = self._heads("head")
-            after = int(heads[-1].split("-")[1]) if heads else 0
         name = f"v-{uuid.uuid4().hex}"
         table.write.parquet(f"{self.folder}/{name}")
-        self._move(name, f"head-{after + 1:012d}")
+        self._point(name, after, batch)
         return name
 
+    def done(self, stream: str, n: int, tries: int = 20) -> None:
+        """Notes a batch that changed nothing: the same version under a new head."""
+        for _ in range(tries):
+            heads = self._heads("head")
+            try:
+                return self._point(self.version(), int(heads[-1].split("-")[1]), (stream, n))
+            except Taken:
+                continue
+        raise Taken(f"{tries} other saves came first")
+
+    def _point(self, name: str, after: int | None, batch: tuple[str, int] | None) -> None:
+        """A head with the version's name, and the streams' last batches in the same file: both are there or neither."""
+        if after is None:
+            heads = self._heads("head")
+            after = int(heads[-1].split("-")[1]) if heads else 0
+        batches = self.batches() | ({batch[0]: batch[1]} if batch else {})
+        self._move("\n".join([name, *(f"{s}\t{n}" for s, n in sorted(batches.items()))]), f"head-{after + 1:012d}")
+
     def _move(self, content: str, to: str) -> None:
         aside = self._path(f".{to}-{uuid.uuid4().hex}")
         out = self._fs.create(aside, True)

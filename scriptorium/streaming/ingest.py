@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.functions import text as T
 from scriptorium.operators.registry import scan
+from scriptorium.sources import files
 from scriptorium.sources.snapshots import Snapshots
 
 CELLS = ["file_name", "title", "first_author", "source_type", "sha1", "source_path", "tier", "verdict", "state", "note"]
@@ -22,8 +23,11 @@ def old_ids(store: Snapshots) -> DataFrame:
     return ids.select("id", "file_name", "sha1", F.format_string("%010d%s", F.lit(1 << 30) - F.col("age"), F.col("id")).alias("row_no"))
 
 
-def append(found: DataFrame, store: Snapshots, record_duplicates: bool = False) -> int:
-    """Appends what a scan of files (file_name, source_path, sha1) adds; returns how many rows. Scanning the same files again adds none."""
+def append(found: DataFrame, store: Snapshots, record_duplicates: bool = False, batch: tuple[str, int] | None = None) -> int:
+    """Appends what a scan of files (file_name, source_path, sha1) adds; returns how many rows. Scanning the same files again adds none.
+
+    batch: a stream and the number of its batch, saved with the rows.
+    """
     spark = found.sparkSession
     base = store.version()
     old = store.load(base) if base else spark.createDataFrame([], SCHEMA)
@@ -32,15 +36,28 @@ def append(found: DataFrame, store: Snapshots, record_duplicates: bool = False)
     try:
         n = rows.count()
         if n or base is None:
-            store.save(old.unionByName(rows, allowMissingColumns=True), base, CELLS)
+            store.save(old.unionByName(rows, allowMissingColumns=True), base, CELLS, batch=batch)
+        elif batch:
+            store.done(*batch)
         return n
     finally:
         rows.unpersist()
 
 
 def ingest(spark: SparkSession, folder: str, registry: str, checkpoint: str) -> StreamingQuery:
-    """A stream over the files of a folder that ends when all present ones are done. State is the registry itself, so a batch that runs twice adds nothing."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    found = files.select(F.col("path").alias("source_path"), T.basename(F.col("path")).alias("file_name"), F.sha1("content").alias("sha1"))
+    """A stream over the files of a folder that ends when all present ones are done.
+
+    The number of a batch is saved in the head of the snapshot that holds its rows. A batch that comes again, as its end was not
+    noted by the stream, is known by it and refused before any file is read.
+    """
+    files_ = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    listed = files_.select("path", F.col("length").alias("size"))
     store = Snapshots(spark, registry)
-    return found.writeStream.foreachBatch(lambda df, _: append(df, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def take(batch: DataFrame, number: int) -> None:
+        if number <= store.batches().get(checkpoint, -1):
+            return
+        hashed = files.hashed(batch).select(F.col("path").alias("source_path"), T.basename(F.col("path")).alias("file_name"), "sha1")
+        append(hashed, store, batch=(checkpoint, number))
+
+    return listed.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

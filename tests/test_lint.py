@@ -1,3 +1,7 @@
+import random
+import time
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from scriptorium.operators import cards as C
@@ -47,3 +51,81 @@ def test_cards(spark):
 def test_matrix_headers():
     at, unknown, again = M.resolve(["序号", "Author", "年份", "批评点", "待探讨的相关问题", "POC", "??"])
     assert at == {"no": 0, "author": 1, "year": 2, "poc": 3, "rpp": 4} and unknown == ["??"] and again == ["POC"]
+
+
+def items(rng, alphabet, n):
+    """A text of n distinct bigrams at least: letters drawn until there are so many."""
+    out = [rng.choice(alphabet)]
+    while len({a + b for a, b in zip(out, out[1:])}) < min(n, len(alphabet) ** 2):
+        out.append(rng.choice(alphabet))
+    return "".join(out)
+
+
+def bigrams(s):
+    return {a + b for a, b in zip(s, s[1:])}
+
+
+def best_by_pairs(left, right, num, den):
+    out = {}
+    for i, x in left:
+        scored = [(Fraction(len(bigrams(x) & bigrams(y)), len(bigrams(x) | bigrams(y))), -j) for j, y in right if bigrams(x) and bigrams(y)]
+        if scored and max(scored)[0] >= Fraction(num, den):
+            out[i] = (-max(scored)[1], float(max(scored)[0]))
+    return out
+
+
+def matched(spark, left, right, **more):
+    df = [spark.createDataFrame(x, "id long, item string") for x in (left, right)]
+    return {r["left_id"]: (r["right_id"], r["jaccard"]) for r in C.fuzzy_match(*df, **more).collect()}
+
+
+def test_fuzzy_match_at_the_threshold(spark):
+    """Exactly 34 of 100 bigrams, at sizes where the product of doubles is above the whole number; and one bigram less."""
+    left, right = [], []
+    for k, n in enumerate((50, 100, 150, 300, 350, 600, 650)):
+        whole = [chr(0x4E00 + 2000 * k + i) for i in range(n + 1)]
+        share = n * 34 // 100
+        left.append((k, "".join(whole)))
+        right += [(10 * k, "".join(whole[: share + 1])), (10 * k + 1, "".join(whole[:share]))]
+    got = matched(spark, left, right)
+    assert got == best_by_pairs(left, right, 34, 100) and {k: r for k, (r, _) in got.items()} == {k: 10 * k for k in range(7)}
+    assert all(j == 0.34 for _, j in got.values())
+
+
+def test_fuzzy_match_against_all_pairs(spark):
+    rng = random.Random(2)
+    left = [(i, items(rng, "abcdefgh"[: rng.randrange(2, 9)], 3)) for i in range(60)] + [(60, ""), (61, "a"), (62, "学习教师课堂")]
+    right = [(i, items(rng, "abcdefgh"[: rng.randrange(2, 9)], rng.randrange(2, 9))) for i in range(60)] + [(60, "学习教师课堂"), (61, "学习教师课堂"), (62, "")]
+    for t, num, den in ((0.34, 34, 100), (0.5, 1, 2), (0.9, 9, 10)):
+        assert matched(spark, left, right, threshold=t) == best_by_pairs(left, right, num, den)
+
+
+def test_bounds_leave_out_candidates(spark):
+    rng = random.Random(4)
+    drawn = lambda: [chr(0x4E00 + x) for x in sorted(rng.sample(range(400), rng.choice((10, 40, 160))))]
+    rows = [spark.createDataFrame([(i, len(g), g) for i, g in enumerate(drawn() for _ in range(300))], "id long, n long, g array<string>") for _ in range(2)]
+    t = Fraction(34, 100)
+    every, some = (C.candidate_pairs(*rows, t, bounds).count() for bounds in (False, True))
+    assert some < 0.8 * every
+
+
+def test_sections_in_linear_time(spark):
+    def took(n):
+        df = spark.createDataFrame([("".join(f"{'#' * (1 + i % 6)} 空白 {i}\n文字 WTD（ROF）\n" for i in range(n)),)], "x string")
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            gaps, abbr = df.select(F.size(L.gaps_without_reasons(F.col("x"))), F.size(L.abbreviations(F.col("x")))).first()
+            best.append(time.perf_counter() - start)
+            assert (gaps, abbr) == (n, 2 * n)
+        return min(best)
+
+    small = took(4000)
+    assert took(8000) <= 2 * small + 0.3
+
+
+def test_one_pass_finds_every_phrase():
+    """No banned phrase begins inside another one, so one alternation finds each."""
+    for a in L.BANNED:
+        for b in L.BANNED:
+            assert a == b or (a not in b and not any(a.endswith(b[:k]) for k in range(1, len(b))))

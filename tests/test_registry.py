@@ -48,3 +48,53 @@ def test_merge_cells(spark):
 def test_text_duplicates(spark):
     df = spark.createDataFrame([("L2", "a.pdf", "t"), ("L1", "a (1).pdf", "t"), ("L3", "b.pdf", "u")], "id string, file_name string, body string")
     assert [tuple(r) for r in R.text_duplicates(df).collect()] == [("L2", "L1")]
+
+
+def by_turns(new, idmap, used):
+    """Files in path order, each taking its name's id if free, else its content's."""
+    first = {"name": {}, "sha": {}}
+    for id_, name, sha, _ in sorted(idmap, key=lambda r: r[3]):
+        if id_ not in used:
+            if name:
+                first["name"].setdefault(name, id_)
+            if sha:
+                first["sha"].setdefault(sha, id_)
+    taken, out = set(), {}
+    for name, path, sha in sorted(new, key=lambda r: r[1]):
+        got = next((i for i in (first["name"].get(name), first["sha"].get(sha)) if i and i not in taken), None)
+        taken.add(got)
+        out[path] = got
+    return out
+
+
+def old_of(spark, new, idmap):
+    rows = R.assign_ids(spark.createDataFrame(new, FILES), spark.createDataFrame([("L9000", "q.pdf", "0", "s0", 0)], OLD), spark.createDataFrame(idmap, "id string, file_name string, sha1 string, row_no long"))
+    known = {r[0] for r in idmap}
+    return {r["source_path"]: r["id"] if r["id"] in known else None for r in rows.collect()}
+
+
+def test_long_chain_of_losses(spark, monkeypatch):
+    """A thousand files, each pushed off its name's id by the one before: the rounds are few, the ids those of taking turns."""
+    n, cuts, real = 1000, [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: cuts.append(1) or real(df))
+    new = [("first", "p0000", "s1")] + [(f"f{i}", f"p{i:04d}", f"s{i + 1}") for i in range(1, n)]
+    idmap = [(f"L{5000 + i}", f"f{i}", f"s{i}", i) for i in range(1, n + 1)]
+    got = old_of(spark, new, idmap)
+    assert got == by_turns(new, idmap, {"L9000"}) and got["p0500"] == "L5501"
+    assert len(cuts) <= 16
+
+
+def test_ids_by_turns(spark):
+    import random
+
+    rng = random.Random(8)
+    for _ in range(4):
+        new = [(f"f{rng.randrange(25)}", f"p{i:03d}", f"s{rng.randrange(60)}") for i in range(60)]
+        idmap = [(f"L{5000 + rng.randrange(40)}", rng.choice([f"f{rng.randrange(25)}", ""]), rng.choice([f"s{rng.randrange(60)}", None]), i) for i in range(80)]
+        assert old_of(spark, new, idmap) == by_turns(new, idmap, {"L9000"})
+
+
+def test_tally_in_order_of_first_rows(spark):
+    rows = [(0, "b", "x"), (1, "a", None), (2, "a", ""), (3, "b", "x"), (4, None, "c")]
+    got = R.tally(spark.createDataFrame(rows, "row_no long, tier string, state string"), ["tier", "state"]).orderBy("field", F.col("n").desc(), "first").collect()
+    assert [tuple(r) for r in got] == [("state", "x", 2, 0), ("state", "（空）", 2, 1), ("state", "c", 1, 4), ("tier", "b", 2, 0), ("tier", "a", 2, 1), ("tier", "（空）", 1, 4)]

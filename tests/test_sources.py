@@ -110,3 +110,34 @@ def test_files_of_any_size(spark, tmp_path, monkeypatch):
     (tmp_path / "small.md").unlink()
     left = files.hashed(spark.createDataFrame([r for r in gone if "small" in r["path"]], "path string, size long"))
     assert left.count() == 0
+
+
+def test_batch_that_ends_before_it_is_noted(spark, tmp_path, monkeypatch):
+    """Killed between its save and the stream's commit, a batch comes again with its number and is refused without reading a file."""
+    from scriptorium.streaming import ingest as I
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "b.pdf"):
+        (tmp_path / "in" / name).write_text(name)
+    where = [str(tmp_path / x) for x in ("in", "reg", "cp")]
+    real, calls = I.append, []
+
+    def killed(*args, **kw):
+        calls.append(real(*args, **kw))
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(I, "append", killed)
+    query = ingest(spark, *where)
+    try:
+        query.awaitTermination(120)
+    except Exception:  # noqa: S110  the stream tells that its batch failed
+        pass
+    store = Snapshots(spark, where[1])
+    before = store.version()
+    assert calls == [2] and store.batches() == {where[2]: 0}
+    monkeypatch.setattr(I, "append", lambda *args, **kw: calls.append("again") or real(*args, **kw))
+    ingest(spark, *where).awaitTermination(120)
+    assert calls == [2] and store.version() == before and store.load().count() == 2
+    (tmp_path / "in" / "c.pdf").write_text("b.pdf")
+    ingest(spark, *where).awaitTermination(120)  # nothing new in it, but it is noted too
+    assert calls == [2, "again"] and store.batches() == {where[2]: 1} and store.version() == before
