@@ -63,7 +63,7 @@ def ngram_tokens(c: Column, longest: int = MAX_GRAM) -> Column:
 
 
 #: Lengths of n-grams that are counted together; what is not frequent at the longest of a step begins no longer one.
-STEPS = ((2, 3), (4, 6), (7, MAX_GRAM))
+STEPS = ((2, 4), (5, MAX_GRAM))
 
 
 def counts(rows: DataFrame, fields: tuple[str, ...] = FIELDS, stopwords: tuple[str, ...] = STOPWORDS, least: int = 2) -> DataFrame:
