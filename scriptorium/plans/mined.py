@@ -47,7 +47,7 @@ def strip_citations(spark, sf_dir):
 
 
 def strip_boilerplate(spark, sf_dir):
-    return _rows(spark, sf_dir).select("row_no", O.strip_boilerplate(F.col("rof")).alias("text"))
+    return _rows(spark, sf_dir).select("row_no", O.strip_boilerplate(F.concat("rof", "gap")).alias("text"))
 
 
 def word_tokens(spark, sf_dir):
@@ -72,7 +72,11 @@ def topic_misaligned(spark, sf_dir):
 
 
 def expand_blocked(spark, sf_dir):
-    return O.expand_blocked(spark.createDataFrame([(p,) for p in O.FRAGMENTS + ("the", "and")], "phrase string"))
+    """Blocked are the phrases of up to twelve characters that turns are made of, and the names of roles."""
+    r = _rows(spark, sf_dir)
+    phrases = r.select(F.explode(F.regexp_extract_all("gap", F.lit(r"[\x{4e00}-\x{9fff}]{2,}"), F.lit(0))).alias("phrase")).filter("length(phrase) <= 12")
+    roles = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("role").alias("phrase"))
+    return O.expand_blocked(phrases.unionByName(roles).distinct())
 
 
 def topic_blocked(spark, sf_dir):
@@ -230,13 +234,13 @@ _USED = "CASE WHEN len(list_filter(range(1, len(string_split(text, '{w}'))), lam
 
 ORACLES = {
     "strip_citations": f"WITH {ROWS} SELECT row_no, regexp_replace(concat(rof, ' Brown et al. 2020, ', spl), '{_CITE}', ' ', 'g') AS text FROM m",
-    "strip_boilerplate": f"WITH {ROWS} SELECT row_no, {_boiler('rof')} AS text FROM m",
+    "strip_boilerplate": f"WITH {ROWS} SELECT row_no, {_boiler('concat(rof, gap)')} AS text FROM m",
     "word_tokens": f"SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) GROUP BY 1",
     "ngram_tokens": f"WITH {ROWS} SELECT row_no, array_to_string({_grams('gap')}, '|') AS grams FROM m",
     "topic_counts": f"{_COUNTS} SELECT gram, cnt FROM c",
     "topic_dominated": f"{_COUNTS}, {_DOM} SELECT gram FROM dom",
     "topic_misaligned": f"{_COUNTS}, {_MIS} SELECT gram FROM mis",
-    "expand_blocked": f"WITH {_blocked(_FRAG + ', ' + repr('the') + ', ' + repr('and'))} SELECT gram FROM bl",
+    "expand_blocked": f"WITH {ROWS}, p AS (SELECT DISTINCT p FROM (SELECT unnest(regexp_extract_all(gap, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')) AS p FROM m) WHERE length(p) <= 12 UNION SELECT role FROM conversations) SELECT DISTINCT CASE WHEN regexp_matches(p, '^[\\x00-\\x7f]*$') THEN p ELSE s END AS gram FROM (SELECT p, {_SUBS.format(g="p")} AS s FROM p)",
     "topic_blocked": f"{_COUNTS}, {_blocked(_FRAG)} SELECT gram, cnt FROM c WHERE gram NOT IN (SELECT gram FROM bl)",
     "topic_dedupe": f"{_COUNTS}, s AS (SELECT * FROM c WHERE length(gram) <= 6), z AS ({_DEDUPE.format(t='s')}) SELECT gram, cnt FROM z",
     "topic_candidates": f"{_COUNTS}, {_DOM}, {_MIS}, {_blocked(_STOP + ', ' + _FRAG)}, s AS (SELECT * FROM c WHERE gram NOT IN (SELECT gram FROM dom UNION SELECT gram FROM mis UNION SELECT gram FROM bl) AND NOT ({_GENERIC}) AND (length(gram) <= 6 OR regexp_matches(gram, '^[a-z]+$'))), z AS ({_DEDUPE.format(t='s')}) SELECT gram, cnt FROM z ORDER BY cnt DESC, first LIMIT 25",
