@@ -87,7 +87,7 @@ def status(spark, a) -> int:
     if registry is None or registry.isEmpty():
         print("the registry has no rows; scan first", file=sys.stderr)
         return 1
-    print("\n".join(reports.status(_whole(registry))))
+    print("\n".join(reports.status(_whole(registry).withColumn("row_no", R.number_of(F.col("id"))))))
     return 0
 
 

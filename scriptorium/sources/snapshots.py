@@ -62,7 +62,7 @@ class Snapshots:
                 before = self.load(base) if base else self.load(now).limit(0)
                 merged = cut(merge3(before, table, self.load(now), cells).drop("conflict"))
             try:
-                return self.replace(merged, int(heads[-1].split("-")[1]) if heads else 0, batch)
+                return self.replace(merged, int(heads[-1].split("-")[1]) if heads else 0, *([batch] if batch else []))
             except Taken:
                 continue
         raise Taken(f"{tries} other saves came first")
