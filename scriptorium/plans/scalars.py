@@ -15,14 +15,14 @@ TAIL = "CASE doc_id % 7 WHEN 0 THEN '_副本' WHEN 1 THEN ' (1)' WHEN 2 THEN '
 EXT = "CASE doc_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.md' WHEN 3 THEN '.png' WHEN 4 THEN '' ELSE '.txt' END"
 WHO = "CASE doc_id % 5 WHEN 0 THEN '_Li' WHEN 1 THEN '_Johnson' WHEN 2 THEN '_王明' WHEN 3 THEN '_A B' ELSE '' END"
 KIND = "CASE doc_id % 9 WHEN 0 THEN '硕士学位论文' WHEN 1 THEN '课程标准' WHEN 2 THEN '年鉴' ELSE '' END"
-FILE = f"concat('a/b.c/', replace(substr(text, 1, 14), '/', ''), {KIND}, {WHO}, {TAIL}, {EXT})"
-TITLE = "concat(' ', substr(text, 1, 40 + doc_id % 50), CASE doc_id % 4 WHEN 0 THEN ': a part' WHEN 1 THEN ' - sub title' WHEN 2 THEN '——副题' ELSE '：深度学习' END)"
-LINE = "CASE doc_id % 8 WHEN 0 THEN concat('— ', doc_id) WHEN 1 THEN concat('[', doc_id % 900, ']') WHEN 2 THEN concat('第 ', doc_id % 99, ' 页') WHEN 3 THEN 'Page 12 of 17' WHEN 4 THEN '2020.12' WHEN 5 THEN concat('·', doc_id % 50, '.') WHEN 6 THEN substr(text, 1, 20) ELSE '1.2.3' END"
+FILE = f"concat('a/b.c/', replace(text, '/', ''), {KIND}, {WHO}, {TAIL}, {EXT})"
+TITLE = "concat(' ', text, CASE doc_id % 4 WHEN 0 THEN ': a part' WHEN 1 THEN ' - sub title' WHEN 2 THEN '——副题' ELSE '：深度学习' END)"
+LINE = "CASE doc_id % 8 WHEN 0 THEN concat('— ', doc_id) WHEN 1 THEN concat('[', doc_id % 900, ']') WHEN 2 THEN concat('第 ', doc_id % 99, ' 页') WHEN 3 THEN 'Page 12 of 17' WHEN 4 THEN '2020.12' WHEN 5 THEN concat('·', doc_id % 50, '.') WHEN 6 THEN text ELSE '1.2.3' END"
 MARKUP = "concat(text, '```code', chr(10), text, '```', ' `x` <!-- ', text, ' -->', text)"
-HEAD = "concat(CASE doc_id % 6 WHEN 0 THEN '第三章 ' WHEN 1 THEN '二、' WHEN 2 THEN '（四）' WHEN 3 THEN '2.1 ' WHEN 4 THEN '3、' ELSE '' END, substr(text, 1, 20))"
+HEAD = "concat(CASE doc_id % 6 WHEN 0 THEN '第三章 ' WHEN 1 THEN '二、' WHEN 2 THEN '（四）' WHEN 3 THEN '2.1 ' WHEN 4 THEN '3、' ELSE '' END, text)"
 CARD = "concat('**', text, '**  `', lang, '`')"
 TIER = "CASE doc_id % 5 WHEN 0 THEN concat('| 档位 | T1核心／T2重要／T3背景 T', 1 + doc_id % 3, ' |') WHEN 1 THEN concat('档位：T', 1 + doc_id % 3) WHEN 2 THEN concat('## 档位 T ', 1 + doc_id % 3, chr(10), 'T1') WHEN 3 THEN concat('x T', 1 + doc_id % 3) ELSE 'none' END"
-BASIS = "CASE doc_id % 5 WHEN 0 THEN concat('K = +', doc_id % 90) WHEN 1 THEN concat('PAGE ', 1 + doc_id % 9, ' = p.', doc_id % 60) WHEN 2 THEN concat('裸数字依次为 ', doc_id, '/', doc_id + 1, '/', doc_id + 2) WHEN 3 THEN '按章节名' ELSE substr(text, 1, 20) END"
+BASIS = "CASE doc_id % 5 WHEN 0 THEN concat('K = +', doc_id % 90) WHEN 1 THEN concat('PAGE ', 1 + doc_id % 9, ' = p.', doc_id % 60) WHEN 2 THEN concat('裸数字依次为 ', doc_id, '/', doc_id + 1, '/', doc_id + 2) WHEN 3 THEN '按章节名' ELSE text END"
 ITEMS = "CASE doc_id % 3 WHEN 0 THEN concat('1. ', text, chr(10), '2. ', text) WHEN 1 THEN concat('1. ', replace(text, chr(10), ' '), ' 2. ', replace(text, chr(10), ' ')) ELSE concat('①', replace(text, chr(10), ' '), '②', replace(text, chr(10), ' ')) END"
 
 
