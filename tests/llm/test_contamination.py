@@ -48,31 +48,36 @@ def test_documents(spark):
 
 
 def brute(items, text):
-    """{item: (score, question, answer)} by scoring every passage against every item with plain BM25 and checking the overlaps."""
+    """{item: (score, question, answer)} by scoring every passage against every part of an item with plain BM25 and checking the overlaps."""
     bag = {i: C.normal(t.encode()) for i, t in items if t and C.normal(t.encode())}
-    n, mean, width = len(bag), sum(map(len, bag.values())) / len(bag), max(16, max(map(len, bag.values())))
-    df = Counter(w for x in bag.values() for w in set(x))
+    cuts = [(i, [x[len(x) * k // n : len(x) * (k + 1) // n] for k in range(n)]) for i, x in bag.items() for n in [-(-len(x) // C.LONG)]]
+    parts = [(i, len(c) > 1, sum(map(len, c[:k])), x) for i, c in cuts for k, x in enumerate(c)]
+    n, mean, width = len(parts), sum(len(p[3]) for p in parts) / len(parts), max(16, max(len(p[3]) for p in parts))
+    df = Counter(w for p in parts for w in set(p[3]))
     words, out = C.normal((text or "").encode()), {}
     for a in range(0, len(words), width):
-        passage = words[a : a + 2 * width]
-        for i, x in bag.items():
+        for i, several, before, x in parts:
+            passage = words[a : a + 2 * width]
             tf = Counter(x)
             w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * k * (C.K1 + 1) / (k + C.K1 * (1 - C.B + C.B * len(x) / mean)) for t, k in tf.items()}
             score = sum(v for t, v in w.items() if t in passage) / sum(w.values())
             if score < C.THRESHOLD:
                 continue
+            if several:
+                start = (a - before) // (2 * width) * 2 * width
+                passage = words[max(0, start - width) : start + 5 * width + len(bag[i])]
             have = {tuple(passage[j : j + m]) for m in range(1, 6) for j in range(len(passage) - m + 1)}
-            every, q, r = (len(p & have) / len(p) if p else 1.0 for p in (C.shingles(x), *(C.shingles(C.normal(y)) for y in C.sides(dict(items)[i].encode()))))
+            every, q, r = (len(p & have) / len(p) if p else 1.0 for p in (C.shingles(bag[i]), *(C.shingles(C.normal(y)) for y in C.sides(dict(items)[i].encode()))))
             if every >= C.OVERLAP and q >= C.PART and r >= C.PART:
                 out[i] = max(out.get(i, (0.0, 0.0, 0.0)), (score, q, r))
     return out
 
 
-@pytest.mark.parametrize("sizes", [(20_000, 300_000), (60, 200)])
+@pytest.mark.parametrize("sizes", [(20_000, 300_000, 512), (60, 200, 512), (20_000, 300_000, 18), (60, 200, 18)])
 def test_against_brute_force(spark, sizes, monkeypatch):
-    """Whole, and cut into slices and groups: the same items with the same scores."""
-    monkeypatch.setattr(C, "INDEX_WORDS", sizes[0])
-    monkeypatch.setattr(C, "PART_WORDS", sizes[1])
+    """Whole, cut into slices and groups, and with items in parts: the same items with the same scores."""
+    for k, v in zip(("INDEX_WORDS", "PART_WORDS", "LONG"), sizes, strict=True):
+        monkeypatch.setattr(C, k, v)
     rng, vocabulary = random.Random(3), words(200, 4)
     items = [(f"q{i}", " ".join(rng.choices(vocabulary, k=rng.randrange(3, 40))) + ("? " + " ".join(rng.choices(vocabulary, k=6)) if i % 3 else "")) for i in range(40)]
     texts = []
@@ -106,3 +111,29 @@ def test_parts_of_the_index(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t, _ in items], "doc_id long, text string")
     got = C.matches(docs, spark.createDataFrame(items, "item_id long, text string, x string")).collect()
     assert [[m["item_id"] for m in r["matches"]] for r in sorted(got)] == [[i] for i in range(6)]
+
+
+def test_one_long_item():
+    """It widens no passage, and is found whole, with words changed, at any place, cased and marked anew; half of it is not the item."""
+    rng, vocabulary = random.Random(7), words(3000, 8)
+    long = rng.choices(vocabulary, k=40_000)
+    items = [("long", " ".join(long)), *((i, " ".join(words(20, i))) for i in range(60))]
+    index = C.build(items)
+    assert index.width <= C.LONG and max(index.length) == 40_000 and len(index.of) == 60 + -(-40_000 // C.LONG)
+    fill = rng.choices(vocabulary, k=5_000)
+    changed = [w if rng.random() > 0.02 else "other" for w in long]
+    texts = [long, [*fill, *long], [*long, *fill], [*fill, *changed, *fill], [w.upper() + "," for w in long], long[:20_000], [*fill, *fill], [*fill, *items[5][1].split(), *long[300:900]]]
+    got = [[x[0] for x in r] for r in C.search(index, [" ".join(t).encode() for t in texts])]
+    assert got == [["long"]] * 5 + [[], [], [4]]
+
+
+def test_groups_carry_rows_only(spark, monkeypatch):
+    """Texts are written once however many groups the benchmark has; repeated rows and null ids keep their own results."""
+    monkeypatch.setattr(C, "PART_WORDS", 60)
+    items = [(i, " ".join(words(25, i))) for i in range(6)]
+    docs = spark.createDataFrame([(1, items[0][1], 5), (1, items[0][1], 6), (None, items[3][1] + " " + items[4][1], 7), (2, None, 8), (3, "none", 9)], "doc_id long, text string, row long")
+    written = []
+    monkeypatch.setattr(C, "cut", lambda df, cut=C.cut: written.append(df.columns) or cut(df))
+    got = C.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["row"]: [m["item_id"] for m in r["matches"]] for r in got} == {5: [0], 6: [0], 7: [3, 4], 8: [], 9: []}
+    assert sum("text" in c for c in written) == 1 and sum(c == ["row", "found"] for c in written) > 2
