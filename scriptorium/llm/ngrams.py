@@ -13,7 +13,7 @@ discounts' share spread evenly over the vocabulary and one unknown word; D and D
 unknown word p(v) alone holds. A text starts after a start mark and ends with an end mark.
 
 Defined results: null text is empty (only the end mark); without training texts every token has probability 1; repeated rows count
-repeatedly; there are no ties. Other columns stay unless their names are those added.
+repeatedly; there are no ties; over 3.0 billion distinct words, whose pairs have no key in 63 bits, are an error. Other columns stay unless their names are those added.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from .store import Places, columns, find_sorted, forget, mapped, write
 
 #: Aimed entries of a vocabulary shard, ids of a range, tokens of a bigram shard; entries a worker adds up; words whose ids it keeps.
 VOCAB, RANGE, TOKENS, HELD, MEMO, HOT = 2_000_000, 2_000_000, 4_000_000, 3_000_000, 200_000, 8
+WIDEST = 1 << 63  # keys of two ids are below this
 _END = b"\n"  # no word holds a line feed
 
 
@@ -250,6 +251,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     size, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not size:
         return Model(folder, [], 0, 0, [], np.zeros(0, np.int64), (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, 1.0)
+    if (size + 1) ** 2 > WIDEST:
+        raise OverflowError(f"{size} distinct words: keys of two ids don't fit in 63 bits")
     shards = _shards(size, VOCAB)
     bits = shards.bit_length() - 1
 

@@ -66,6 +66,15 @@ def test_no_training_text(spark):
     assert ngrams.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).first()["score"] == 0.0
 
 
+def test_too_many_words_for_a_key(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    monkeypatch.setattr(ngrams, "WIDEST", 25)  # a, b, c and the end mark, and one more
+    ngrams.train(docs)
+    monkeypatch.setattr(ngrams, "WIDEST", 24)
+    with pytest.raises(OverflowError):
+        ngrams.train(docs)
+
+
 def test_held_out_perplexity(spark):
     from scriptorium.llm.queries import op5_language_model
 
