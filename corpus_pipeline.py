@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 or more (sets of 5-word shingles) connect: the one with the smallest id."""
+    """One document of each group that links of similarity 0.8 or more (sets of 5-word shingles) connect: the one with the smallest id. By SimHash and its covering tables first, the links that these miss by prefixes."""
     return jaccard.keep_one(docs)
 
 

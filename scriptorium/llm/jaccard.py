@@ -1,7 +1,12 @@
 """Near-duplicates by Jaccard similarity of word shingles: every pair of SIMILAR or more is linked, none is missed.
 
-A text is the set of XXH64 hashes (seed 42) of its WIDTH-word shingles, lower-cased; rows of equal sets are one node. Candidates
-come by prefix filtering: in one order of all hashes two sets of the similarity share one of the first n - ceil(0.8 n) + 1 hashes of
+A text is the set of XXH64 hashes (seed 42) of its WIDTH-word shingles, lower-cased; rows of equal sets are one node.
+
+First comes SimHash: sets with fingerprints that differ in up to simhash.RADIUS bits meet in its covering tables, are compared by
+the sets themselves, and what is similar is joined in components. It finds the closest copies, not all of the similarity, so the
+rest is found in an exact way, which looks only between these components:
+
+Candidates come by prefix filtering: in one order of all hashes two sets of the similarity share one of the first n - ceil(0.8 n) + 1 hashes of
 each. The order is by a sketch of how often hashes occur, then by hash: any order is right, rare hashes first keep buckets small.
 
 Prefixes go through one shuffle, as arrays by shard; a shard's task passes on the hashes that several sets share. Hashes that the
@@ -10,7 +15,7 @@ sketch says are very frequent are dealt by set instead, and all passed on, so no
 In a bucket, sets whose parity bits (BITS) differ in more than a similar pair can differ are passed over; that bound is exact too.
 Of buckets that hold the same sets one is looked at.
 A first round compares a spanning forest of what is left in each bucket by the sets themselves, a second one all pairs between
-different components of the first. Buckets of many sets are compared in slices, as in simhash.
+different components of what is linked by then. Buckets of many sets are compared in slices, as in simhash.
 
 Defined results: as in simhash; null or blank text is the empty set, alike to itself only; fewer words than WIDTH are one shingle.
 """
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import simhash
-from .common import Box, cut, map_texts, release, small, texts_of
+from .common import Box, cut, join_one, map_texts, release, small, texts_of
 from .graph import components
 
 #: SIMILAR is a fraction in whole numbers, 4 / 5.
@@ -72,6 +77,14 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The set's SimHash as a signed long: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The hashes by which the set is found."""
     n, (a, b) = len(hashes), SIMILAR
@@ -86,7 +99,7 @@ def prints(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> D
 
 def _read(id_type: pa.DataType):
     """(id, key, text) to a row for each text, and at the end BLOCKS rows of the sketch."""
-    schema = pa.schema([("id", id_type), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bits", pa.binary()), ("wide", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("id", id_type), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bits", pa.binary()), ("wide", pa.binary()), ("print", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n_held = np.zeros(COUNTERS, np.int64), [], 0
@@ -100,23 +113,24 @@ def _read(id_type: pa.DataType):
 
         for batch in batches:
             for start, texts in texts_of(batch.column(2), 1 << 20):
-                fps, sizes, bits, wide = [], [], [], []
+                fps, sizes, bits, wide, prints = [], [], [], [], []
                 for t in texts:
                     s = shingles(t)
                     fps.append(node_of(s))
                     sizes.append(len(s))
                     bits.append(parity(s))
                     wide.append(wide_parity(s))
+                    prints.append(print_of(s))
                     held.append(s)
                     n_held += len(s)
                     if n_held > HELD:
                         add()
                 own = [batch.column(k).slice(start, len(texts)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip((fps, sizes, bits, wide, [None] * len(texts), [None] * len(texts)), schema.types[2:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip((fps, sizes, bits, wide, prints, [None] * len(texts), [None] * len(texts)), schema.types[2:], strict=True))], schema=schema)
         add()
         if counts.any():
             none, blocks = [None] * BLOCKS, [x.tobytes() for x in np.split(counts, BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, none, none, none, range(BLOCKS), blocks), schema.types, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, none, none, none, none, range(BLOCKS), blocks), schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -280,13 +294,30 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(common * b >= (F.size("set_a") + F.size("set_b") - common) * a).select("a", "b")
 
 
+def _printed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by SimHash: those of one fingerprint with the first of them, and the first ones of fingerprints that its covering tables link."""
+    filled = nodes.filter("size > 0").select("fp", "print")
+    heads = cut(filled.groupBy("print").agg(F.min("fp").alias("head")))
+    same = join_one(filled, heads, ["print"], each=1000).filter("fp <> head").select(F.col("head").alias("x"), F.col("fp").alias("y"))
+    near = cut(simhash.links(heads.select(F.col("print").alias("fp"))).distinct())
+    x, y = (heads.select(F.col("print").alias(k), F.col("head").alias(n)) for k, n in (("a", "x"), ("b", "y")))
+    near = near.join(x, "a").join(y, "b").select("x", "y")
+    return cut(same.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def _parted(members: DataFrame, part: DataFrame) -> DataFrame:
+    """members with part, the component that their node has in part, or else the node."""
+    part = part.select(F.col("node").alias("fp"), "component")
+    return members.join(part, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_size: int = SLICE) -> DataFrame:
     """(id, fp, component_id) of every row; the component is the smallest id of the rows that links reach."""
     slim = Box(docs, id=id_col, text=text_col).df.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     id_type = slim.schema["id"].dataType
-    read = cut(slim.mapInArrow(_read(to_arrow_type(id_type)), f"id {id_type.simpleString()}, key long, fp long, size int, bits binary, wide binary, block int, counts binary"))
-    rows = read.filter("block is null").select("id", "key", "fp", "size", "bits", "wide")
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
+    read = cut(slim.mapInArrow(_read(to_arrow_type(id_type)), f"id {id_type.simpleString()}, key long, fp long, size int, bits binary, wide binary, print long, block int, counts binary"))
+    rows = read.filter("block is null").select("id", "key", "fp", "size", "bits", "wide", "print")
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("print").alias("print")))
     sketch = read.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_up, "block int, counts binary")
     counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
     for r in sketch.collect():  # BLOCKS rows
@@ -294,11 +325,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sli
     shipped = docs.sparkSession.sparkContext.broadcast(counts.ravel())
     found = cut(_shared(slim.select("text"), shipped, _shards(nodes), int(counts.sum())))
     members = cut(_told_apart(found).join(nodes.select("fp", "size", "bits"), "fp"))
-    first = cut(_compared(members.withColumn("part", F.col("fp")), False, slice_size))
-    links = cut(_similar(slim.select("key", "text"), nodes, first))
+    printed = _printed(nodes)
+    links = cut(_similar(slim.select("key", "text"), nodes, printed))
+    first = cut(_compared(_parted(members, cut(components(links))), False, slice_size).join(printed, ["a", "b"], "left_anti"))
+    links = cut(links.unionByName(_similar(slim.select("key", "text"), nodes, first)))
     part = cut(components(links))
-    rest = members.join(part.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component")
-    second = cut(_compared(rest, True, slice_size).join(first, ["a", "b"], "left_anti"))
+    tried = first.unionByName(printed)
+    second = cut(_compared(_parted(members, part), True, slice_size).join(tried, ["a", "b"], "left_anti"))
     more = cut(_similar(slim.select("key", "text"), nodes, second))
     if not more.isEmpty():
         part = components(links.unionByName(more))

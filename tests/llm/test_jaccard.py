@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import xxhash
+
 import corpus_pipeline
-from scriptorium.llm import jaccard
+from scriptorium.llm import jaccard, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -72,3 +75,25 @@ def test_edges(spark):
     kept = sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
     assert kept == ["1", "3", "None"]
     assert jaccard.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_fingerprints_and_covering_tables_link_first(spark, monkeypatch):
+    """What the covering tables link and the sets confirm is joined without prefixes, as all pairs within the radius are; with them the classes are those of all pairs."""
+    rows = rows_of(4, 8, 8, (300, 400), 4)
+    sets, prints = {i: shingles(t) for i, t in rows}, {}
+    for i, found in sets.items():
+        hashes = [xxhash.xxh64_intdigest(x, 42) for x in found]
+        prints[i] = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        assert jaccard.print_of(np.array(sorted(hashes), np.uint64)) == (prints[i] - (1 << 64) if prints[i] >> 63 else prints[i])
+    linked = {i: min(j for j in sets if sets[i] == sets[j]) for i in sets}
+    for a in sets:
+        for b in sets:
+            if sets[a] and sets[b] and (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((linked[a], linked[b]))
+                linked = {i: low if r == high else r for i, r in linked.items()}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs).collect()} == roots(rows)
+    none = lambda members, every, slice_size: members.select("fp", "fp").toDF("a", "b").filter("false")
+    monkeypatch.setattr(jaccard, "_compared", none)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs).collect()}
+    assert got == linked and len(set(linked.values())) < len({frozenset(s) for s in sets.values()})
