@@ -17,18 +17,29 @@ from scriptorium.llm import contamination, jaccard, lines, mixing, quality
 from scriptorium.llm.common import Box, checkpoint_root
 
 
+#: Bytes of rows that go to a Python worker at once (Spark's default: 64 MB, in practice a task's whole split); an executor and its workers hold such batches several times.
+ARROW_BYTES = 4 << 20
+
+
+def _slim(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ARROW_BYTES; it stays set, as what a stage returns runs later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules and the isolation forests keep; empty and null texts go (they have under 10 words)."""
+    _slim(spark)
     box = Box(docs, id="doc_id", text="text")
     return box.open(quality.judge(box.df, quality.fit(docs, _table(spark, sf_dir, "labels"))).filter("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines that an earlier document holds; documents of which nothing is left go. n_chars follows the text."""
+    _slim(spark)
     box = Box(docs, id="doc_id", text="text")
     out = lines.dedup(box.df, "id", "text").filter((F.col("n_lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     out = box.open(out)
@@ -37,11 +48,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 or more (sets of 5-word shingles) connect: the one with the smallest id. By SimHash and its covering tables first, the links that these miss by prefixes."""
+    _slim(spark)
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
+    _slim(spark)
     return contamination.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 

@@ -123,8 +123,8 @@ def join_one(many: DataFrame, one: DataFrame, on: list[str], by: list[str] | Non
     return dealt.join(copies, [*on, "salt"]).drop("salt")
 
 
-def map_texts(df: DataFrame, column: str, fields: list[tuple[str, pa.DataType, str]], compute: Callable[[list[bytes]], list], drop: tuple[str, ...] = ()) -> DataFrame:
-    """df and new columns that compute() makes from lists of whole texts as bytes. Columns of df with the new names (in any case) are replaced, those in drop go.
+def map_texts(df: DataFrame, column: str, fields: list[tuple[str, pa.DataType, str]], compute: Callable[[list[bytes]], list], drop: tuple[str, ...] = (), max_bytes: int = 2 << 20) -> DataFrame:
+    """df and new columns that compute() makes from lists of whole texts as bytes, about max_bytes at a time. Columns of df with the new names (in any case) are replaced, those in drop go.
 
     fields: name, Arrow type and Spark type of each; compute returns one sequence for each field.
     """
@@ -137,7 +137,7 @@ def map_texts(df: DataFrame, column: str, fields: list[tuple[str, pa.DataType, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            for start, texts in texts_of(batch.column(at)):
+            for start, texts in texts_of(batch.column(at), max_bytes):
                 got = compute(texts)
                 arrays = [batch.column(batch.schema.get_field_index(c)).slice(start, len(texts)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(g, type=t) for g, (_, t, _) in zip(got, fields, strict=True))], names=schema.names)

@@ -301,8 +301,8 @@ def _groups(benchmark: DataFrame) -> Iterator[tuple[bool, list[Index]]]:
             yield n > 1, made
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "matches", drop_text: bool = False) -> DataFrame:
-    """docs and an array of the items that the text holds: item_id, score, question_overlap, answer_overlap."""
+def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "matches", drop_text: bool = False, max_bytes: int = 2 << 20) -> DataFrame:
+    """docs and an array of the items that the text holds: item_id, score, question_overlap, answer_overlap. max_bytes: of texts that are searched at once."""
     items = Box(benchmark, id=item_col, text=item_text).df.select("id", "text")
     id_type = items.schema["id"].dataType
     kind = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
@@ -322,10 +322,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
             return [[[dict(zip(names, x, strict=True)) for found in every for x in found] for every in zip(*each, strict=True)]]
 
         if several:
-            more = cut(map_texts(out.select("row", "text"), "text", [("found", kind, spark)], compute, drop=("text",)).filter("size(found) > 0"))
+            more = cut(map_texts(out.select("row", "text"), "text", [("found", kind, spark)], compute, drop=("text",), max_bytes=max_bytes).filter("size(found) > 0"))
             hits = more if hits is None else hits.unionByName(more)
         else:
-            out = map_texts(out, "text", [("found", kind, spark)], compute)
+            out = map_texts(out, "text", [("found", kind, spark)], compute, max_bytes=max_bytes)
     if hits is not None:
         hits = cut(hits.groupBy("row").agg(F.flatten(F.collect_list("found")).alias("found")))  # at most the items that one text holds
         out = (out.drop("text") if drop_text else out).join(small(hits), "row", "left")
@@ -338,5 +338,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without those that hold an item."""
     box = Box(docs, text=text_col)
-    found = matches(box.df, benchmark, "text", item_col, item_text, into="found")
+    found = matches(box.df, benchmark, "text", item_col, item_text, into="found", max_bytes=1 << 19)
     return box.open(found.filter(F.size("found") == 0).drop("found"))

@@ -3,10 +3,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import test_contamination
 import test_jaccard
 import test_lines
 import test_quality
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scriptorium.llm import contamination, quality
@@ -128,3 +130,18 @@ def test_empty(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_small_arrow_batches(spark, tmp_path):
+    """What a stage hands to Python workers at once stays small, however much a task reads."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 200000)").alias("text"))
+    spark.createDataFrame([(1, "a benchmark item of a few words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == 24
+    got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 24 and max(r["bytes"] for r in got) <= 2 * corpus_pipeline.ARROW_BYTES
