@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows up to which a table of a known row width is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of a task in a table that few() deals with.
+FEW_ROWS = 20_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -38,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int, each: int = FEW_ROWS, least: int | None = None) -> DataFrame:
+    """df in as many tasks as rows, about its number of rows, fill with each, or in fewer if it has fewer; at least in least (two for each core).
+
+    Every task of a shuffle writes files of its own, so a small table over hundreds of tasks takes more disk for these than for its rows.
+    """
+    return df.coalesce(max(1, -(-rows // each), 2 * df.sparkSession.sparkContext.defaultParallelism if least is None else least))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
+
+#: Edges of a task; rows of two numbers.
+EDGES = 100_000
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,17 +17,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds: each node links its larger neighbours to the smallest one that it knows, then itself and
     its smaller ones. Stars are what remains. Neighbours are reduced to their minimum by a partial aggregate and joined back, so
     a node with very many is never gathered (AQE splits its join). The number of rounds grows as the logarithm of a component's length.
+    A round runs in as many tasks as the edges left fill: those of one task are not shuffled.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    last = None
+    last = (e.count(),)
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        n = last[0]
+        e = few(e, n, EDGES, 1)
+        both = few(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), n, EDGES, 1)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = few(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), n, EDGES, 1)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        e = cut(small)
+        small = few(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))), n, EDGES, 1)
+        e = cut(few(small.filter("u > v").distinct(), n, EDGES, 1))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -17,6 +17,8 @@ Of buckets that hold the same sets one is looked at.
 A first round compares a spanning forest of what is left in each bucket by the sets themselves, a second one all pairs between
 different components of what is linked by then. Buckets of many sets are compared in slices, as in simhash.
 
+The tables between these steps are small beside the texts; they go on in as many tasks as their rows fill (few), whatever the shuffle's are.
+
 Defined results: as in simhash; null or blank text is the empty set, alike to itself only; fewer words than WIDTH are one shingle.
 """
 
@@ -32,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import simhash
-from .common import Box, cut, join_one, map_texts, release, small, texts_of
+from .common import Box, cut, few, join_one, map_texts, release, small, texts_of
 from .graph import components
 
 #: SIMILAR is a fraction in whole numbers, 4 / 5.
 WIDTH, SIMILAR, BITS, WIDE, SLICE = 5, (4, 5), 512, 1 << 14, 1024
 #: Counters of the sketch, and the blocks in which they are added up; aimed entries of a shard of prefixes, and entries that a worker holds.
 COUNTERS, BLOCKS, SHARD, HELD = 1 << 18, 16, 250_000, 250_000
+#: Of tables of entries (token, node, at most its parity bits) and of tables of texts, the rows of a task.
+ENTRIES, TEXTS = 100_000, 2_000
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -192,11 +196,10 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def _shards(nodes: DataFrame) -> int:
-    """Shards of about SHARD prefix hashes."""
+def _prefixes(nodes: DataFrame) -> int:
+    """The number of all nodes' prefix hashes."""
     a, b = SIMILAR
-    total = nodes.agg(F.coalesce(F.sum(F.col("size") - F.ceil(F.col("size") * a / b) + 1), F.lit(0))).first()[0]
-    return max(1, -(-int(total) // SHARD))
+    return int(nodes.agg(F.coalesce(F.sum(F.col("size") - F.ceil(F.col("size") * a / b) + 1), F.lit(0))).first()[0])
 
 
 def _shared(texts: DataFrame, shipped, shards: int, total: int) -> DataFrame:
@@ -258,57 +261,63 @@ def _dealt(members: DataFrame, tokens: DataFrame, slice_size: int) -> DataFrame:
     return members.join(large, "token", "left").withColumn("slice", slice_of).drop("slices").join(each, ["token", "slice"])
 
 
-def _told_apart(found: DataFrame) -> DataFrame:
-    """Rows (token, fp) of one token of those that the same nodes have; 128 bits of hashes stand for the nodes."""
+def _told_apart(found: DataFrame, entries: int) -> DataFrame:
+    """Rows (token, fp) of one token of those that the same nodes have; 128 bits of hashes stand for the nodes. entries: about the rows of found."""
     by = found.groupBy("token").agg(F.expr("bit_xor(xxhash64(fp))").alias("x"), F.expr("bit_xor(xxhash64(fp, 1))").alias("y"), F.count("*").alias("n"))
-    return _dealt(found, cut(by.groupBy("x", "y", "n").agg(F.min("token").alias("token"))), SLICE).select("token", "fp")
+    one = few(by, entries, ENTRIES).groupBy("x", "y", "n").agg(F.min("token").alias("token"))
+    return few(_dealt(found, cut(few(one, entries, ENTRIES)), SLICE).select("token", "fp"), entries, ENTRIES)
 
 
 def _compared(members: DataFrame, every: bool, slice_size: int) -> DataFrame:
     """Candidates (a, b) of buckets' members (token, fp, size, bits, part), each once."""
     several = members.groupBy("token").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-    dealt = _dealt(members, cut(several.select("token", "n")), slice_size)
-    slices = cut(dealt.groupBy("token", "slices", "slice").agg(F.collect_list(F.struct("fp", "size", "part", "bits")).alias("x")))
+    tokens = cut(several.select("token", "n"))
+    entries = int(tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    dealt = _dealt(members, few(tokens, entries, ENTRIES), slice_size)
+    slices = few(cut(dealt.groupBy("token", "slices", "slice").agg(F.collect_list(F.struct("fp", "size", "part", "bits")).alias("x"))), entries, ENTRIES)
     alone = slices.filter("slices = 1").select("x", F.col("x").alias("y"))
     left = slices.filter("slices > 1").select("token", "slice", "x", F.explode(F.sequence(F.col("slice"), F.col("slices") - 1)).alias("other"))
     pairs = left.join(slices.filter("slices > 1").select("token", F.col("slice").alias("other"), F.col("x").alias("y")), ["token", "other"]).select("x", "y")
-    return alone.unionByName(pairs).mapInArrow(_candidates(every), "a long, b long").distinct()
+    return few(alone.unionByName(pairs).mapInArrow(_candidates(every), "a long, b long").distinct(), entries, ENTRIES)
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. docs: key, text; nodes: fp, key of one of its texts."""
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. docs: key, text; nodes: fp, key of one of its texts; n: about the rows of either."""
     x, y = (nodes.select(F.col("fp").alias(k), F.col("size").alias(f"size_{k}"), F.col("wide").alias(f"wide_{k}")) for k in ("a", "b"))
-    pairs = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(_near, "a long, b long"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = cut(nodes.join(small(wanted), "fp", "left_semi").select("fp", "key"))
-    texts = docs.join(small(wanted.select("key").distinct()), "key", "left_semi").dropDuplicates(["key", "text"]).select("text")
+    both = few(few(pairs.join(x, "a"), n).join(y, "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b"), n)
+    pairs = cut(both.mapInArrow(_near, "a long, b long"))
+    wanted = few(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), n)
+    wanted = cut(few(nodes.join(small(wanted), "fp", "left_semi").select("fp", "key"), n))
+    keys = few(wanted.select("key").distinct(), n)
+    texts = few(docs.join(small(keys), "key", "left_semi").dropDuplicates(["key", "text"]).select("text"), n, TEXTS)
 
     def compute(texts: list[bytes]) -> list:
         sets = [shingles(t) for t in texts]
         return [[node_of(s) for s in sets], [s.view(np.int64) for s in sets]]
 
     sets = map_texts(texts, "text", [("fp", pa.int64(), "long"), ("hashes", pa.list_(pa.int64()), "array<bigint>")], compute, drop=("text",))
-    sets = cut(sets.join(small(wanted.select("fp")), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")))
+    sets = cut(few(sets.join(small(wanted.select("fp")), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), n, TEXTS))
     x, y = (sets.select(F.col("fp").alias(k), F.col("hashes").alias(f"set_{k}")) for k in ("a", "b"))
     common, (a, b) = F.size(F.array_intersect("set_a", "set_b")), SIMILAR
-    return pairs.join(x, "a").join(y, "b").filter(common * b >= (F.size("set_a") + F.size("set_b") - common) * a).select("a", "b")
+    return few(few(pairs.join(x, "a"), n, TEXTS).join(y, "b").filter(common * b >= (F.size("set_a") + F.size("set_b") - common) * a).select("a", "b"), n, TEXTS)
 
 
-def _printed(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes by SimHash: those of one fingerprint with the first of them, and the first ones of fingerprints that its covering tables link."""
+def _printed(nodes: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of nodes by SimHash: those of one fingerprint with the first of them, and the first ones of fingerprints that its covering tables link. n: about the number of nodes."""
     filled = nodes.filter("size > 0").select("fp", "print")
-    heads = cut(filled.groupBy("print").agg(F.min("fp").alias("head")))
+    heads = cut(few(filled.groupBy("print").agg(F.min("fp").alias("head")), n))
     same = join_one(filled, heads, ["print"], each=1000).filter("fp <> head").select(F.col("head").alias("x"), F.col("fp").alias("y"))
-    near = cut(simhash.links(heads.select(F.col("print").alias("fp"))).distinct())
-    x, y = (heads.select(F.col("print").alias(k), F.col("head").alias(n)) for k, n in (("a", "x"), ("b", "y")))
-    near = near.join(x, "a").join(y, "b").select("x", "y")
-    return cut(same.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    near = cut(few(simhash.links(heads.select(F.col("print").alias("fp")), rows=n).distinct(), n))
+    x, y = (heads.select(F.col("print").alias(k), F.col("head").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+    near = few(near.join(x, "a"), n).join(y, "b").select("x", "y")
+    pairs = few(same.unionByName(near), n).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return cut(few(pairs.distinct(), n))
 
 
-def _parted(members: DataFrame, part: DataFrame) -> DataFrame:
-    """members with part, the component that their node has in part, or else the node."""
+def _parted(members: DataFrame, part: DataFrame, entries: int) -> DataFrame:
+    """members, about so many entries, with part, the component that their node has in part, or else the node."""
     part = part.select(F.col("node").alias("fp"), "component")
-    return members.join(part, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component")
+    return few(members.join(part, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component"), entries, ENTRIES)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_size: int = SLICE) -> DataFrame:
@@ -317,22 +326,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sli
     id_type = slim.schema["id"].dataType
     read = cut(slim.mapInArrow(_read(to_arrow_type(id_type)), f"id {id_type.simpleString()}, key long, fp long, size int, bits binary, wide binary, print long, block int, counts binary"))
     rows = read.filter("block is null").select("id", "key", "fp", "size", "bits", "wide", "print")
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("print").alias("print")))
+    n = rows.count()
+    nodes = cut(few(rows.groupBy("fp").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("print").alias("print")), n))
     sketch = read.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_up, "block int, counts binary")
     counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
     for r in sketch.collect():  # BLOCKS rows
         counts[r["block"]] = np.frombuffer(r["counts"], np.int64)
     shipped = docs.sparkSession.sparkContext.broadcast(counts.ravel())
-    found = cut(_shared(slim.select("text"), shipped, _shards(nodes), int(counts.sum())))
-    members = cut(_told_apart(found).join(nodes.select("fp", "size", "bits"), "fp"))
-    printed = _printed(nodes)
-    links = cut(_similar(slim.select("key", "text"), nodes, printed))
-    first = cut(_compared(_parted(members, cut(components(links))), False, slice_size).join(printed, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(_similar(slim.select("key", "text"), nodes, first)))
+    entries = _prefixes(nodes)
+    found = few(cut(_shared(slim.select("text"), shipped, max(1, -(-entries // SHARD)), int(counts.sum()))), entries, ENTRIES)
+    members = cut(few(_told_apart(found, entries).join(nodes.select("fp", "size", "bits"), "fp"), entries, ENTRIES))
+    printed = _printed(nodes, n)
+    links = cut(_similar(slim.select("key", "text"), nodes, printed, n))
+    first = _compared(_parted(members, cut(components(links)), entries), False, slice_size)
+    first = cut(few(first.join(printed, ["a", "b"], "left_anti"), entries, ENTRIES))
+    links = cut(few(links.unionByName(_similar(slim.select("key", "text"), nodes, first, n)), n))
     part = cut(components(links))
     tried = first.unionByName(printed)
-    second = cut(_compared(_parted(members, part), True, slice_size).join(tried, ["a", "b"], "left_anti"))
-    more = cut(_similar(slim.select("key", "text"), nodes, second))
+    second = _compared(_parted(members, part, entries), True, slice_size)
+    second = cut(few(second.join(tried, ["a", "b"], "left_anti"), entries, ENTRIES))
+    more = cut(_similar(slim.select("key", "text"), nodes, second, n))
     if not more.isEmpty():
         part = components(links.unionByName(more))
     return simhash.named(rows, nodes, part, id_col)

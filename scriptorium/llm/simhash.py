@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Box, cut, join_one, map_texts, small
+from .common import Box, cut, few, join_one, map_texts, small
 from .graph import components
 
 RADIUS, WIDTH, SLICE = 4, 4, 2048
+#: Fingerprints of a task, where few() deals them; each is in all tables.
+PRINTS = 20_000
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -100,16 +102,17 @@ def _compare(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, slice_size: int = SLICE) -> DataFrame:
-    """Pairs (a, b) of the fingerprints in column fp that connect all which links within the radius connect."""
+def links(distinct: DataFrame, radius: int = RADIUS, slice_size: int = SLICE, rows: int | None = None) -> DataFrame:
+    """Pairs (a, b) of the fingerprints in column fp that connect all which links within the radius connect. rows: about how many there are, if known; what is found goes on in as many tasks as they fill."""
+    fewer = (lambda df: df) if rows is None else lambda df: few(df, rows, PRINTS)
     table = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("t"), F.lit(m).alias("m")) for i, m in enumerate(masks(radius)))))
     keyed = distinct.select("fp", table.alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
-    several = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key", F.ceil(F.col("n") / slice_size).cast("int").alias("slices")))
+    several = fewer(cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key", F.ceil(F.col("n") / slice_size).cast("int").alias("slices"))))
     # a large bucket is dealt by slice before it is joined; there is at most one for each slice_size rows
     dealt = keyed.join(small(several.filter("slices > 1")), ["t", "key"], "left").select("t", "key", "fp", F.pmod(F.xxhash64("fp"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
     each = several.select("t", "key", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     members = dealt.join(small(each), ["t", "key", "slice"])
-    slices = cut(members.groupBy("t", "key", "slices", "slice").agg(F.collect_list("fp").alias("fps")))
+    slices = fewer(cut(members.groupBy("t", "key", "slices", "slice").agg(F.collect_list("fp").alias("fps"))))
     alone = slices.filter("slices = 1").select(F.col("fps").alias("x"), F.col("fps").alias("y"))
     left = slices.filter("slices > 1").select("t", "key", "slice", F.col("fps").alias("x"), F.explode(F.sequence(F.col("slice"), F.col("slices") - 1)).alias("other"))
     pairs = left.join(slices.filter("slices > 1").select("t", "key", F.col("slice").alias("other"), F.col("fps").alias("y")), ["t", "key", "other"]).select("x", "y")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from scriptorium.llm import simhash
+from scriptorium.llm import graph, simhash
 from scriptorium.llm.graph import components
 
 SCHEMA = "doc_id long, text string, fp string"
@@ -87,6 +87,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_several_tasks(spark, monkeypatch):
+    """Components are the same where edges fill many tasks as where they fill one."""
+    monkeypatch.setattr(graph, "EDGES", 7)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i * 7) % 31) for i in range(31)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    want = {i: i for e in edges for i in e if e[0] != e[1]}
+    for _ in want:
+        for x, y in edges:
+            if x != y:
+                want[x] = want[y] = min(want[x], want[y])
+    assert got == want
+
+
 def test_keep_one(spark):
     a, b, c = (" ".join(np.random.default_rng(k).choice(list("abcdefghij"), 60)) for k in range(3))
     rows = [(1, a, "x"), (2, a, "x"), (3, b, "x"), (3, b, "x"), (4, c, "x"), (None, c, "x"), (1, c, "x"), (6, a, "x")]

@@ -145,3 +145,22 @@ def test_small_arrow_batches(spark, tmp_path):
     assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == 24
     got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
     assert sum(r["rows"] for r in got) == 24 and max(r["bytes"] for r in got) <= 2 * corpus_pipeline.ARROW_BYTES
+
+
+def test_tasks_of_small_tables(spark):
+    """Near-duplicates of a small table take few tasks, however many partitions a shuffle has: each task writes files of its own."""
+    rows, n, held = test_jaccard.rows_of(), 32, {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, sc = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        sc.setJobGroup("near-duplicates of few rows", "")
+        kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, test_jaccard.SCHEMA), SF).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert kept == set(test_jaccard.roots(rows).values())
+    told = sc.statusTracker()
+    stages = {s for job in told.getJobIdsForGroup("near-duplicates of few rows") for s in told.getJobInfo(job).stageIds}
+    assert 0 < sum(x.numCompletedTasks for x in map(told.getStageInfo, stages) if x) <= 150 * n
